@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, quality, sharding
+from . import fingerprint, packing, quality, sharding, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,40 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.encode_table(spark, documents(spark, sf_dir), "doc_id", "text", tokenizer_path(), 2)
+    return rows.withColumnRenamed("key", "doc_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir), "doc_id", "text", tokenizer_path(), 1, 4096)
+    return packing.pack_pieces(cut, 4096).withColumnRenamed("key", "doc_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
 }
 
