@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,3 +90,17 @@ def components(edges: DataFrame) -> DataFrame:
         left = left.join(hook.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         edges = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     return parents if parents is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, which need not find it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_proofloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="proofloom-")) / "proofloom_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._proofloom_shipped = True

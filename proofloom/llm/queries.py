@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, packing, quality, sharding, token_files, toxicity, warc
+from . import fingerprint, mixing, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity, warc
+from .common import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(query):
+    """query, with the package given to the workers first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text")))
 
@@ -80,15 +91,35 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    placed, used, sources = mixing.mix(docs, ["doc_id"], "source", "size")
+    return mixing.taken(placed, used, sources, "size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.linked_components(documents(spark, sf_dir), ngram_join.Terms(3, 90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_dedup.repeated_spans(documents(spark, sf_dir))
+    return spans.select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("last_word"), F.col("kept").alias("is_first"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op4_quality_rules": r"""
