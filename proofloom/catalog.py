@@ -1,4 +1,333 @@
-"""Every registered query of the engine and its SQL."""
+"""Every registered query of the engine with the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .adapt import oracle, view
+from .functions import scalar
+from .model import PPM, digest
+from .operators import diff, discover, evidence, glue, resolve, rules
+from .plans import waves
+from .streaming import lifecycle
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, *names: str):
+    """Registers a function of (spark, sf_dir, view) under its name; sql is its oracle over the views named."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, sf_dir, lambda n: view(spark, sf_dir, n))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = oracle(sql, *names)
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CHANGED = "+chg AS (SELECT member AS k, count(*) AS witnesses FROM contains WHERE container IN (SELECT k FROM change) GROUP BY member), pub AS (SELECT a.*, witnesses FROM artifact a JOIN chg USING (k) WHERE public)"
+
+
+@query(_CHANGED + " SELECT id, path, witnesses FROM pub", "artifact", "contains", "change")
+def changed_public_symbols(spark, sf_dir, v):
+    return rules.changed_public(v("artifact"), v("contains"), v("change")).select("id", "path", "witnesses")
+
+
+@query(_CHANGED + """ SELECT c.caller, c.callee, p.witnesses, 'obligation' AS outcome,
+    'obligation:sha256:' || sha256('relation.changed_public_callee@1|' || c.caller || '|' || c.callee) AS id
+    FROM calls c JOIN pub p ON p.k = c.callee JOIN artifact a ON a.k = c.caller WHERE c.caller <> c.callee""", "artifact", "contains", "change", "calls")
+def changed_callee_obligations(spark, sf_dir, v):
+    return rules.changed_callee(v("artifact"), v("contains"), v("change"), v("calls"))
+
+
+@query("SELECT src, dst FROM touches_supplier WHERE dst IN (SELECT k FROM side_effect)", "touches_supplier", "side_effect")
+def contract_calls(spark, sf_dir, v):
+    return rules.contract_calls(v("touches_supplier"), v("side_effect"))
+
+
+@query("""SELECT h.src AS event, h.dst AS handler, c.member AS callee, t.dst AS effect FROM handled_by h JOIN contains c ON c.container = h.dst
+    JOIN touches_supplier t ON t.src = c.member WHERE t.dst IN (SELECT k FROM side_effect)""", "handled_by", "contains", "touches_supplier", "side_effect")
+def effect_paths(spark, sf_dir, v):
+    return rules.effect_paths(v("handled_by"), v("contains"), rules.contract_calls(v("touches_supplier"), v("side_effect")))
+
+
+@query("""WITH inv AS (SELECT DISTINCT r_regionkey AS invariant, n_nationkey AS scope FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey % 5 < 2),
+    mem AS (SELECT DISTINCT c_mktsegment || '-' || c_custkey % 20 AS path, c_nationkey AS scope FROM customer)
+    SELECT i.invariant, m.path FROM inv i JOIN mem m USING (scope) JOIN (SELECT invariant, count(*) AS n FROM inv GROUP BY invariant) z ON z.invariant = i.invariant GROUP BY i.invariant, m.path, z.n HAVING count(*) = z.n""")
+def invariant_scopes(spark, sf_dir, v):
+    inv = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).where("n_nationkey % 5 < 2").select(F.col("r_regionkey").alias("invariant"), F.col("n_nationkey").alias("scope")).distinct()
+    mem = table(spark, sf_dir, "customer").select(F.expr("concat(c_mktsegment, '-', c_custkey % 20)").alias("path"), F.col("c_nationkey").alias("scope")).distinct()
+    return rules.scope_covered(inv, mem)
+
+
+@query("""WITH r(rule, capability) AS (VALUES ('a', 'ast'), ('a', 'calls'), ('b', 'calls'), ('b', 'tests'), ('c', 'ast')), s(capability, state) AS (VALUES ('ast', 'complete'), ('calls', 'partial'))
+    SELECT rule, capability, 'capability_' || coalesce(state, 'undeclared') AS reason FROM r LEFT JOIN s USING (capability) WHERE coalesce(state, 'undeclared') <> 'complete'""")
+def capability_gaps(spark, sf_dir, v):
+    need = spark.createDataFrame([("a", ["ast", "calls"]), ("b", ["calls", "tests"]), ("c", ["ast"])], "rule string, required array<string>")
+    return rules.capability_gaps(need, spark.createDataFrame([("ast", "complete"), ("calls", "partial")], "capability string, state string"))
+
+
+@query("SELECT p_type AS kind, 'production' AS class, count(*) AS n FROM part GROUP BY p_type")
+def path_classes(spark, sf_dir, v):
+    a = v("artifact")
+    return a.groupBy(F.regexp_extract("path", r"([^/]+)\.rs$", 1).alias("kind"), scalar.path_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CASE WHEN weight <= 0.25 THEN 'info' WHEN weight <= 0.5 THEN 'low' WHEN weight <= 1 THEN 'medium' WHEN weight <= 2 THEN 'high' ELSE 'critical' END AS risk, count(*) AS n
+    FROM obligation GROUP BY 1""", "obligation")
+def risk_buckets(spark, sf_dir, v):
+    return v("obligation").groupBy(scalar.risk(F.col("weight")).alias("risk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_AXES = """+f AS (SELECT k, bool_or(relation <> 'R') AS supported, bool_and(outcome = 'F') AS verified, CASE WHEN bool_or(snapshot <> (SELECT max(snapshot) FROM binding)) THEN 'stale' ELSE 'fresh' END AS freshness FROM binding GROUP BY k),
+    ax AS (SELECT o.k, o.weight::DECIMAL(18, 6) AS w, status = 'F' AS completed, coalesce(supported, false) AS supported, coalesce(verified, false) AS verified, coalesce(freshness, 'unknown') AS freshness FROM obligation o LEFT JOIN f USING (k))"""
+
+
+def _axes(v) -> DataFrame:
+    current = v("binding").agg(F.max("snapshot")).first()[0]
+    return evidence.axes(v("obligation"), evidence.flags(v("binding"), F.lit(current)))
+
+
+@query(_AXES + """, l AS (SELECT w, unnest(['completed', 'supported', 'verified', 'fresh']) AS axis, unnest([completed, supported, verified, verified AND freshness = 'fresh']) AS q FROM ax)
+    SELECT axis, count(*) FILTER (q) AS qualified, count(*) AS denominator, round(count(*) FILTER (q) / count(*)::DOUBLE, 6) AS ratio, round(sum(CASE WHEN q THEN w ELSE 0 END)::DOUBLE / sum(w)::DOUBLE, 6) AS weighted FROM l GROUP BY axis""", "obligation", "binding")
+def coverage_axes(spark, sf_dir, v):
+    return evidence.coverage(_axes(v))
+
+
+@query(_AXES + " SELECT x.freshness, (SELECT count(*) FROM ax WHERE ax.freshness = x.freshness) AS n FROM (VALUES ('fresh'), ('stale'), ('unknown')) x(freshness)", "obligation", "binding")
+def freshness_histogram(spark, sf_dir, v):
+    return evidence.histogram(_axes(v), "freshness", ["fresh", "stale", "unknown"])
+
+
+@query("SELECT k, evidence FROM binding WHERE k NOT IN (SELECT k FROM change)", "binding", "change")
+def unbound_references(spark, sf_dir, v):
+    return evidence.violations(v("binding").select("k", "evidence"), v("change"), "k")
+
+
+@query("SELECT k FROM obligation WHERE k IN (SELECT k FROM binding) AND k NOT IN (SELECT k FROM binding WHERE outcome <> 'F')", "obligation", "binding")
+def fully_verified(spark, sf_dir, v):
+    f = v("binding").groupBy("k").agg(F.min(F.col("outcome") == "F").alias("every"))
+    return v("obligation").select("k").join(f.where("every"), "k", "left_semi")
+
+
+@query("""+g AS (SELECT body_hash, count(*) AS members, min(end_line - start_line + 1)::BIGINT AS span, min(k) AS least FROM artifact GROUP BY body_hash HAVING count(*) > 1)
+    SELECT *, row_number() OVER (ORDER BY span DESC, members DESC, least) AS rank FROM g""", "artifact")
+def exact_groups(spark, sf_dir, v):
+    return discover.exact_groups(v("artifact"))
+
+
+@query("SELECT shape_hash, count(*) AS members, count(DISTINCT body_hash) AS bodies FROM artifact GROUP BY shape_hash HAVING count(*) > 1 AND count(DISTINCT body_hash) > 1", "artifact")
+def near_groups(spark, sf_dir, v):
+    return discover.near_groups(v("artifact"))
+
+
+_TERMS = "WITH t AS (SELECT DISTINCT doc_id AS id, unnest(string_split(lower(text), ' ')) AS term FROM documents), p AS (SELECT * FROM t WHERE term <> ''), df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"
+
+
+def _posted(spark, sf_dir) -> DataFrame:
+    return discover.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_TERMS + " SELECT df, count(*) AS terms FROM df GROUP BY df")
+def term_frequencies(spark, sf_dir, v):
+    return discover.document_frequency(_posted(spark, sf_dir)).groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+
+
+@query(_TERMS + """, k AS (SELECT p.* FROM p JOIN df USING (term) WHERE df BETWEEN 2 AND (SELECT greatest(32, ceil(count(*) / 5.0)) FROM documents)), n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
+    s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y USING (term) WHERE x.id < y.id GROUP BY ALL)
+    SELECT a, b, shared, (shared * 1000000 // (na.n + nb.n - shared))::BIGINT AS ppm FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared >= 2 AND shared * 1000000 // (na.n + nb.n - shared) >= 600000""")
+def signal_pairs(spark, sf_dir, v):
+    n = table(spark, sf_dir, "documents").count()
+    return discover.signal_pairs(_posted(spark, sf_dir), discover.cap(n))
+
+
+_QUERY = ["the", "of", "and", "that", "thednd", "zzz"]
+_ASKED = "(VALUES ('the'), ('of'), ('and'), ('that'), ('thednd'), ('zzz')) q(term)"
+
+
+@query(_TERMS + f"""+ , m AS (SELECT p.id, count(*) AS matched FROM p JOIN df USING (term) JOIN {_ASKED} USING (term) WHERE df <= 1000000 GROUP BY p.id)
+    SELECT id, matched, (matched * 1000000 // 6)::BIGINT AS ppm, row_number() OVER (ORDER BY id) AS rank FROM m WHERE matched >= 2 AND matched * 1000000 // 6 >= 600000""".replace("+ ,", ","))
+def responsibility_search(spark, sf_dir, v):
+    return discover.search(_posted(spark, sf_dir), _QUERY, 1_000_000)
+
+
+@query(_TERMS + f" SELECT q.term, CASE WHEN df IS NULL THEN 'absent' WHEN df > 100 THEN 'high_frequency' ELSE 'selective' END AS status FROM {_ASKED} LEFT JOIN df USING (term)")
+def query_terms(spark, sf_dir, v):
+    return discover.query_terms(_posted(spark, sf_dir), _QUERY, 100)
+
+
+@query("SELECT l_returnflag AS kind, l_linestatus AS provenance, count(*) AS n FROM lineitem GROUP BY ALL")
+def relation_inventory(spark, sf_dir, v):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("provenance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT finding, root FROM finding f JOIN root_span r ON f.path = r.path AND f.tag = r.tag AND f.s <= r.e AND r.s <= f.e", "finding", "root_span")
+def finding_matches(spark, sf_dir, v):
+    return resolve.overlapping(v("finding"), v("root_span"))
+
+
+@query("""+h AS (SELECT DISTINCT finding, root FROM finding f JOIN root_span r ON f.path = r.path AND f.tag = r.tag AND f.s <= r.e AND r.s <= f.e)
+    SELECT count(DISTINCT root) AS detected, count(DISTINCT finding) AS matched, (SELECT count(DISTINCT finding) FROM finding) - count(DISTINCT finding) AS unmatched FROM h""", "finding", "root_span")
+def finding_score(spark, sf_dir, v):
+    return resolve.score(v("finding"), v("root_span"))
+
+
+_RESOLVED = """+r AS (SELECT call_id, c.scope, c.name, count(*) FILTER (d.scope = c.scope) AS near, count(d.scope) AS far FROM call_site c LEFT JOIN declaration d ON d.name = c.name GROUP BY ALL),
+    z AS (SELECT call_id, scope, name, CASE WHEN near > 0 THEN 'scope' WHEN far > 0 THEN 'name' ELSE 'none' END AS tier, CASE WHEN near > 0 THEN near ELSE far END AS candidates, near FROM r),
+    y AS (SELECT call_id, scope, name, tier, candidates, CASE WHEN candidates = 0 THEN 'unresolved' WHEN candidates > 1 THEN 'ambiguous' WHEN near = 1 THEN 'exact' ELSE 'name_only' END AS confidence FROM z)"""
+
+
+@query(_RESOLVED + " SELECT * FROM y", "call_site", "declaration")
+def call_resolution(spark, sf_dir, v):
+    return resolve.resolve_calls(v("call_site"), v("declaration"))
+
+
+@query(_RESOLVED + """ SELECT x.confidence, count(y.call_id) AS n FROM (VALUES ('exact'), ('name_only'), ('ambiguous'), ('over_fanout'), ('unresolved')) x(confidence)
+    LEFT JOIN y ON CASE WHEN y.confidence = 'ambiguous' AND candidates > 5 THEN 'over_fanout' ELSE y.confidence END = x.confidence GROUP BY 1""", "call_site", "declaration")
+def call_statistics(spark, sf_dir, v):
+    return resolve.call_stats(resolve.resolve_calls(v("call_site"), v("declaration")))
+
+
+@query("""+p AS (SELECT path, greatest(1, s * 20 - 48)::BIGINT AS s, least(700, s * 20 + 50, greatest(1, s * 20 - 48) + 159)::BIGINT AS e, finding AS id FROM finding),
+    w AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e, id) AS i FROM w),
+    m AS (SELECT path, min(s) AS s, max(e) AS e, count(*) AS seeds FROM i GROUP BY path, i), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s) AS r, greatest(0, count(*) OVER (PARTITION BY path) - 8) AS omitted FROM m)
+    SELECT path, s, e, seeds, omitted FROM n WHERE r <= 8""", "finding")
+def target_windows(spark, sf_dir, v):
+    seeds = v("finding").select("path", (F.col("s") * 20).alias("s"), (F.col("s") * 20 + 2).alias("e"), F.col("finding").alias("id"))
+    return resolve.windows(seeds, 700)
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.body <> b.body AND a.anchor <> b.anchor THEN 'anchor_changed+body_changed'
+    WHEN a.anchor <> b.anchor THEN 'anchor_changed' WHEN a.body <> b.body THEN 'body_changed' ELSE 'preserved' END AS reason FROM before_fn a FULL JOIN after_fn b ON a.k = b.k""", "before_fn", "after_fn")
+def member_diff(spark, sf_dir, v):
+    return diff.member_diff(v("before_fn"), v("after_fn"), "k", ["anchor", "body"])
+
+
+@query("""+one AS (SELECT a.k AS source, b.k AS target FROM before_fn a JOIN after_fn b ON a.k = b.k), l AS (SELECT k AS source, anchor FROM before_fn WHERE k NOT IN (SELECT source FROM one)),
+    r AS (SELECT k AS target, anchor FROM after_fn WHERE k NOT IN (SELECT target FROM one)),
+    two AS (SELECT source, target FROM (SELECT anchor, min(source) AS source FROM l GROUP BY anchor HAVING count(*) = 1) JOIN (SELECT anchor, min(target) AS target FROM r GROUP BY anchor HAVING count(*) = 1) USING (anchor))
+    SELECT source, target, 'key' AS stage FROM one UNION ALL SELECT source, target, 'label' FROM two UNION ALL SELECT source, NULL, 'removed' FROM l WHERE source NOT IN (SELECT source FROM two)
+    UNION ALL SELECT NULL, target, 'added' FROM r WHERE target NOT IN (SELECT target FROM two)""", "before_fn", "after_fn")
+def snapshot_mapping(spark, sf_dir, v):
+    return diff.staged_mapping(v("before_fn"), v("after_fn"), "k", "anchor")
+
+
+@query("""+s AS (SELECT anchor || body AS key, count(*) AS n, min(body) AS b FROM before_fn GROUP BY 1), t AS (SELECT anchor || body AS key, count(*) AS n, min(body) AS b FROM after_fn GROUP BY 1)
+    SELECT key, CASE WHEN s.n IS NULL THEN 'added' WHEN t.n IS NULL THEN 'removed' WHEN s.n = 1 AND t.n = 1 THEN CASE WHEN s.b = t.b THEN 'preserved' ELSE 'modified' END
+    WHEN s.n = 1 THEN 'split' WHEN t.n = 1 THEN 'merged' ELSE 'unresolved' END AS status FROM s FULL JOIN t USING (key)""", "before_fn", "after_fn")
+def component_status(spark, sf_dir, v):
+    keyed = lambda d: d.withColumn("key", F.concat("anchor", "body"))
+    return diff.component_status(keyed(v("before_fn")), keyed(v("after_fn")), "key", "body")
+
+
+@query("""+d AS (SELECT k, body FROM after_fn UNION ALL SELECT k, body FROM after_fn WHERE k % 19 = 0), g AS (SELECT k, count(*) AS n, min(body) AS body FROM d GROUP BY k),
+    x AS (SELECT coalesce(e.k, g.k) AS k, CASE WHEN g.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'extra' WHEN n > 1 THEN 'duplicate' WHEN e.body <> g.body THEN 'mismatched' END AS problem FROM before_fn e FULL JOIN g ON e.k = g.k)
+    SELECT * FROM x WHERE problem IS NOT NULL""", "before_fn", "after_fn")
+def source_admission(spark, sf_dir, v):
+    after = v("after_fn")
+    return diff.admission(v("before_fn"), after.unionByName(after.where("k % 19 = 0")), "k", "body")
+
+
+@query("SELECT l_orderkey AS k, count(*) AS times FROM lineitem GROUP BY 1 HAVING count(*) <> 1 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def partition_faults(spark, sf_dir, v):
+    return diff.partition_faults(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k"), "k")
+
+
+@query("SELECT id, CASE WHEN r = 1 THEN label ELSE label || '~' || r END AS stable_key FROM (SELECT id, label, row_number() OVER (PARTITION BY path, label ORDER BY k) AS r FROM artifact)", "artifact")
+def stable_keys(spark, sf_dir, v):
+    return diff.ordinals(v("artifact"), "path", "label", ["k"]).select("id", "stable_key")
+
+
+@query("SELECT id, row_number() OVER (PARTITION BY stream ORDER BY made_at, k) - 1 AS level FROM obligation", "obligation")
+def chain_levels(spark, sf_dir, v):
+    return waves.chain_levels(v("obligation"), "stream", ["made_at", "k"])
+
+
+def _small_plan(v) -> tuple[DataFrame, DataFrame]:
+    rows = v("obligation").where("stream < 40")
+    chained = rows.select("id", F.lag("id").over(Window.partitionBy("stream").orderBy("made_at", "k")).alias("on"))
+    return rows.select("id", F.col("weight").cast("double").alias("weight")), chained.where("on IS NOT NULL")
+
+
+@query(None)
+def review_waves(spark, sf_dir, v):
+    return waves.waves(*_small_plan(v), max_waves=3, per_wave=8)
+
+
+@query(None)
+def context_walk(spark, sf_dir, v):
+    seeds = v("change").where("k % 10 = 0").select(F.col("k").alias("node")).select(F.concat(F.lit("o"), "node").alias("node"))
+    edge = lambda d, kind, a, b: d.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst"))
+    contains = edge(v("contains"), "contains", F.concat(F.lit("o"), "container"), F.concat(F.lit("p"), "member"))
+    return waves.reachable(seeds, contains.unionByName(edge(v("touches_supplier"), "calls", F.concat(F.lit("p"), "src"), F.concat(F.lit("s"), "dst"))), {"contains": 1, "calls": 3}, 5)
+
+
+_STEPS = ("('generated','planned'),('planned','in_progress'),('in_progress','completed'),('generated','stale'),('generated','superseded'),('generated','cancelled'),('planned','stale'),('planned','superseded'),"
+          "('planned','cancelled'),('in_progress','stale'),('in_progress','superseded'),('in_progress','cancelled'),('completed','stale'),('completed','superseded')")
+
+
+@query(f"""+w AS (SELECT seq, stream, lag(state) OVER (PARTITION BY stream ORDER BY seq) AS before, state FROM event)
+    SELECT seq, stream, before, state FROM w WHERE before IS NOT NULL AND (before, state) NOT IN (VALUES {_STEPS})""", "event")
+def illegal_transitions(spark, sf_dir, v):
+    return lifecycle.transition_violations(v("event"))
+
+
+@query("SELECT stream, arg_max(state, seq) AS state, max(seq) AS seq, count(*) AS n FROM event GROUP BY stream", "event")
+def latest_states(spark, sf_dir, v):
+    return lifecycle.latest(v("event"))
+
+
+@query("""+s AS (SELECT k AS pair, CASE relation WHEN 'A' THEN 'unknown' WHEN 'N' THEN 'satisfied' ELSE 'required' END AS assignment, outcome = 'F' AS verified, evidence % 3 = 0 AS qualified FROM binding),
+    g AS (SELECT pair, count(*) AS n, count(DISTINCT assignment) AS vals, bool_or(assignment = 'unknown') AS open, bool_and(verified) AS verified, bool_or(qualified) AS qualified FROM s GROUP BY pair),
+    o AS (SELECT g.*, CASE WHEN n <> 2 THEN 'required_section_missing' WHEN pair % 4 = 0 THEN 'required_overlap_missing' WHEN open THEN 'section_unknown' WHEN vals > 1 THEN 'assignment_conflict' END AS obstruction FROM g)
+    SELECT pair, CASE WHEN obstruction = 'assignment_conflict' THEN 'failed' WHEN obstruction IS NOT NULL THEN 'unknown' WHEN NOT verified THEN 'candidate' WHEN qualified THEN 'glued_with_qualification' ELSE 'glued' END AS result, obstruction FROM o""", "binding")
+def gluing(spark, sf_dir, v):
+    b = v("binding")
+    assignment = F.when(F.col("relation") == "A", "unknown").when(F.col("relation") == "N", "satisfied").otherwise("required")
+    sections = b.select(F.col("k").alias("pair"), assignment.alias("assignment"), (F.col("outcome") == "F").alias("verified"), (F.col("evidence") % 3 == 0).alias("qualified"))
+    return glue.glue(sections, b.where("k % 4 <> 0").select(F.col("k").alias("pair")))
+
+
+@query("SELECT DISTINCT k, CASE WHEN k IN (SELECT container FROM contains) THEN 'covered' ELSE 'uncovered' END AS status FROM obligation", "obligation", "contains")
+def cover_partition(spark, sf_dir, v):
+    return glue.cover(v("obligation"), v("contains").withColumnRenamed("container", "k"), "k")
+
+
+@query("""+a AS (SELECT k % 300 AS candidate, CASE evidence % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'safety' ELSE 'separation' END AS p, CASE WHEN outcome = 'F' THEN 'supports' WHEN relation = 'R' THEN 'opposes' ELSE 'unknown' END AS v FROM binding WHERE k % 50 = 0),
+    g AS (SELECT candidate, coalesce(bool_and(v = 'supports') FILTER (p = 'contract'), false) AS c, coalesce(bool_and(v = 'supports') FILTER (p = 'safety'), false) AS s, coalesce(bool_or(v = 'supports') FILTER (p = 'separation'), false) AS x,
+    coalesce(bool_or(v = 'opposes') FILTER (p = 'contract'), false) AS o FROM a GROUP BY candidate)
+    SELECT candidate, CASE WHEN x AND o THEN 'intentional_separation' WHEN NOT x AND c AND s THEN 'shared_validator' WHEN NOT x AND c THEN 'shared_conformance_test' ELSE 'inconclusive' END AS decision FROM g""", "binding")
+def family_decisions(spark, sf_dir, v):
+    prop = F.when(F.col("evidence") % 3 == 0, "contract").when(F.col("evidence") % 3 == 1, "safety").otherwise("separation")
+    verdict = F.when(F.col("outcome") == "F", "supports").when(F.col("relation") == "R", "opposes").otherwise("unknown")
+    return glue.family_decision(v("binding").where("k % 50 = 0").select((F.col("k") % 300).alias("candidate"), prop.alias("property"), verdict.alias("verdict")))
+
+
+@query("SELECT stream, count(*) AS members, sha256(string_agg(id, ',' ORDER BY id)) AS set_digest FROM obligation GROUP BY stream", "obligation")
+def set_digests(spark, sf_dir, v):
+    return v("obligation").groupBy("stream").agg(F.count(F.lit(1)).alias("members"), digest(F.collect_list("id")).alias("set_digest"))
+
+
+@query("SELECT n AS sorted_rank, v AS p95 FROM (SELECT c_nationkey AS v, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS n, count(*) OVER () AS total FROM customer) WHERE n = ceil(0.95 * total)")
+def nearest_rank_p95(spark, sf_dir, v):
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("c_nationkey").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.ceil(F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(95) / 100).cast("long")
+    rows = c.select(F.col("c_nationkey").alias("p95"), F.sum("n").over(w).alias("upto"), "n", rank.alias("sorted_rank"))
+    return rows.where("upto >= sorted_rank AND upto - n < sorted_rank").select("sorted_rank", "p95")
+
+
+@query("SELECT l.toxic AS label, d.lang, count(*) AS n, (count(*) * 1000000 // (SELECT count(*) FROM labels))::BIGINT AS ppm FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
+def label_shares(spark, sf_dir, v):
+    labels = table(spark, sf_dir, "labels")
+    n = labels.count()
+    rows = labels.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.groupBy(F.col("toxic").alias("label"), "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("ppm", F.floor(F.col("n") * F.lit(PPM) / F.lit(n)).cast("long"))
