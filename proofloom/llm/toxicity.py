@@ -69,9 +69,9 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most_per_class: int = MOST_PER_CLASS) -> Model:
     """Learns from labelled rows that are not held out; rows without text or label teach nothing.
 
-    The two classes are sampled apart (most_per_class rows each at most, by hash of the id) and
-    the intercept is set back to the share of toxic rows among the labels. Without rows of both
-    classes every score is that share (0 without labels).
+    The two classes are sampled apart (most_per_class rows each at most, by hash of the id); scores are
+    odds between the classes as sampled. Without rows of both classes, or without any feature, every
+    score is the share of toxic rows among the labels (0 without labels).
     """
     known = labels.where("toxic IS NOT NULL").groupBy(key).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col(key)))
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     top = per_cell.where("clean + toxic >= 5").select("cell", ratio.alias("r")).withColumn("w", F.abs("r")).join(per_cell, "cell")
     top = top.select("cell", "r", (F.col("w") * F.sqrt(F.col("clean") + F.col("toxic"))).alias("w")).orderBy(F.desc("w"), "cell").limit(MOST_FEATURES).collect()
     if not top:
-        return Model(weights, float(np.log(share / (1 - share))))
+        return Model(weights, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     index = np.full(1 << BITS, -1)
     cell_of, r = np.array([x[0] for x in top]), np.array([x[1] for x in top])
     index[cell_of] = np.arange(len(top))
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = np.array([x[2] for x in sample], float)
     w, b = _regress(of, col, r, y)
     weights[cell_of] = w * r
-    return Model(weights, float(b + np.log(share / (1 - share)) - np.log(n1 / n0)))
+    return Model(weights, float(b))
 
 
 def _regress(of, col, r, y, l2: float = 1.0, steps: int = 400):
