@@ -10,7 +10,6 @@ are listed too. Every candidate pair is checked on the whole sets.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -21,11 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
-_WORDS: dict[str, int] = {}
+_WORDS: dict[bytes, int] = {}
 
 
 @dataclass(frozen=True)
@@ -61,23 +58,27 @@ class Terms:
         return n
 
 
-def word_ids(words: list[str]) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8: bytes.split() parts at 0x20 and 0x09 to 0x0D and nowhere else."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def word_ids(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; the worker keeps those of up to a million words."""
     import xxhash
 
     known = _WORDS
-    if new := set(words) - known.keys():
-        if len(known) + len(new) > 1_000_000:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    if len(known) + len(words) > 1_000_000:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, terms: Terms) -> np.ndarray:
     """Sorted distinct shingle hashes of the whole text, A-Z lower-cased; fewer words: all of them as one."""
-    words = _WORD.findall(text.translate(_LOWER) if text else "")
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower() is A-Z alone
     if not words:
         return np.zeros(0, np.uint64)
     ids = word_ids(words)
@@ -103,9 +104,7 @@ def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.nd
         n = np.zeros(_CELLS, np.int64)
         for batch in parts:
             for t in batch.column(0).to_pylist():
-                n += 0 if t is None else np.bincount((shingle_set(t, terms) >> np.uint64(44)).astype(np.int64), minlength=_CELLS) if len(t) > 1_000_000 else 0
-                if t is not None and len(t) <= 1_000_000:
-                    np.add.at(n, (shingle_set(t, terms) >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(n, (shingle_set(t, terms) >> np.uint64(44)).astype(np.int64), 1)
         some = np.flatnonzero(n > max(12, 4 * n.mean()))
         rows = [(int(c), int(n[c])) for c in some] + [(-1, int(n.sum())), (-2, int((n > 0).sum()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["cell", "n"])
@@ -116,7 +115,7 @@ def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.nd
     return np.array(sorted(r[0] for r in top), np.int64), totals.get(-1, 0) / max(1, totals.get(-2, 1))
 
 
-def _keys(s: np.ndarray, terms: Terms, frequent: np.ndarray, boundary: int) -> list[int]:
+def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> list[int]:
     """Lookup keys of one set: subsets if it is light, prefix shingles if it is heavy or can link to a heavy one."""
     n, out = len(s), []
     if not n:
@@ -130,9 +129,8 @@ def _keys(s: np.ndarray, terms: Terms, frequent: np.ndarray, boundary: int) -> l
                     h ^= h >> 32
                 out.append(h)
     if terms.partners(n)[-1] > boundary:
-        late = s[np.isin((s >> np.uint64(44)).astype(np.int64), frequent)]
-        early = s if not len(late) else np.setdiff1d(s, late, assume_unique=True)
-        out += np.concatenate([early, late])[: terms.prefix(n)].tolist()
+        late = is_late[(s >> np.uint64(44)).astype(np.int64)]
+        out += np.concatenate([s[~late], s[late]])[: terms.prefix(n)].tolist()
     return out
 
 
@@ -148,6 +146,8 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     frequent, list_length = _frequent(docs, terms)
     boundary = terms.boundary(list_length)
+    is_late = np.zeros(_CELLS, bool)
+    is_late[frequent] = True
 
     def describe(parts):
         import pyarrow as pa
@@ -158,7 +158,7 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
                 s = shingle_set(t, terms)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                keys.append(np.array(_keys(s, terms, frequent, boundary), np.uint64).view(np.int64))
+                keys.append(np.array(_keys(s, terms, is_late, boundary), np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
 
     sets = written(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long, keys array<long>"), "sets")

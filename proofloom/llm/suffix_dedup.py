@@ -11,15 +11,18 @@ of fixed length give the same matches of `passage` words or more and keep counts
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .ngram_join import _WORD, word_ids
+from .common import WORD, written
+from .ngram_join import word_ids, words_of
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 PASSAGE, GRAM = 50, 20
+_WORD = re.compile(WORD)
 
 
 def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -56,10 +59,6 @@ def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def _words(text: str | None) -> list[str]:
-    return _WORD.findall(text or "")
-
-
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """(doc_id, mark, first, last, kept): spans of words that repeat in `passage` words or more.
 
@@ -77,7 +76,7 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
         for batch in parts:
             ids, marks, at, grams = [], [], [], []
             for d, t, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = _words(t)
+                words = words_of(t)
                 if len(words) < passage:
                     continue
                 g = _hashes(word_ids(words), gram)
@@ -100,7 +99,7 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
         for batch in parts:
             ids, marks, at, found = [], [], [], []
             for d, t, m, grams in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "mark", "grams"))):
-                words = word_ids(_words(t))
+                words = word_ids(words_of(t))
                 g = _hashes(words, gram)
                 of = _minimisers(g, width)
                 some = np.flatnonzero(np.isin(g.view(np.int64)[of], np.array(grams, np.int64)))
