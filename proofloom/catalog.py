@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .adapt import oracle, view
 from .functions import scalar
 from .model import PPM, digest
-from .operators import diff, discover, evidence, glue, resolve, rules
+from .operators import diff, discover, evidence, glue, resolve, review, rules
 from .plans import waves
+from .sources import listings
 from .streaming import lifecycle
 
 QUERIES: dict = {}
@@ -331,3 +332,116 @@ def label_shares(spark, sf_dir, v):
     n = labels.count()
     rows = labels.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return rows.groupBy(F.col("toxic").alias("label"), "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("ppm", F.floor(F.col("n") * F.lit(PPM) / F.lit(n)).cast("long"))
+
+
+@query("SELECT stream, reason FROM (SELECT stream, state AS reason, row_number() OVER (PARTITION BY stream ORDER BY CASE state WHEN 'completed' THEN 1 ELSE 99 END, state) AS r FROM event) WHERE r = 1", "event")
+def strongest_reasons(spark, sf_dir, v):
+    named = v("event").withColumn("why", F.when(F.col("state") == "completed", "parse_failure").otherwise(F.col("state")))
+    picked = review.strongest_reason(named, "stream", "why")
+    return picked.select("stream", F.when(F.col("reason") == "parse_failure", "completed").otherwise(F.col("reason")).alias("reason"))
+
+
+@query(_RESOLVED + """, e AS (SELECT y.scope, d.k AS callee, call_id, CASE confidence WHEN 'exact' THEN 0 WHEN 'name_only' THEN 1 ELSE 2 END AS r FROM y JOIN declaration d ON d.name = y.name
+    WHERE confidence <> 'unresolved' AND NOT (confidence = 'ambiguous' AND candidates > 5) AND (tier = 'name' OR d.scope = y.scope))
+    SELECT scope, callee, CASE min(r) WHEN 0 THEN 'exact' WHEN 1 THEN 'name_only' ELSE 'ambiguous' END AS confidence, count(DISTINCT call_id) AS sites FROM e GROUP BY scope, callee""", "call_site", "declaration")
+def call_edges(spark, sf_dir, v):
+    return review.call_edges(resolve.resolve_calls(v("call_site"), v("declaration")), v("call_site"), v("declaration"))
+
+
+@query("""+u AS (SELECT name, string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR) AS callers FROM call_site WHERE scope < 5 GROUP BY name)
+    SELECT k, coalesce(callers, '') AS callers FROM declaration LEFT JOIN u USING (name)""", "call_site", "declaration")
+def removed_callers(spark, sf_dir, v):
+    return review.removed_callers(v("declaration"), v("call_site").where("scope < 5"))
+
+
+@query("SELECT DISTINCT s.k, c.src, c.dst FROM side_effect s JOIN touches_supplier c ON c.src = s.k OR c.dst = s.k", "side_effect", "touches_supplier")
+def neighbourhoods(spark, sf_dir, v):
+    return review.neighbourhood(v("side_effect"), v("touches_supplier"))
+
+
+@query("SELECT x.k AS a, y.k AS b FROM artifact x JOIN artifact y ON x.path = y.path AND x.k < y.k AND x.start_line <= y.end_line AND y.start_line <= x.end_line", "artifact")
+def overlapping_spans(spark, sf_dir, v):
+    return review.overlapping_spans(v("artifact").select("path", F.col("k").alias("id"), F.col("start_line").alias("s"), F.col("end_line").alias("e")))
+
+
+@query("""WITH RECURSIVE w AS (SELECT s_suppkey AS id, s_suppkey AS last, 0 AS hops FROM supplier UNION ALL SELECT id, last // 3, hops + 1 FROM w WHERE last > 2 AND hops < 8)
+    SELECT id, min_by(last, -hops) AS last, max(hops) AS hops FROM w GROUP BY id""")
+def reexport_chains(spark, sf_dir, v):
+    s = table(spark, sf_dir, "supplier")
+    links = s.where("s_suppkey > 2").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 3").alias("dst"))
+    return review.follow_chain(s.select(F.col("s_suppkey").alias("id")), links)
+
+
+@query("""SELECT CASE WHEN o_orderkey NOT IN (SELECT k FROM binding) THEN 'missing' WHEN o_orderkey NOT IN (SELECT k FROM binding WHERE relation = 'N') THEN 'unscored' ELSE 'scored' END AS status, count(*) AS n
+    FROM orders GROUP BY 1""", "binding")
+def run_summary(spark, sf_dir, v):
+    return review.run_summary(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"), v("binding"), v("binding").where("relation = 'N'"), "k")
+
+
+@query("SELECT scope, name, count(*) AS n, sha256(string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR)) AS ids FROM call_site GROUP BY scope, name", "call_site")
+def unresolved_buckets(spark, sf_dir, v):
+    return review.unresolved_buckets(v("call_site"), ["scope", "name"], "call_id")
+
+
+@query("""SELECT k, CASE WHEN count(*) FILTER (relation <> 'A') = 0 THEN 'incomplete' WHEN count(*) FILTER (relation <> 'A') = count(*) FILTER (relation <> 'A' AND outcome = 'F') THEN 'pass' ELSE 'blocked' END AS gate
+    FROM binding GROUP BY k""", "binding")
+def gates(spark, sf_dir, v):
+    return review.gate(v("binding"), F.col("relation") != "A", F.col("outcome") == "F")
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS excerpt FROM documents")
+def line_excerpts(spark, sf_dir, v):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", review.excerpt(docs, "text", 2, 2).alias("excerpt"))
+
+
+@query("""SELECT s_nationkey AS family, NULL::BIGINT AS member, unnest(['change_reason', 'separation', 'conformance']) AS property FROM (SELECT DISTINCT s_nationkey FROM supplier)
+    UNION ALL SELECT s_nationkey, s_suppkey, unnest(['contract', 'purpose', 'input', 'output', 'effects', 'errors']) FROM supplier""")
+def decision_obligations(spark, sf_dir, v):
+    members = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("family"), F.col("s_suppkey").alias("member"))
+    return review.members_times_properties(members, "family", ["change_reason", "separation", "conformance"], ["contract", "purpose", "input", "output", "effects", "errors"])
+
+
+@query("""+d AS (SELECT stream, max(seq) AS seq, arg_max(state, seq) AS value FROM event WHERE state IN ('completed', 'planned') GROUP BY stream), i AS (SELECT stream, max(seq) AS struck FROM event WHERE state = 'stale' GROUP BY stream)
+    SELECT stream, seq, value FROM d LEFT JOIN i USING (stream) WHERE struck IS NULL OR struck < seq""", "event")
+def active_decisions(spark, sf_dir, v):
+    e = v("event")
+    return review.last_valid(e.where("state IN ('completed', 'planned')").withColumnRenamed("state", "value"), e.where("state = 'stale'"), "stream")
+
+
+@query("SELECT seq AS id, stream, lag(seq) OVER (PARTITION BY stream ORDER BY seq) AS supersedes FROM event WHERE state = 'completed'", "event")
+def superseded_findings(spark, sf_dir, v):
+    return review.superseded(v("event").where("state = 'completed'").withColumn("id", F.col("seq")), "stream").select("id", "stream", "supersedes")
+
+
+@query("SELECT k, '{\"id\":\"' || id || '\",\"status\":\"' || status || '\",\"stream\":' || stream || '}' AS report FROM obligation", "obligation")
+def obligation_reports(spark, sf_dir, v):
+    return review.json_report(v("obligation"), "k", ["status", "id", "stream"])
+
+
+@query("SELECT p_partkey AS k, list_aggregate(list_sort(list_distinct(string_split(lower(p_name), ' '))), 'string_agg', ',') AS words FROM part")
+def identifier_words(spark, sf_dir, v):
+    return v("artifact").select("k", F.array_join(scalar.identifier_words(F.col("label")), ",").alias("words"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT s_nationkey AS g, printf('%06d', s_suppkey) AS path, (s_suppkey * 37 % 90)::BIGINT AS size, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+    w AS (SELECT g, path, size, r, CASE WHEN size > 80 THEN 'file_too_large' WHEN size > 100 THEN 'total_exceeded' ELSE 'accepted' END AS outcome, CASE WHEN size <= 80 THEN size ELSE 0 END AS total FROM f WHERE r = 1
+      UNION ALL SELECT f.g, f.path, f.size, f.r, CASE WHEN f.size > 80 THEN 'file_too_large' WHEN w.total + f.size > 100 THEN 'total_exceeded' ELSE 'accepted' END, w.total + CASE WHEN f.size <= 80 AND w.total + f.size <= 100 THEN f.size ELSE 0 END
+      FROM w JOIN f ON f.g = w.g AND f.r = w.r + 1) SELECT g, path, size, outcome FROM w""")
+def bounded_read(spark, sf_dir, v):
+    files = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.format_string("%06d", "s_suppkey").alias("path"), (F.col("s_suppkey") * 37 % 90).alias("size"))
+    return listings.admitted(files, "g", "path", "size", 80, 100)
+
+
+@query("SELECT seq, stream FROM (SELECT seq, stream, lag(seq) OVER (PARTITION BY stream ORDER BY seq) AS p FROM event) WHERE p IS NOT NULL AND (seq <> p + 1 OR seq % 10 = 0) OR p IS NULL AND seq % 10 = 0", "event")
+def chain_breaks(spark, sf_dir, v):
+    e = v("event")
+    before = F.lag("seq").over(Window.partitionBy("stream").orderBy("seq"))
+    hashed = e.select("seq", "stream", F.sha2(F.col("seq").cast("string"), 256).alias("h"), F.when(F.col("seq") % 10 == 0, "broken").otherwise(F.sha2(before.cast("string"), 256)).alias("p"))
+    return listings.chain_breaks(hashed, "seq", "h", "p", "stream").select("seq", "stream")
+
+
+@query("SELECT CASE WHEN k IN (SELECT k FROM after_fn) THEN 'ok' ELSE 'patch_missing' END AS status, count(*) AS n FROM before_fn GROUP BY 1 UNION ALL SELECT 'unlisted', count(*) FROM after_fn WHERE k NOT IN (SELECT k FROM before_fn)", "before_fn", "after_fn")
+def listing_cross_check(spark, sf_dir, v):
+    paths = lambda d: d.select(F.col("k").alias("path"))
+    return listings.cross_check(paths(v("before_fn")), paths(v("after_fn"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
