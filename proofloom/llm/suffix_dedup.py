@@ -62,10 +62,11 @@ def _minimisers(grams: np.ndarray, width: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """(doc_id, mark, first, last, kept): spans of words that repeat in `passage` words or more.
 
-    first and last (excluded) count words of the text. kept: the span holds the first occurrence (by
-    ascending doc_id, hash of the text (mark), then place) of each of its windows; spans
-    are cut where this changes, so the spans not kept are what dedup removes: of words in
-    such a window that no first occurrence covers. Null, empty and shorter texts have no spans.
+    first and last (excluded) count words of the text, mark is its hash. kept: the span is covered by first occurrences (by
+    ascending doc_id, then place) of windows; spans are cut where this changes, so the spans not kept are
+    what dedup removes. Of equal texts only that of the smallest id is searched; the others are one span, not kept. Rows that
+    are equal in id and text count as one row, rows with equal ids as parts of one document, of which
+    each keeps what occurs there first. Null, empty and shorter texts have no spans.
     """
     width = passage - gram + 1
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
@@ -74,47 +75,48 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
         import pyarrow as pa
 
         for batch in parts:
-            ids, marks, at, grams = [], [], [], []
+            ids, marks, sizes, grams = [], [], [], []
             for d, t, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = words_of(t)
                 if len(words) < passage:
                     continue
                 g = _hashes(word_ids(words), gram)
                 p = np.unique(_minimisers(g, width))
-                at.append(p)
                 grams.append(g[p])
                 ids += [d] * len(p)
                 marks += [m] * len(p)
-            if at:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(grams).view(np.int64))], ["doc_id", "mark", "gram"])
-
-    suffixes = written(base.mapInArrow(sampled, "doc_id long, mark long, gram long"), "suffixes")
+                sizes += [len(words)] + [0] * (len(p) - 1)
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(grams).view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "mark", "gram", "words"])
+
+    # one row per kept suffix; words is set on the first of a row alone
+    suffixes = written(base.mapInArrow(sampled, "doc_id long, mark long, gram long, words long"), "suffixes")
+    heads = suffixes.where("words > 0").select("doc_id", "mark", "words")
+    units = written(heads.groupBy("mark").agg(F.min("doc_id").alias("unit"), F.count(F.lit(1)).alias("times")), "units")
     often = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     hot = suffixes.join(often, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("gram").alias("grams"))
-    hot = written(hot, "hot-suffixes")
+    hot = written(hot.join(units, "mark").where("doc_id <=> unit").select("doc_id", "mark", "grams", "times"), "hot-suffixes")
 
     def extended(parts):
         import pyarrow as pa
 
         for batch in parts:
-            ids, marks, at, found = [], [], [], []
-            for d, t, m, grams in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "mark", "grams"))):
+            for d, t, m, grams, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "mark", "grams", "times"))):
                 words = word_ids(words_of(t))
                 g = _hashes(words, gram)
                 of = _minimisers(g, width)
                 some = np.flatnonzero(np.isin(g.view(np.int64)[of], np.array(grams, np.int64)))
-                at.append(some)
-                found.append(_hashes(words, passage)[some])
-                ids += [d] * len(some)
-                marks += [m] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(at).astype(np.int64)), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "mark", "at", "window"])
+                found = _hashes(words, passage)[some]
+                again = np.ones(len(some), bool)
+                again[np.unique(found, return_index=True)[1]] = False
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([m] * n, pa.int64()), pa.array(some.astype(np.int32)), pa.array(found.view(np.int64)), pa.array(again), pa.array([times] * n, pa.int64())], ["doc_id", "mark", "at", "window", "again", "times"])
 
     left, right = base.alias("l"), hot.alias("r")
-    joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))).select("l.doc_id", "l.text", "l.mark", "r.grams")
-    windows = written(joined.mapInArrow(extended, "doc_id long, mark long, at long, window long"), "windows")
-    place = F.struct(F.col("doc_id"), F.col("mark"), F.col("at"))
-    groups = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1").select("window", "head")
-    met = windows.join(groups, "window").select("doc_id", "mark", "at", F.col("head").eqNullSafe(place).alias("first"))
+    joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))).select("l.doc_id", "l.text", "l.mark", "r.grams", "r.times")
+    windows = written(joined.mapInArrow(extended, "doc_id long, mark long, at int, window long, again boolean, times long"), "windows")
+    groups = windows.groupBy("window").agg(F.sum("times").alias("n"), F.min("doc_id").alias("head")).where("n > 1").select("window", "head")
+    met = windows.select("doc_id", "mark", "at", "window", "again").join(groups, "window").select("doc_id", "mark", "at", (F.col("head").eqNullSafe(F.col("doc_id")) & ~F.col("again")).alias("first"))
     per_doc = met.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.when(F.col("first"), F.col("at")))).alias("firsts"), F.sort_array(F.collect_set("at")).alias("all"))
 
     def joined_spans(parts):
@@ -124,14 +126,20 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
             out = []
             for d, m, firsts, every in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "firsts", "all"))):
                 n = every[-1] + passage
-                edge = lambda starts: np.cumsum(np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.array(starts, int) + passage, minlength=n + 1)[: n + 1]) > 0
-                covered, kept = edge(every)[:n], edge(firsts)[:n] if firsts else np.zeros(n, bool)
-                state = np.where(covered, np.where(kept, 2, 1), 0)
+
+                def covered(starts):
+                    at = np.array(starts, np.int64)
+                    return (np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + passage, minlength=n + 1)) > 0)[:n]
+
+                state = covered(every).astype(int) + covered(firsts)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(state)) + 1, [n]])
                 out += [(d, m, int(a), int(b), bool(state[a] == 2)) for a, b in zip(cuts[:-1], cuts[1:]) if state[a]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "mark", "first", "last", "kept"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["doc_id", "mark", "first", "last", "kept"])
 
-    return per_doc.mapInArrow(joined_spans, "doc_id long, mark long, first long, last long, kept boolean")
+    spans = per_doc.mapInArrow(joined_spans, "doc_id long, mark long, first long, last long, kept boolean")
+    copies = heads.join(units.select("mark", "unit"), "mark").where("NOT doc_id <=> unit").distinct()
+    return spans.unionByName(copies.select("doc_id", "mark", F.lit(0).cast("long").alias("first"), F.col("words").alias("last"), F.lit(False).alias("kept")))
 
 
 def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
