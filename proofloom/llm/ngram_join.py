@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +22,10 @@ from .common import components, written
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
+#: A class of sizes spans this many of the steps by which linked sizes can differ.
+_CLASS_STEPS = 3
+#: Bits of the parity signature.
+_SIGNED = 512
 _WORDS: dict[bytes, int] = {}
 
 
@@ -47,6 +51,11 @@ class Terms:
         """Sizes of the subsets that a light set of n shingles puts forth."""
         return sorted({self.shared(n, m) for m in self.partners(n) if m >= 1})
 
+    def classes(self, n: int) -> list[int]:
+        """Size classes whose lists hold a set of n: its own and, if a partner can lie in the next, that too."""
+        own = lambda m: int(log(m) / (_CLASS_STEPS * log(self.den / self.num)) + 1e-9)
+        return sorted({own(n), own(self.partners(n)[-1])})
+
     def light_cost(self, n: int) -> int:
         return sum(comb(n, c) for c in self.subsets(n))
 
@@ -130,7 +139,9 @@ def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> li
                 out.append(h)
     if terms.partners(n)[-1] > boundary:
         late = is_late[(s >> np.uint64(44)).astype(np.int64)]
-        out += np.concatenate([s[~late], s[late]])[: terms.prefix(n)].tolist()
+        prefix = np.concatenate([s[~late], s[late]])[: terms.prefix(n)]
+        for c in terms.classes(n):
+            out += ((prefix ^ np.uint64(c)) * _PRIME).tolist()
     return out
 
 
@@ -153,66 +164,97 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
         import pyarrow as pa
 
         for batch in parts:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, signs = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, terms)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 keys.append(np.array(_keys(s, terms, is_late, boundary), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "keys"])
-
-    sets = written(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long, keys array<long>"), "sets")
-    classes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    classes = written(classes, "classes")
-    listed = classes.select(F.explode("keys").alias("key"), "node", "n")
-    heads = listed.groupBy("key").agg(F.min(F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    listed = written(listed.join(heads.select("key", F.col("head.node").alias("pivot"), F.col("head.n").alias("pivot_n")), "key"), "lists")
-    fits = lambda a, b: F.col(a) * terms.den >= F.col(b) * terms.num
-    stars = listed.where((F.col("pivot") != F.col("node")) & fits("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    whole = _whole_sets(docs, sets, written(listed.select("node").distinct(), "listed-nodes"), terms)
-    edges = written(_checked(stars, whole, terms), "links")
+                signs.append(signature(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "keys", "sign"])
+
+    sets = written(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long, keys array<long>, sign binary"), "sets")
+    some = sets.where("node IS NOT NULL")
+    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sign").alias("sign")), "classes")
+    listed = some.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
+    many = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    listed = written(listed.join(many, "key", "left_semi").dropDuplicates(["key", "node"]), "lists")
+    heads = listed.groupBy("key").agg(F.min_by("node", F.col("n") * F.lit(1 << 20) + F.abs(F.col("node")) % (1 << 20)).alias("pivot"))
+    sized = classes.select(F.col("node").alias("pivot")).join(listed.groupBy("node").agg(F.max("n").alias("pivot_n")).withColumnRenamed("node", "pivot"), "pivot")
+    stars = listed.join(heads, "key").where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct()
+    stars = stars.join(sized.select(F.col("pivot").alias("a"), "pivot_n"), "a").where(_fits("pivot_n", "n", terms)).select("a", "b")
+    edges = written(_linked(written(stars, "stars"), docs, classes, terms), "links")
     roots = components(edges)
     # what the stars leave apart: all pairs of a list that lie in different components
-    rooted = written(listed.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = written(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = written(rooted.join(split, "key"), "open-lists")
-    if not open_.isEmpty():
-        by_root = open_.select("key", "root").distinct()
-        apart = by_root.select("key", F.col("root").alias("r1")).join(by_root.select("key", F.col("root").alias("r2")), "key").where("r1 < r2")
-        one = open_.select("key", F.col("root").alias("r1"), F.col("node").alias("x"), F.col("n").alias("nx"))
-        two = open_.select("key", F.col("root").alias("r2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-        pairs = apart.join(one, ["key", "r1"]).join(two, ["key", "r2"]).where(fits("nx", "ny") & fits("ny", "nx"))
-        pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        more = written(_checked(pairs, whole, terms), "links")
+    open_ = rooted.join(split, "key", "left_semi")
+    by_root = open_.select("key", "root").distinct()
+    apart = by_root.select("key", F.col("root").alias("r1")).join(by_root.select("key", F.col("root").alias("r2")), "key").where("r1 < r2")
+    one = open_.select("key", F.col("root").alias("r1"), F.col("node").alias("x"), F.col("n").alias("nx"))
+    two = open_.select("key", F.col("root").alias("r2"), F.col("node").alias("y"), F.col("n").alias("ny"))
+    pairs = apart.join(one, ["key", "r1"]).join(two, ["key", "r2"]).where(_fits("nx", "ny", terms))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = written(_linked(written(pairs, "pairs"), docs, classes, terms), "links")
+    if not more.isEmpty():
         roots = components(edges.union(more))
     named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     node_component = named.join(least, "root").select("node", "component_id")
-    joined = sets.drop("keys").join(node_component, "node", "left")
+    joined = sets.select("doc_id", "n_shingles", "node").join(node_component, "node", "left")
     return joined.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _whole_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, terms: Terms) -> DataFrame:
-    """(node, set) of the listed nodes, from one text each, computed anew so that sets of other texts are never stored."""
+def _fits(a: str, b: str, terms: Terms) -> F.Column:
+    """Sizes a and b are near enough to link."""
+    return (F.col(a) * terms.den >= F.col(b) * terms.num) & (F.col(b) * terms.den >= F.col(a) * terms.num)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parities of the shingles in _SIGNED cells, and the size: two sets differ in as many shingles as their parities in cells, or more."""
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(_SIGNED)).astype(np.int64), minlength=_SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes() + len(s).to_bytes(8, "little")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
+    """Those pairs (a, b) of nodes that link: first by signatures, which rule out without error, then by whole sets.
+
+    Whole sets are computed anew, from one text of each node that is left, so those of other texts are never stored;
+    they travel as the upper 32 bits of each shingle's hash.
+    """
     import xxhash
 
-    one = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    wide = _SIGNED // 8 + 8
 
-    def compute(parts):
+    def possible(parts):
         import pyarrow as pa
 
         for batch in parts:
-            found = [shingle_set(t, terms) for t in batch.column(0).to_pylist()]
-            found = [s for s in found if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, wide) for c in ("p", "q"))
+            apart = np.unpackbits(p[:, :-8] ^ q[:, :-8], axis=1).sum(axis=1, dtype=np.int64)
+            both = p[:, -8:].copy().view("<i8")[:, 0] + q[:, -8:].copy().view("<i8")[:, 0]
+            # intersection <= (a + b - apart) / 2
+            keep = terms.den * (both - apart) >= terms.num * (both + apart)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    signs = classes.select("node", "sign")
+    signed = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("p")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("q")), "b")
+    left = written(signed.select("a", "b", "p", "q").mapInArrow(possible, "a long, b long"), "possible")
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    one = written(classes.join(nodes, "node", "left_semi").select(F.col("least").alias("_id")).distinct(), "needed")
 
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"]), "left_semi").select("text")
-    return written(texts.mapInArrow(compute, "node long, set binary").dropDuplicates(["node"]), "whole-sets")
+    def compute(parts):
+        import pyarrow as pa
 
+        for batch in parts:
+            found = [s for s in (shingle_set(t, terms) for t in batch.column(0).to_pylist()) if len(s)]
+            names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in found], pa.binary())], ["node", "set"])
 
-def _checked(pairs: DataFrame, whole: DataFrame, terms: Terms) -> DataFrame:
-    """Those pairs (a, b) whose whole sets link."""
+    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]), "left_semi").select("text")
+    whole = written(texts.mapInArrow(compute, "node long, set binary"), "whole-sets").dropDuplicates(["node"])
 
     def check(parts):
         import pyarrow as pa
@@ -220,13 +262,13 @@ def _checked(pairs: DataFrame, whole: DataFrame, terms: Terms) -> DataFrame:
         for batch in parts:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(p, q))
                 keep.append(terms.den * both >= terms.num * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sized = pairs.join(whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return sized.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    full = left.join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, terms: Terms) -> DataFrame:
