@@ -24,7 +24,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
 #: A class of sizes spans this many of the steps by which linked sizes can differ.
 _CLASS_STEPS = 3
-#: Bits of the parity signature.
+#: Least cells of a parity signature.
 _SIGNED = 512
 _WORDS: dict[bytes, int] = {}
 
@@ -211,9 +211,24 @@ def _fits(a: str, b: str, terms: Terms) -> F.Column:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parities of the shingles in _SIGNED cells, and the size: two sets differ in as many shingles as their parities in cells, or more."""
-    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(_SIGNED)).astype(np.int64), minlength=_SIGNED) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes() + len(s).to_bytes(8, "little")
+    """Size (8 bytes) and parities of the shingles in cells, a power of two that grows with the size.
+
+    Two sets differ in as many shingles as their parities in cells, or more. Halves of a signature
+    XORed are the signature of half as many cells, so sets of unequal sizes compare.
+    """
+    cells = max(_SIGNED, 1 << (len(s) // 2).bit_length())
+    odd = np.bincount(((s >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """Fewest shingles in which the sets of two signatures differ."""
+    x, y = np.frombuffer(p, np.uint8)[8:], np.frombuffer(q, np.uint8)[8:]
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
@@ -224,20 +239,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, terms: Terms)
     """
     import xxhash
 
-    wide = _SIGNED // 8 + 8
-
     def possible(parts):
         import pyarrow as pa
 
         for batch in parts:
-            if not batch.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, wide) for c in ("p", "q"))
-            apart = np.unpackbits(p[:, :-8] ^ q[:, :-8], axis=1).sum(axis=1, dtype=np.int64)
-            both = p[:, -8:].copy().view("<i8")[:, 0] + q[:, -8:].copy().view("<i8")[:, 0]
-            # intersection <= (a + b - apart) / 2
-            keep = terms.den * (both - apart) >= terms.num * (both + apart)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist()):
+                apart, both = _apart(p, q), int.from_bytes(p[:8], "little") + int.from_bytes(q[:8], "little")
+                keep.append(terms.den * (both - apart) >= terms.num * (both + apart))  # intersection <= (both - apart) / 2
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     signs = classes.select("node", "sign")
     signed = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("p")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("q")), "b")
