@@ -2,8 +2,11 @@
 
 Two sets of sizes a and b link only if they share o(a, b) shingles. A small (light) set therefore puts
 forth all its subsets of the sizes o(a, b) of its possible partners; linked light sets share one. A
-large (heavy) set is listed under the shingles of its prefix: the first n - least + 1 in one
-fixed order of all shingles, with frequent ones last, least being the fewest it must share.
+large (heavy) set is dealt by the hashes of its shingles into as many cells as the shingles in which linked
+sets can differ, and some spare ones; linked sets then have more equal cells than spare ones. The contents of
+cells are the elements of the inverted lists. A set is listed under all elements but the
+spare ones that come last in one fixed order, in which poor and frequent elements are last. Single
+shingles are no elements, for lists of frequent ones grow with the corpus.
 The size where the one way costs more than the other is the boundary; light sets that can link to heavy ones
 are listed too. Every candidate pair is checked on the whole sets.
 """
@@ -24,6 +27,10 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
 #: A class of sizes spans this many of the steps by which linked sizes can differ.
 _CLASS_STEPS = 3
+#: Sets of each list that are checked against its others, round by round, before all that are left apart.
+_PIVOTS = (1, 8)
+#: Sets of a block, and the longest list whose pairs are joined as rows: longer ones are compared block by block.
+_BLOCK, _SHORT = 256, 16
 #: Least cells of a parity signature.
 _SIGNED = 512
 _WORDS: dict[bytes, int] = {}
@@ -44,17 +51,25 @@ class Terms:
     def partners(self, n: int) -> range:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
-
     def subsets(self, n: int) -> list[int]:
         """Sizes of the subsets that a light set of n shingles puts forth."""
         return sorted({self.shared(n, m) for m in self.partners(n) if m >= 1})
 
     def classes(self, n: int) -> list[int]:
         """Size classes whose lists hold a set of n: its own and, if a partner can lie in the next, that too."""
-        own = lambda m: int(log(m) / (_CLASS_STEPS * log(self.den / self.num)) + 1e-9)
-        return sorted({own(n), own(self.partners(n)[-1])})
+        return sorted({self._class_of(n), self._class_of(self.partners(n)[-1])})
+
+    def _class_of(self, n: int) -> int:
+        return int(log(n) / (_CLASS_STEPS * log(self.den / self.num)) + 1e-9)
+
+    def listed(self, c: int) -> int:
+        """Elements under which a set is listed in class c: one more than the shingles in which linked sets of the class can differ."""
+        top = int((self.den / self.num) ** (_CLASS_STEPS * (c + 1))) + 1
+        return (self.den - self.num) * 2 * top // (self.den + self.num) + 1
+
+    def cells(self, c: int) -> int:
+        """Cells of a set in class c: those listed and the spare ones."""
+        return self.listed(c) + (self.listed(c) + 3) // 8
 
     def light_cost(self, n: int) -> int:
         return sum(comb(n, c) for c in self.subsets(n))
@@ -62,7 +77,7 @@ class Terms:
     def boundary(self, list_length: float) -> int:
         """Largest size whose subsets cost no more than its inverted lists."""
         n = 0
-        while n < 64 and self.light_cost(n + 1) <= self.prefix(n + 1) * (1 + list_length):
+        while n < 64 and self.light_cost(n + 1) <= self.listed(self.classes(n + 1)[0]) * (1 + list_length):
             n += 1
         return n
 
@@ -100,11 +115,23 @@ def shingle_set(text: str | None, terms: Terms) -> np.ndarray:
     return np.unique(h)
 
 
+def elements(s: np.ndarray, c: int, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of a set in class c (a hash of class, cell and the cell's shingles each), and shingles in each cell."""
+    k = terms.cells(c)
+    with np.errstate(over="ignore"):
+        mixed = (s ^ (s >> np.uint64(31))) * _PRIME
+        cell = ((mixed >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
+        sums = np.zeros(k, np.uint64)
+        np.add.at(sums, cell, mixed ^ (mixed >> np.uint64(29)))
+        h = (sums ^ np.arange(1, k + 1, dtype=np.uint64) * _PRIME ^ np.uint64(c)) * _PRIME
+    return (h ^ (h >> np.uint64(32))) * _PRIME, np.bincount(cell, minlength=k)
+
+
 def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.ndarray, float]:
-    """Cells of shingles that are frequent in some task, and the mean length of the lists of the others.
+    """Slots of elements that are frequent in some task, and the mean length of the lists.
 
-    Only the order of shingles and the boundary follow from these, never which pairs link; so the
-    bound on the cells loses nothing.
+    Only the order of elements and the boundary follow from these, never which pairs link; so the
+    bound on the slots loses nothing.
     """
 
     def count(parts):
@@ -113,7 +140,9 @@ def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.nd
         n = np.zeros(_CELLS, np.int64)
         for batch in parts:
             for t in batch.column(0).to_pylist():
-                np.add.at(n, (shingle_set(t, terms) >> np.uint64(44)).astype(np.int64), 1)
+                s = shingle_set(t, terms)
+                if len(s):
+                    np.add.at(n, (elements(s, terms.classes(len(s))[0], terms)[0] >> np.uint64(44)).astype(np.int64), 1)
         some = np.flatnonzero(n > max(12, 4 * n.mean()))
         rows = [(int(c), int(n[c])) for c in some] + [(-1, int(n.sum())), (-2, int((n > 0).sum()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["cell", "n"])
@@ -125,7 +154,7 @@ def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.nd
 
 
 def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> list[int]:
-    """Lookup keys of one set: subsets if it is light, prefix shingles if it is heavy or can link to a heavy one."""
+    """Lookup keys of one set: subsets if it is light, elements if it is heavy or can link to a heavy one."""
     n, out = len(s), []
     if not n:
         return out
@@ -138,10 +167,10 @@ def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> li
                     h ^= h >> 32
                 out.append(h)
     if terms.partners(n)[-1] > boundary:
-        late = is_late[(s >> np.uint64(44)).astype(np.int64)]
-        prefix = np.concatenate([s[~late], s[late]])[: terms.prefix(n)]
         for c in terms.classes(n):
-            out += ((prefix ^ np.uint64(c)) * _PRIME).tolist()
+            found, held = elements(s, c, terms)
+            poor = np.minimum(held, 4) - 4 * is_late[(found >> np.uint64(44)).astype(np.int64)]
+            out += found[np.lexsort((found, -poor))[: terms.listed(c)]].tolist()
     return out
 
 
@@ -179,22 +208,28 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
     listed = some.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
     many = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     listed = written(listed.join(many, "key", "left_semi").dropDuplicates(["key", "node"]), "lists")
-    heads = listed.groupBy("key").agg(F.min_by("node", F.col("n") * F.lit(1 << 20) + F.abs(F.col("node")) % (1 << 20)).alias("pivot"))
-    sized = classes.select(F.col("node").alias("pivot")).join(listed.groupBy("node").agg(F.max("n").alias("pivot_n")).withColumnRenamed("node", "pivot"), "pivot")
-    stars = listed.join(heads, "key").where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "n").distinct()
-    stars = stars.join(sized.select(F.col("pivot").alias("a"), "pivot_n"), "a").where(_fits("pivot_n", "n", terms)).select("a", "b")
-    edges = written(_linked(written(stars, "stars"), docs, classes, terms), "links")
-    roots = components(edges)
+    # a central set has many partners: it meets those of its lists that differ a little, each in its own way
+    length = listed.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    central = listed.join(length, "key").groupBy("node").agg(F.sum("length").alias("met"))
+    listed = written(listed.join(central, "node"), "central")
+    edges, roots = None, None
+    for pivots in _PIVOTS:
+        rows = _split(listed, roots)
+        heads = rows.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("_part")).agg(F.max(F.struct("met", "node", "root", "n")).alias("pivot"))
+        heads = heads.select("key", F.col("pivot.node").alias("p"), F.col("pivot.root").alias("p_root"), F.col("pivot.n").alias("p_n"))
+        stars = rows.join(heads, "key").where(F.col("root") != F.col("p_root")).where(_fits("n", "p_n", terms))
+        stars = stars.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        found = written(_linked(written(stars, "stars"), docs, classes, terms), "links")
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges)
     # what the stars leave apart: all pairs of a list that lie in different components
-    rooted = written(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = rooted.join(split, "key", "left_semi")
-    by_root = open_.select("key", "root").distinct()
-    apart = by_root.select("key", F.col("root").alias("r1")).join(by_root.select("key", F.col("root").alias("r2")), "key").where("r1 < r2")
-    one = open_.select("key", F.col("root").alias("r1"), F.col("node").alias("x"), F.col("n").alias("nx"))
-    two = open_.select("key", F.col("root").alias("r2"), F.col("node").alias("y"), F.col("n").alias("ny"))
-    pairs = apart.join(one, ["key", "r1"]).join(two, ["key", "r2"]).where(_fits("nx", "ny", terms))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_ = _split(listed, roots)
+    length = open_.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    open_ = written(open_.join(length, "key").select("key", "node", "root", "n", "length"), "open")
+    one = open_.where(F.col("length") <= _SHORT).select("key", F.col("root").alias("r1"), F.col("node").alias("x"), F.col("n").alias("nx"))
+    two = one.select("key", F.col("r1").alias("r2"), F.col("x").alias("y"), F.col("nx").alias("ny"))
+    pairs = one.join(two, "key").where("r1 < r2").where(_fits("nx", "ny", terms)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.union(_by_blocks(open_.where(F.col("length") > _SHORT), classes, terms)).distinct()
     more = written(_linked(written(pairs, "pairs"), docs, classes, terms), "links")
     if not more.isEmpty():
         roots = components(edges.union(more))
@@ -205,6 +240,47 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
     return joined.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _by_blocks(open_: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
+    """(a, b): pairs of a long list that lie in different components and that signatures do not rule out.
+
+    A list is dealt into blocks of about _BLOCK sets; each task compares two blocks, and what it rules out is never a row.
+    """
+    rows = open_.join(classes.select("node", "sign"), "node")
+    blocks = F.ceil(F.col("length") / _BLOCK).cast("long")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n", "sign")
+
+    def compare(group):
+        import pyarrow as pa
+
+        nodes, roots, n, block = (group.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        signs = [np.frombuffer(x, np.uint8)[8:] for x in group.column("sign").to_pylist()]
+        least = min(map(len, signs))
+        signs = np.stack([_folded(x, least) for x in signs])
+        first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        right = np.flatnonzero(block == second)
+        a, b = [], []
+        for x in np.flatnonzero(block == first):
+            apart, both = np.bitwise_count(signs[x] ^ signs[right]).sum(axis=1, dtype=np.int64), n[x] + n[right]
+            keep = (roots[x] != roots[right]) & (terms.den * (both - apart) >= terms.num * (both + apart))
+            met = nodes[right[keep]]
+            a.append(np.minimum(nodes[x], met))
+            b.append(np.maximum(nodes[x], met))
+        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _split(listed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of the lists whose sets lie in several components, with their root (without roots, each set's own)."""
+    if roots is None:
+        return listed.withColumn("root", F.col("node"))
+    rooted = written(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rooted.join(split, "key", "left_semi")
+
+
 def _fits(a: str, b: str, terms: Terms) -> F.Column:
     """Sizes a and b are near enough to link."""
     return (F.col(a) * terms.den >= F.col(b) * terms.num) & (F.col(b) * terms.den >= F.col(a) * terms.num)
@@ -221,13 +297,17 @@ def signature(s: np.ndarray) -> bytes:
     return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _apart(p: bytes, q: bytes) -> int:
     """Fewest shingles in which the sets of two signatures differ."""
     x, y = np.frombuffer(p, np.uint8)[8:], np.frombuffer(q, np.uint8)[8:]
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    least = min(len(x), len(y))
+    x, y = _folded(x, least), _folded(y, least)
     return int(np.bitwise_count(x ^ y).sum())
 
 

@@ -241,6 +241,23 @@ def test_jaccard_components(spark, terms):
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_components(rows, terms.words, terms.num, terms.den)
 
 
+def test_jaccard_long_lists_in_blocks(spark, monkeypatch):
+    """Variants of one text, many of which link with no other, met without pivots in small blocks."""
+    monkeypatch.setattr(ngram_join, "_SHORT", 1)
+    monkeypatch.setattr(ngram_join, "_BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "_PIVOTS", (1,))
+    r, words, terms = random.Random(8), vocabulary(n=60), ngram_join.Terms(3, 90, 100)
+    base = [r.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for _ in range(r.randint(0, 5)):
+            text[r.randrange(len(text))] = r.choice(words) + str(r.randint(0, 9))
+        rows.append((i, " ".join(text[r.randint(0, 6) :])))
+    got = ngram_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string"), terms).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute_components(rows, 3, 90, 100)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {(x["node"], x["root"]) for x in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
