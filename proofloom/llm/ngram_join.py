@@ -33,6 +33,8 @@ _PIVOTS = (1, 8)
 _BLOCK, _SHORT = 256, 16
 #: Least cells of a parity signature.
 _SIGNED = 512
+#: Words whose hashes a worker keeps: it outlives the stage, so they take memory from all later ones.
+_MOST_WORDS = 200_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -88,11 +90,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_ids(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the worker keeps those of up to a million words."""
+    """64-bit hashes of words; the worker keeps those of up to _MOST_WORDS words."""
     import xxhash
 
     known = _WORDS
-    if len(known) + len(words) > 1_000_000:
+    if len(known) + len(words) > _MOST_WORDS:
         known.clear()
     for w in words:
         if w not in known:

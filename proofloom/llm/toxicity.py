@@ -48,7 +48,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[str | None], most_chars: int = 1_000_000) -> np.ndarray:
+    def scores(self, texts: list[str | None], most_chars: int = 200_000) -> np.ndarray:
         from .tokens import batches
 
         parts = []
