@@ -4,8 +4,8 @@ Two sets of sizes a and b link only if they share o(a, b) shingles. A small (lig
 forth all its subsets of the sizes o(a, b) of its possible partners; linked light sets share one. A
 large (heavy) set is dealt by the hashes of its shingles into as many cells as the shingles in which linked
 sets can differ, and some spare ones; linked sets then have more equal cells than spare ones. The contents of
-cells are the elements of the inverted lists. A set is listed under all elements but the
-spare ones that come last in one fixed order, in which poor and frequent elements are last. Single
+cells are the elements of the inverted lists. Linked sets that differ in d shingles share
+one of their first d + 1 elements in one fixed order, in which poor and frequent elements are last; under these they are listed. Single
 shingles are no elements, for lists of frequent ones grow with the corpus.
 The size where the one way costs more than the other is the boundary; light sets that can link to heavy ones
 are listed too. Every candidate pair is checked on the whole sets.
@@ -64,14 +64,22 @@ class Terms:
     def _class_of(self, n: int) -> int:
         return int(log(n) / (_CLASS_STEPS * log(self.den / self.num)) + 1e-9)
 
-    def listed(self, c: int) -> int:
-        """Elements under which a set is listed in class c: one more than the shingles in which linked sets of the class can differ."""
-        top = int((self.den / self.num) ** (_CLASS_STEPS * (c + 1))) + 1
-        return (self.den - self.num) * 2 * top // (self.den + self.num) + 1
+    def _top(self, c: int) -> int:
+        """A bound on the sizes in class c."""
+        return int((self.den / self.num) ** (_CLASS_STEPS * (c + 1))) + 1
+
+    def _differ(self, both: int) -> int:
+        """Most shingles in which linked sets of together `both` shingles differ."""
+        return (self.den - self.num) * both // (self.den + self.num)
+
+    def listed(self, n: int, c: int) -> int:
+        """Elements under which a set of n is listed in class c: one more than it can differ in from a partner there."""
+        return self._differ(n + min(self.partners(n)[-1], self._top(c))) + 1
 
     def cells(self, c: int) -> int:
-        """Cells of a set in class c: those listed and the spare ones."""
-        return self.listed(c) + (self.listed(c) + 3) // 8
+        """Cells of a set in class c: more than its linked sets can differ in, and some spare ones."""
+        most = self._differ(2 * self._top(c)) + 1
+        return most + (most + 3) // 8
 
     def light_cost(self, n: int) -> int:
         return sum(comb(n, c) for c in self.subsets(n))
@@ -79,7 +87,7 @@ class Terms:
     def boundary(self, list_length: float) -> int:
         """Largest size whose subsets cost no more than its inverted lists."""
         n = 0
-        while n < 64 and self.light_cost(n + 1) <= self.listed(self.classes(n + 1)[0]) * (1 + list_length):
+        while n < 64 and self.light_cost(n + 1) <= self.listed(n + 1, self.classes(n + 1)[0]) * (1 + list_length):
             n += 1
         return n
 
@@ -172,7 +180,7 @@ def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> li
         for c in terms.classes(n):
             found, held = elements(s, c, terms)
             poor = np.minimum(held, 4) - 4 * is_late[(found >> np.uint64(44)).astype(np.int64)]
-            out += found[np.lexsort((found, -poor))[: terms.listed(c)]].tolist()
+            out += found[np.lexsort((found, -poor))[: terms.listed(n, c)]].tolist()
     return out
 
 
