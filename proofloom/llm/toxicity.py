@@ -69,9 +69,10 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most_per_class: int = MOST_PER_CLASS) -> Model:
     """Learns from labelled rows that are not held out; rows without text or label teach nothing.
 
-    The two classes are sampled apart (most_per_class rows each at most, by hash of the id); scores are
-    odds between the classes as sampled. Without rows of both classes, or without any feature, every
-    score is the share of toxic rows among the labels (0 without labels).
+    The two classes are sampled apart (most_per_class rows each at most, by hash of the id) and the
+    intercept is set back by the rates of the samples: scores are odds among all training labels, whether
+    the bound is reached or not. Without rows of both classes, or without any feature, every score is the
+    share of toxic rows among the labels (0 without labels).
     """
     known = labels.where("toxic IS NOT NULL").groupBy(key).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col(key)))
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = np.array([x[2] for x in sample], float)
     w, b = _regress(of, col, r, y)
     weights[cell_of] = w * r
-    return Model(weights, float(b))
+    rate = [min(1.0, most_per_class / counts[label]) for label in (0, 1)]
+    return Model(weights, float(b + np.log(rate[0]) - np.log(rate[1])))
 
 
 def _regress(of, col, r, y, l2: float = 1.0, steps: int = 400):

@@ -102,6 +102,22 @@ def test_toxicity_without_labels_scores_low(spark):
     assert all(x["score"] < 0.5 for x in toxicity.score(d, toxicity.fit(d, none)).collect())
 
 
+def test_toxicity_bound_keeps_the_odds(spark):
+    r, words = random.Random(5), vocabulary()
+    docs, labels = [], []
+    for i in range(2000):
+        t = [r.choice(words) for _ in range(20)]
+        if i % 10 == 0 and i % 20:
+            t[r.randrange(20)] = "gronkle"
+        docs.append((i, " ".join(t)))
+        labels.append((i, int(i % 10 == 0)))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    clean = [t for i, t in docs if i % 10]
+    whole, bound = (toxicity.fit(d, l, most_per_class=n).scores(clean) for n in (3000, 100))
+    odds = [float(np.median(np.log(s / (1 - s)))) for s in (whole, bound)]
+    assert abs(odds[0] - odds[1]) < 1 and odds[1] < -1
+
+
 def test_water_fill_reshares():
     got = mixing.water_fill([100, 1000, 10], [3, 1, 2])
     assert got[0] == 200 and got[2] == 20 and abs(sum(got) - 1.5 * 1110) < 1e-6 and got[1] <= 2000
