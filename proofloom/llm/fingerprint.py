@@ -1,4 +1,4 @@
-"""Threshold-scaled document sketches: every shingle hash below a fixed fraction is kept. Native."""
+"""Threshold-scaled document sketches: every shingle hash below a fixed fraction is kept, the least one of a text without any. Native."""
 
 from __future__ import annotations
 
@@ -12,38 +12,58 @@ from .quality import word_list
 WORDS, SCALE = 5, 4
 
 
-def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes (unsigned 32 bit range, as long) below 2**32 / scale.
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """Shingle hashes (unsigned 32 bit range, as long) in text order.
 
     A text of fewer words than a shingle is one shingle of all its words; no words: no shingle.
-    Sketches of two texts merge by set union into the sketch of both.
     """
-    top = (1 << 32) // scale
 
     def of(w: Column) -> Column:
         h = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 32)
-        many = F.filter(F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: h(*[F.get(w, i + k) for k in range(words)])), lambda x: x < top)
-        one = F.filter(F.array(h(F.array_join(w, " "))), lambda x: x < top)
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < words, one).otherwise(F.array_sort(F.array_distinct(many)))
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: h(*[F.get(w, i + k) for k in range(words)]))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < words, F.array(h(F.array_join(w, " ")))).otherwise(many)
 
     return bind(word_list(F.lower(F.coalesce(text, F.lit("")))), of)
 
 
+def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
+    """Sorted distinct shingle hashes below 2**32 / scale; the least hash where none is below: only a text without shingles has an empty sketch.
+
+    Sketches of two texts merge by set union into the sketch of both, less the hashes from the bound on if any is below it,
+    else less all but the least.
+    """
+    top = (1 << 32) // scale
+
+    def of(h: Column) -> Column:
+        least = F.when(F.size(h) == 0, h).otherwise(F.array(F.array_min(h)))
+        return bind(F.filter(h, lambda x: x < top), lambda low: F.when(F.size(low) == 0, least).otherwise(F.array_sort(F.array_distinct(low))))
+
+    return bind(shingles(text, words), of)
+
+
 def as_text(kept: Column) -> Column:
     """A sketch as text: eight hex digits a hash, in ascending order."""
     return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Estimated likeness: shared hashes over all hashes of both; two empty sketches are alike (1)."""
+    """Estimated likeness: shared hashes over all hashes of both; 1 if both sketches are equal, as are those of two texts without shingles."""
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, however unequal the two are; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, text_b: Column | None = None, words: int = WORDS, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has, however unequal the two are; 1 for an a without shingles.
+
+    b's sketch may lack a hash from the bound on that its text has: an a of such a hash is looked up in the shingles of
+    text_b; without text_b it counts as lacking.
+    """
+    share = F.size(F.array_intersect(a, b)) / F.size(a)
+    if text_b is not None:
+        above = F.array_contains(shingles(text_b, words), F.get(a, 0)).cast("double")
+        share = F.when(F.get(a, 0) >= (1 << 32) // scale, above).otherwise(share)
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(share)
 
 
 #: Most ranges of keys: their table (three longs each, 1.5 MB) is broadcast.

@@ -59,8 +59,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.as_text(b).alias("edited_fingerprint"),
         fingerprint.jaccard(a, b).alias("near_edited"),
         fingerprint.jaccard(a, c).alias("near_next"),
-        fingerprint.containment(a, b).alias("in_edited"),
-        fingerprint.containment(a, c).alias("in_next"),
+        fingerprint.containment(a, b, F.col("edited")).alias("in_edited"),
+        fingerprint.containment(a, c, F.col("next_text")).alias("in_next"),
     )
 
 

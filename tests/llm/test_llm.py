@@ -361,6 +361,25 @@ def test_sketches_estimate_containment(spark):
     assert got["c"] > 0.99 and abs(got["j"] - 0.25) < 0.05
 
 
+def test_short_texts_have_a_sketch(spark, tmp_path):
+    texts = [f"alpha{i} beta gamma" for i in range(40)] + ["alpha0 beta gamma " * 40, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.QUERIES["op9_fingerprints"](spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert [x["fingerprint"] != "" for x in rows] == [True] * 41 + [False] * 2
+    assert len({x["fingerprint"] for x in rows[:40]}) == 40
+    assert all(x["near_next"] == x["in_next"] == 0 for x in rows[:39])
+    assert [(x["near_next"], x["in_next"]) for x in rows[40:]] == [(0, 0), (1, 1), (0, 1)]
+
+
+def test_containment_of_few_shingles_looks_into_the_text(spark):
+    words = [f"w{i}" for i in range(600)]
+    pairs = [(" ".join(words[i : i + 5]), " ".join(words)) for i in range(500)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = fingerprint.sketch(df["a"]), fingerprint.sketch(df["b"])
+    got = df.select(fingerprint.containment(a, b, df["b"]).alias("c")).collect()
+    assert {x["c"] for x in got} == {1.0}
+
+
 def test_suffix_dedup(spark):
     rows = [(x[0], x[1]) for x in corpus(4, 50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
