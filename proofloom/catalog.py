@@ -252,20 +252,21 @@ def chain_levels(spark, sf_dir, v):
     return waves.chain_levels(v("obligation"), "stream", ["made_at", "k"])
 
 
-def _small_plan(v) -> tuple[DataFrame, DataFrame]:
-    rows = v("obligation").where("stream < 40")
+def _plan(v) -> tuple[DataFrame, DataFrame]:
+    rows = v("obligation")
     chained = rows.select("id", F.lag("id").over(Window.partitionBy("stream").orderBy("made_at", "k")).alias("on"))
     return rows.select("id", F.col("weight").cast("double").alias("weight")), chained.where("on IS NOT NULL")
 
 
 @query(None)
 def review_waves(spark, sf_dir, v):
-    return waves.waves(*_small_plan(v), max_waves=3, per_wave=8)
+    longest, n = v("obligation").groupBy("stream").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return waves.waves(*_plan(v), max_waves=longest or 0, per_wave=n or 0)
 
 
 @query(None)
 def context_walk(spark, sf_dir, v):
-    seeds = v("change").where("k % 10 = 0").select(F.col("k").alias("node")).select(F.concat(F.lit("o"), "node").alias("node"))
+    seeds = v("change").select(F.col("k").alias("node")).select(F.concat(F.lit("o"), "node").alias("node"))
     edge = lambda d, kind, a, b: d.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst"))
     contains = edge(v("contains"), "contains", F.concat(F.lit("o"), "container"), F.concat(F.lit("p"), "member"))
     return waves.reachable(seeds, contains.unionByName(edge(v("touches_supplier"), "calls", F.concat(F.lit("p"), "src"), F.concat(F.lit("s"), "dst"))), {"contains": 1, "calls": 3}, 5)

@@ -27,6 +27,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds name: the place from 0 in the order; sorted by range, so no task gets all rows, and counted up over the ranges."""
+    at = _cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    rows = at.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return rows.withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("int")).drop("_part", "_at", "_before")
+
+
 def waves(obligations: DataFrame, depends: DataFrame, max_waves: int, per_wave: int) -> DataFrame:
     """(id, wave, pos, deferred): ready ones by impact, depth, id; a wave takes per_wave of them.
 
@@ -41,9 +52,8 @@ def waves(obligations: DataFrame, depends: DataFrame, max_waves: int, per_wave:
     for wave in range(max_waves):
         waiting = edges.join(left.select(F.col("id").alias("on")), "on", "left_semi").select("id").distinct()
         ready = left.join(waiting, "id", "left_anti")
-        taken = ready.orderBy(F.desc(risk_rank(F.col("weight"))), F.desc("depth"), "id").limit(per_wave)
-        rank = F.row_number().over(Window.orderBy(F.desc(risk_rank(F.col("weight"))), F.desc("depth"), "id"))
-        taken = _cut(taken.withColumn("pos", rank - 1))
+        ranked = _ranked(ready, [F.desc(risk_rank(F.col("weight"))), F.desc("depth"), F.col("id")], "pos")
+        taken = _cut(ranked.where(F.col("pos") < per_wave))
         if taken.isEmpty():
             break
         placed.append(taken.select("id", F.lit(wave).alias("wave"), "pos", F.lit(None).cast("string").alias("deferred")))

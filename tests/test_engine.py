@@ -68,6 +68,26 @@ def test_waves(spark):
         waves.waves(ob, spark.createDataFrame([("a", "b"), ("b", "a")], "id string, on string"), 1, 1)
 
 
+def test_waves_and_walks_take_every_order(spark, tmp_path):
+    orders = [(k, 30 + k % 20, f"2001-02-{1 + k * 7 % 28:02d} 00:00:00", "OFP"[k % 3], ["1-URGENT", "2-HIGH", "3-MEDIUM"][k % 7 % 3]) for k in range(1, 121)]
+    o = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_orderstatus string, o_orderpriority string")
+    o.withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, k % 9, k % 4) for k in range(1, 121)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want, after, left = {}, {}, {}
+    for k, c, d, _, p in sorted(orders, key=lambda x: (x[1], x[2], x[0])):
+        after[k] = left.get(c)
+        left[c] = k
+    risk = {k: "321"[int(p[0]) - 1] for k, _, _, _, p in orders}
+    wave = lambda k: 0 if after[k] is None else wave(after[k]) + 1
+    for w in {wave(k) for k in after}:
+        for pos, k in enumerate(sorted((k for k in after if wave(k) == w), key=lambda k: (-int(risk[k]), f"obligation:{k}"))):
+            want[f"obligation:{k}"] = (w, pos, None)
+    got = {x["id"]: (x["wave"], x["pos"], x["deferred"]) for x in QUERIES["review_waves"](spark, str(tmp_path)).collect()}
+    assert got == want
+    walked = {x["node"] for x in QUERIES["context_walk"](spark, str(tmp_path)).collect() if x["depth"] == 0}
+    assert walked == {f"o{k}" for k, _, _, s, p in orders if s == "O" and p == "1-URGENT"} and len(walked) > 10
+
+
 def test_walk_renews_its_budget_on_another_kind(spark):
     edges = spark.createDataFrame([("calls", "a", "b"), ("calls", "b", "c"), ("calls", "c", "d"), ("covers", "c", "t"), ("covers", "t", "u"), ("calls", "t", "v")], "kind string, src string, dst string")
     got = rows(waves.reachable(spark.createDataFrame([("a",)], "node string"), edges, {"calls": 2, "covers": 1}))
