@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
-#: In order; a view may use those before it. {sha} is the engine's SHA-256 call.
+#: In order; a view may use those before it. {sha} is the engine's SHA-256 call, {on} its way to quote a word.
 VIEWS = {
-    "artifact": """SELECT p_partkey AS k, concat('function:', p_partkey) AS id, p_name AS label, concat('crates/', p_brand, '/src/', p_type, '.rs') AS path,
+    "artifact": """SELECT p_partkey AS k, concat('function:', p_partkey) AS id, p_name AS label, CASE p_partkey % 31 WHEN 1 THEN concat('vendor/', p_brand, '/src/lib.rs') WHEN 2 THEN concat('crates/', p_brand, '/src/api.generated.rs')
+        WHEN 3 THEN concat('crates/', p_brand, '/tests/flow.rs') WHEN 4 THEN concat('crates/', p_brand, '/src/unit_test.rs') WHEN 5 THEN concat('crates/', p_brand, '/examples/', p_type, '.rs') WHEN 6 THEN concat('docs/', p_type, '.md')
+        WHEN 7 THEN concat('crates/', p_brand, '/README.md') WHEN 8 THEN concat('crates/', p_brand, '/src/test.rs') WHEN 9 THEN concat('rust/', p_brand, '/target/out.rs') ELSE concat('crates/', p_brand, '/src/', p_type, '.rs') END AS path,
+        p_partkey % 37 = 0 AS own_change, p_size % 4 = 0 AS is_async, p_size % 5 = 0 AS awaits, p_size % 7 = 0 AS spawns, p_size % 3 AS primitives,
         p_size AS start_line, p_size + p_partkey % 40 AS end_line, p_partkey % 2 = 0 AS public, {sha}(concat(p_name, '|', p_brand, '|', p_type, '|', p_size){arg}) AS body_hash,
         {sha}(concat(p_type, '|', p_size){arg}) AS shape_hash FROM part""",
-    "change": "SELECT o_orderkey AS k, concat('change:', o_orderkey) AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2001-01-01 00:00:00'",
+    "change": "SELECT o_orderkey AS k, concat('change:', o_orderkey) AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'",
     "contains": "SELECT DISTINCT l_orderkey AS container, l_partkey AS member FROM lineitem",
-    "calls": "SELECT DISTINCT l_partkey AS caller, (l_partkey * 7 + l_suppkey) % 2000 AS callee FROM lineitem",
+    "calls": """SELECT caller, callee, CASE WHEN callee % 7 = 0 THEN 'ambiguous' WHEN callee % 11 = 0 THEN 'unresolved' ELSE 'syntactic_unique' END AS resolution
+        FROM (SELECT DISTINCT l_partkey AS caller, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS callee FROM lineitem) c""",
+    "capability": """SELECT CASE r_regionkey WHEN 0 THEN 'ast' WHEN 1 THEN 'direct_calls' WHEN 2 THEN 'concurrency_model' WHEN 3 THEN 'containment' ELSE 'changed_structure' END AS capability,
+        CASE r_regionkey WHEN 1 THEN 'partial' WHEN 2 THEN 'unknown' ELSE 'complete' END AS state FROM region""",
+    "reentry": """SELECT DISTINCT o_custkey AS event, l_partkey AS target, CASE WHEN l_partkey % 4 = 0 THEN 'bounded' ELSE 'unbounded_reentry' END AS concurrency
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 1""",
+    "external_call": "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN 'key' END AS idempotency FROM lineitem",
+    "module_edge": "SELECT concat('module:', p_brand) AS container, p_partkey AS member FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT concat('module:', p_type), p_partkey FROM part WHERE p_partkey % 10 = 0",
+    "ring": """SELECT p_partkey AS id, p_partkey - p_partkey % 10 + (p_partkey + 3) % 10 AS {on} FROM part WHERE NOT (p_partkey % 10 = 4 AND p_partkey % 20 < 10)""",
+    "tree": "SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 25 <> 7",
+    "planned": "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1",
     "side_effect": "SELECT s_suppkey AS k FROM supplier WHERE s_acctbal < 0",
     "touches_supplier": "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem",
     "handled_by": "SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderpriority = '1-URGENT'",
@@ -27,25 +40,25 @@ VIEWS = {
     "after_fn": """SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS k, p_name AS anchor,
         CASE WHEN p_partkey % 11 = 0 THEN p_size + 1 ELSE p_size END AS body FROM part WHERE p_partkey % 17 <> 0""",
     "root_span": "SELECT o_orderkey AS root, o_custkey % 50 AS path, day(o_orderdate) AS s, day(o_orderdate) + 2 AS e, CASE o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'R' ELSE 'A' END AS tag FROM orders WHERE o_orderpriority = '1-URGENT'",
-    "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem WHERE l_quantity < 3",
-    "call_site": "SELECT DISTINCT l_orderkey AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem WHERE l_linenumber = 1",
+    "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
+    "call_site": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem",
     "declaration": "SELECT s_suppkey AS k, concat('fn_', s_suppkey % 80) AS name, s_suppkey % 97 AS scope FROM supplier",
 }
 
 
-def _chain(names: list[str], sha: str, arg: str) -> list[str]:
-    return [f"{n} AS ({VIEWS[n].format(sha=sha, arg=arg)})" for n in names]
+def _chain(names: list[str], sha: str, arg: str, quote: str) -> list[str]:
+    return [f"{n} AS ({VIEWS[n].format(sha=sha, arg=arg, on=f'{quote}on{quote}')})" for n in names]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the Parquet tables of sf_dir; filters and columns reach the scan."""
     used = [t for t in TABLES if f" {t}" in VIEWS[name]]
     head = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used]
-    return spark.sql(f"WITH {', '.join(head + _chain([name], 'sha2', ', 256'))} SELECT * FROM {name}")
+    return spark.sql(f"WITH {', '.join(head + _chain([name], 'sha2', ', 256', '`'))} SELECT * FROM {name}")
 
 
 def oracle(body: str, *names: str) -> str:
     """body (a SELECT, or more CTEs and a SELECT) over the views as ANSI SQL."""
     tail = body.strip()
-    chain = ",\n".join(_chain(list(names), "sha256", ""))
+    chain = ",\n".join(_chain(list(names), "sha256", "", '"'))
     return f"WITH {chain}{', ' if tail.startswith('+') else ' '}{tail.lstrip('+')}" if names else tail

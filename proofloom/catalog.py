@@ -2,38 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .adapt import oracle, view
 from .functions import scalar
 from .model import PPM, digest
 from .operators import diff, discover, evidence, glue, resolve, review, rules
 from .plans import waves
+from .registry import ORACLE_SQL, QUERIES, query, table
 from .sources import listings
 from .streaming import lifecycle
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
+_CLASS = """CASE WHEN list_has_any(string_split({0}, '/'), ['third_party', 'vendor', 'vendored']) THEN 'vendor' WHEN list_has_any(string_split({0}, '/'), ['generated', 'target']) OR {0} LIKE '%.generated.rs' THEN 'generated'
+    WHEN list_has_any(string_split({0}, '/'), ['benches', 'tests', 'benchmarks']) OR regexp_matches({0}, '(^|/)tests?[.]rs$|_tests?[.]rs$') THEN 'test' WHEN list_has_any(string_split({0}, '/'), ['example', 'examples']) THEN 'example'
+    WHEN list_has_any(string_split({0}, '/'), ['doc', 'docs']) THEN 'docs' WHEN {0} LIKE '%.rs' THEN 'production' ELSE 'other' END"""
 
-def query(sql: str | None, *names: str):
-    """Registers a function of (spark, sf_dir, view) under its name; sql is its oracle over the views named."""
 
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, sf_dir, lambda n: view(spark, sf_dir, n))
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = oracle(sql, *names)
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_CHANGED = "+chg AS (SELECT member AS k, count(*) AS witnesses FROM contains WHERE container IN (SELECT k FROM change) GROUP BY member), pub AS (SELECT a.*, witnesses FROM artifact a JOIN chg USING (k) WHERE public)"
+_CHANGED = """+chg AS (SELECT member AS k, count(*) AS witnesses FROM contains WHERE container IN (SELECT k FROM change) GROUP BY member),
+    pub AS (SELECT a.*, coalesce(witnesses, 0) AS witnesses FROM artifact a LEFT JOIN chg USING (k) WHERE public AND (own_change OR witnesses IS NOT NULL))"""
 
 
 @query(_CHANGED + " SELECT id, path, witnesses FROM pub", "artifact", "contains", "change")
@@ -41,44 +29,44 @@ def changed_public_symbols(spark, sf_dir, v):
     return rules.changed_public(v("artifact"), v("contains"), v("change")).select("id", "path", "witnesses")
 
 
-@query(_CHANGED + """ SELECT c.caller, c.callee, p.witnesses, 'obligation' AS outcome,
-    'obligation:sha256:' || sha256('relation.changed_public_callee@1|' || c.caller || '|' || c.callee) AS id
-    FROM calls c JOIN pub p ON p.k = c.callee JOIN artifact a ON a.k = c.caller WHERE c.caller <> c.callee""", "artifact", "contains", "change", "calls")
+@query(_CHANGED + f""", x AS (SELECT c.caller, c.callee, c.resolution, p.witnesses, {_CLASS.format('p.path')} AS cc, {_CLASS.format('a.path')} AS rc
+    FROM calls c JOIN pub p ON p.k = c.callee JOIN artifact a ON a.k = c.caller WHERE c.caller <> c.callee)
+    SELECT caller, callee, witnesses, CASE WHEN cc <> 'production' THEN 'callee_' || cc WHEN rc <> 'production' THEN 'caller_' || rc WHEN resolution <> 'syntactic_unique' THEN 'obstruction_' || resolution ELSE 'obligation' END AS outcome,
+    'obligation:sha256:' || sha256('relation.changed_public_callee@1|' || caller || '|' || callee) AS id FROM x""", "artifact", "contains", "change", "calls")
 def changed_callee_obligations(spark, sf_dir, v):
     return rules.changed_callee(v("artifact"), v("contains"), v("change"), v("calls"))
 
 
-@query("SELECT src, dst FROM touches_supplier WHERE dst IN (SELECT k FROM side_effect)", "touches_supplier", "side_effect")
+@query("SELECT src, dst FROM external_call WHERE idempotency IS NULL AND dst IN (SELECT k FROM side_effect)", "external_call", "side_effect")
 def contract_calls(spark, sf_dir, v):
-    return rules.contract_calls(v("touches_supplier"), v("side_effect"))
+    return rules.contract_calls(v("external_call"), v("side_effect"))
 
 
 @query("""SELECT h.src AS event, h.dst AS handler, c.member AS callee, t.dst AS effect FROM handled_by h JOIN contains c ON c.container = h.dst
-    JOIN touches_supplier t ON t.src = c.member WHERE t.dst IN (SELECT k FROM side_effect)""", "handled_by", "contains", "touches_supplier", "side_effect")
+    JOIN external_call t ON t.src = c.member WHERE t.idempotency IS NULL AND t.dst IN (SELECT k FROM side_effect)""", "handled_by", "contains", "external_call", "side_effect")
 def effect_paths(spark, sf_dir, v):
-    return rules.effect_paths(v("handled_by"), v("contains"), rules.contract_calls(v("touches_supplier"), v("side_effect")))
+    return rules.effect_paths(v("handled_by"), v("contains"), rules.contract_calls(v("external_call"), v("side_effect")))
 
 
-@query("""WITH inv AS (SELECT DISTINCT r_regionkey AS invariant, n_nationkey AS scope FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey % 5 < 2),
+@query("""WITH inv AS (SELECT DISTINCT r_regionkey AS invariant, n_nationkey AS scope FROM region JOIN nation ON n_regionkey = r_regionkey),
     mem AS (SELECT DISTINCT c_mktsegment || '-' || c_custkey % 20 AS path, c_nationkey AS scope FROM customer)
     SELECT i.invariant, m.path FROM inv i JOIN mem m USING (scope) JOIN (SELECT invariant, count(*) AS n FROM inv GROUP BY invariant) z ON z.invariant = i.invariant GROUP BY i.invariant, m.path, z.n HAVING count(*) = z.n""")
 def invariant_scopes(spark, sf_dir, v):
-    inv = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).where("n_nationkey % 5 < 2").select(F.col("r_regionkey").alias("invariant"), F.col("n_nationkey").alias("scope")).distinct()
+    inv = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").alias("invariant"), F.col("n_nationkey").alias("scope")).distinct()
     mem = table(spark, sf_dir, "customer").select(F.expr("concat(c_mktsegment, '-', c_custkey % 20)").alias("path"), F.col("c_nationkey").alias("scope")).distinct()
     return rules.scope_covered(inv, mem)
 
 
-@query("""WITH r(rule, capability) AS (VALUES ('a', 'ast'), ('a', 'calls'), ('b', 'calls'), ('b', 'tests'), ('c', 'ast')), s(capability, state) AS (VALUES ('ast', 'complete'), ('calls', 'partial'))
-    SELECT rule, capability, 'capability_' || coalesce(state, 'undeclared') AS reason FROM r LEFT JOIN s USING (capability) WHERE coalesce(state, 'undeclared') <> 'complete'""")
+@query("""+r(rule, need) AS (SELECT n_name, unnest(['ast', CASE WHEN n_nationkey % 2 = 0 THEN 'direct_calls' ELSE 'concurrency_model' END, CASE WHEN n_nationkey % 3 = 0 THEN 'tests' ELSE 'containment' END]) FROM nation)
+    SELECT rule, need AS capability, 'capability_' || coalesce(state, 'undeclared') AS reason FROM r LEFT JOIN capability ON capability = need WHERE coalesce(state, 'undeclared') <> 'complete'""", "capability")
 def capability_gaps(spark, sf_dir, v):
-    need = spark.createDataFrame([("a", ["ast", "calls"]), ("b", ["calls", "tests"]), ("c", ["ast"])], "rule string, required array<string>")
-    return rules.capability_gaps(need, spark.createDataFrame([("ast", "complete"), ("calls", "partial")], "capability string, state string"))
+    need = F.array(F.lit("ast"), F.expr("if(n_nationkey % 2 = 0, 'direct_calls', 'concurrency_model')"), F.expr("if(n_nationkey % 3 = 0, 'tests', 'containment')"))
+    return rules.capability_gaps(table(spark, sf_dir, "nation").select(F.col("n_name").alias("rule"), need.alias("required")), v("capability"))
 
 
-@query("SELECT p_type AS kind, 'production' AS class, count(*) AS n FROM part GROUP BY p_type")
+@query(f"SELECT path, {_CLASS.format('path')} AS class, count(*) AS n FROM artifact GROUP BY ALL", "artifact")
 def path_classes(spark, sf_dir, v):
-    a = v("artifact")
-    return a.groupBy(F.regexp_extract("path", r"([^/]+)\.rs$", 1).alias("kind"), scalar.path_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return v("artifact").groupBy("path", scalar.path_class(F.col("path")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT CASE WHEN weight <= 0.25 THEN 'info' WHEN weight <= 0.5 THEN 'low' WHEN weight <= 1 THEN 'medium' WHEN weight <= 2 THEN 'high' ELSE 'critical' END AS risk, count(*) AS n
@@ -252,26 +240,6 @@ def chain_levels(spark, sf_dir, v):
     return waves.chain_levels(v("obligation"), "stream", ["made_at", "k"])
 
 
-def _plan(v) -> tuple[DataFrame, DataFrame]:
-    rows = v("obligation")
-    chained = rows.select("id", F.lag("id").over(Window.partitionBy("stream").orderBy("made_at", "k")).alias("on"))
-    return rows.select("id", F.col("weight").cast("double").alias("weight")), chained.where("on IS NOT NULL")
-
-
-@query(None)
-def review_waves(spark, sf_dir, v):
-    longest, n = v("obligation").groupBy("stream").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
-    return waves.waves(*_plan(v), max_waves=longest or 0, per_wave=n or 0)
-
-
-@query(None)
-def context_walk(spark, sf_dir, v):
-    seeds = v("change").select(F.col("k").alias("node")).select(F.concat(F.lit("o"), "node").alias("node"))
-    edge = lambda d, kind, a, b: d.select(F.lit(kind).alias("kind"), a.alias("src"), b.alias("dst"))
-    contains = edge(v("contains"), "contains", F.concat(F.lit("o"), "container"), F.concat(F.lit("p"), "member"))
-    return waves.reachable(seeds, contains.unionByName(edge(v("touches_supplier"), "calls", F.concat(F.lit("p"), "src"), F.concat(F.lit("s"), "dst"))), {"contains": 1, "calls": 3}, 5)
-
-
 _STEPS = ("('generated','planned'),('planned','in_progress'),('in_progress','completed'),('generated','stale'),('generated','superseded'),('generated','cancelled'),('planned','stale'),('planned','superseded'),"
           "('planned','cancelled'),('in_progress','stale'),('in_progress','superseded'),('in_progress','cancelled'),('completed','stale'),('completed','superseded')")
 
@@ -303,14 +271,14 @@ def cover_partition(spark, sf_dir, v):
     return glue.cover(v("obligation"), v("contains").withColumnRenamed("container", "k"), "k")
 
 
-@query("""+a AS (SELECT k % 300 AS candidate, CASE evidence % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'safety' ELSE 'separation' END AS p, CASE WHEN outcome = 'F' THEN 'supports' WHEN relation = 'R' THEN 'opposes' ELSE 'unknown' END AS v FROM binding WHERE k % 50 = 0),
+@query("""+a AS (SELECT k % 300 AS candidate, CASE evidence % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'safety' ELSE 'separation' END AS p, CASE WHEN outcome = 'F' THEN 'supports' WHEN relation = 'R' THEN 'opposes' ELSE 'unknown' END AS v FROM binding),
     g AS (SELECT candidate, coalesce(bool_and(v = 'supports') FILTER (p = 'contract'), false) AS c, coalesce(bool_and(v = 'supports') FILTER (p = 'safety'), false) AS s, coalesce(bool_or(v = 'supports') FILTER (p = 'separation'), false) AS x,
     coalesce(bool_or(v = 'opposes') FILTER (p = 'contract'), false) AS o FROM a GROUP BY candidate)
     SELECT candidate, CASE WHEN x AND o THEN 'intentional_separation' WHEN NOT x AND c AND s THEN 'shared_validator' WHEN NOT x AND c THEN 'shared_conformance_test' ELSE 'inconclusive' END AS decision FROM g""", "binding")
 def family_decisions(spark, sf_dir, v):
     prop = F.when(F.col("evidence") % 3 == 0, "contract").when(F.col("evidence") % 3 == 1, "safety").otherwise("separation")
     verdict = F.when(F.col("outcome") == "F", "supports").when(F.col("relation") == "R", "opposes").otherwise("unknown")
-    return glue.family_decision(v("binding").where("k % 50 = 0").select((F.col("k") % 300).alias("candidate"), prop.alias("property"), verdict.alias("verdict")))
+    return glue.family_decision(v("binding").select((F.col("k") % 300).alias("candidate"), prop.alias("property"), verdict.alias("verdict")))
 
 
 @query("SELECT stream, count(*) AS members, sha256(string_agg(id, ',' ORDER BY id)) AS set_digest FROM obligation GROUP BY stream", "obligation")
@@ -349,10 +317,10 @@ def call_edges(spark, sf_dir, v):
     return review.call_edges(resolve.resolve_calls(v("call_site"), v("declaration")), v("call_site"), v("declaration"))
 
 
-@query("""+u AS (SELECT name, string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR) AS callers FROM call_site WHERE scope < 5 GROUP BY name)
+@query("""+u AS (SELECT name, string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR) AS callers FROM call_site GROUP BY name)
     SELECT k, coalesce(callers, '') AS callers FROM declaration LEFT JOIN u USING (name)""", "call_site", "declaration")
 def removed_callers(spark, sf_dir, v):
-    return review.removed_callers(v("declaration"), v("call_site").where("scope < 5"))
+    return review.removed_callers(v("declaration"), v("call_site"))
 
 
 @query("SELECT DISTINCT s.k, c.src, c.dst FROM side_effect s JOIN touches_supplier c ON c.src = s.k OR c.dst = s.k", "side_effect", "touches_supplier")
@@ -446,3 +414,6 @@ def chain_breaks(spark, sf_dir, v):
 def listing_cross_check(spark, sf_dir, v):
     paths = lambda d: d.select(F.col("k").alias("path"))
     return listings.cross_check(paths(v("before_fn")), paths(v("after_fn"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import catalog_graph, catalog_rules  # noqa: E402, F401  register their queries
