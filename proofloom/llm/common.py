@@ -1,43 +1,50 @@
-"""What the operators share: the shared folder, cut lineage, two-level running sums, components."""
+"""What the operators share: worker caches, two-level running sums, the package for the workers."""
 
 from __future__ import annotations
 
 import math
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..store import components, discard, fresh_path, shared_dir, written
+
+__all__ = ["components", "discard", "fresh_path", "shared_dir", "written"]
+
 #: White space and words of the contracts.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="proofloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+#: Caches of a Python worker by kind; a worker that turns to another kind drops those of the one before.
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(kind: str) -> dict:
+    """The worker's cache of a kind. Workers outlive stages, so what other kinds have kept is given back first."""
+    if kind not in _CACHES:
+        release()
+        _CACHES[kind] = {}
+    return _CACHES[kind]
 
 
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/proofloom/{kind}-{uuid.uuid4().hex}"
+def release() -> None:
+    """Gives the worker's caches and freed memory back: to be called where a stage of Python workers begins."""
+    import ctypes
+    import gc
 
+    _CACHES.clear()
+    gc.collect()
+    try:
+        import pyarrow as pa
 
-def written(df: DataFrame, kind: str = "table") -> DataFrame:
-    """df as a table in the shared folder: computed once, no lineage, safe when executors are lost."""
-    spark = df.sparkSession
-    path = fresh_path(spark, kind)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def bind(value: Column, body) -> Column:
@@ -45,6 +52,14 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores put before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_bits(n: int, per_bucket: int = 512) -> int:
     """log2 of the number of hash buckets that hold per_bucket rows each."""
     return max(0, math.ceil(math.log2(max(1, n) / per_bucket))) if n > per_bucket else 0
@@ -70,30 +85,18 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], va
     return local.join(before, [*keys, bucket]).withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b); root is a node of the component.
-
-    Each round hooks every node to its smallest neighbour and contracts the edges; both are
-    written out. Equal edges merge and loops go, so the edges at least halve in most rounds.
-    """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    parents: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        hook = written(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("root")), "hook")
-        if parents is None:
-            parents = hook
-        else:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            parents = written(parents.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "parents")
-        left = edges.join(hook.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-        left = left.join(hook.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-        edges = written(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-    return parents if parents is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+def _bytes(told: str) -> int:
+    """A number with Spark's unit of bytes, if any."""
+    told = told.strip().lower().removesuffix("b")
+    return int(told[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[told[-1]] if told[-1:].isalpha() else int(told)
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the Python workers, which need not find it on their own path."""
+    """Gives the package to the Python workers, which need not find it on their own path, and bounds their Arrow batches."""
+    # what a worker holds of one batch, beside the objects made of it
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
     context = spark.sparkContext
     if getattr(context, "_proofloom_shipped", False):
         return

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, hash_bucket, running, written
-from .tokens import batches, encoder
+from .tokens import encoder
+from .words import slices
 
 
 def fill_plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -68,20 +69,28 @@ def places(plan: list[tuple[list[int], int]]) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of every document; only longer ones than capacity are cut."""
+    """(key, piece, start, length, ids_crc32) of every document; only longer ones than capacity are cut.
+
+    A null or empty text is one piece of the end id alone. Equal rows have pieces each; a null key stays null. Further
+    columns of docs are not read.
+    """
 
     def cut(parts):
         import pyarrow as pa
 
         enc = encoder(tokenizer)
         for batch in parts:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in batches(texts):
-                out = []
-                for k, ids in zip(keys[s], enc.encode(texts[s])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    out += [(k, i, b, len(x := ids[b : b + capacity]), zlib.crc32(x.tobytes())) for i, b in enumerate(range(0, len(ids), capacity))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["key", "piece", "start", "length", "ids_crc32"])
+            for a, b in slices(batch.column(1)):
+                ids, ends = enc.encode(batch.column(1)[a:b], end_id)
+                ids, lengths = ids.astype("<u4"), np.diff(ends, prepend=0)
+                counts = -(-lengths // capacity)
+                of = np.repeat(np.arange(b - a), counts)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                start = piece * capacity
+                length = np.minimum(lengths[of] - start, capacity)
+                at = (ends - lengths)[of] + start
+                crc = [zlib.crc32(ids[i : i + n]) for i, n in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["key", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(cut, "key long, piece int, start long, length long, ids_crc32 long")

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, fresh_path, written
-from .tokens import batches, encoder
+from .tokens import encoder
+from .words import slices
 
 MAGIC, VERSION, BLOCK = b"DACT", 1, 512
 
@@ -112,35 +113,35 @@ def write_files(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
     """Writes the ids of every text, in ascending key order over all files; returns (file, path, keys, n_tokens).
 
     Rows are split by ranges of (key, hash of text), so equal keys do not meet in one task, and
-    each task writes files of about file_bytes of text. Null keys come first, null texts are empty.
+    each task writes files of about file_bytes of ids, each text whole in one file. Null keys come first, null texts are empty.
     """
     import pyspark
 
     def encode(parts):
         part, n = pyspark.TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
-        keys, ids, held = [], [], 0
+        keys, ids, ends, held = [], [], [], 0
 
         def flush():
-            nonlocal n, keys, ids, held
-            lengths = np.array([len(x) for x in ids], np.int64)
+            nonlocal n, keys, ids, ends, held
             path = f"{folder}/{part:08d}-{n:06d}.dact"
-            put(path, pack(np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.cumsum(lengths)))
-            row = pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + n]), pa.array([path]), pa.array([keys], pa.list_(pa.int64())), pa.array([int(lengths.sum())])], ["file", "path", "keys", "n_tokens"])
-            n, keys, ids, held = n + 1, [], [], 0
+            lengths = np.concatenate([np.diff(e, prepend=0) for e in ends])
+            put(path, pack(np.concatenate(ids), np.cumsum(lengths)))
+            row = pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + n]), pa.array([path]), pa.array([np.concatenate(keys).tolist()], pa.list_(pa.int64())), pa.array([int(lengths.sum())])], ["file", "path", "keys", "n_tokens"])
+            n, keys, ids, ends, held = n + 1, [], [], [], 0
             return row
 
         import pyarrow as pa
 
         for batch in parts:
-            all_keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in batches(texts):
-                for k, t, x in zip(all_keys[s], texts[s], enc.encode(texts[s])):
-                    keys.append(k)
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(t or "") + 16
-                    if held >= file_bytes:
-                        yield flush()
+            for a, b in slices(batch.column(1)):
+                got, end = enc.encode(batch.column(1)[a:b], end_id)
+                keys.append(np.array(batch.column(0)[a:b].to_pylist(), object))
+                ids.append(got)
+                ends.append(end)
+                held += 4 * len(got)
+                if held >= file_bytes:
+                    yield flush()
         if keys:
             yield flush()
 
