@@ -26,6 +26,23 @@ VIEWS = {
     "module_edge": "SELECT concat('module:', p_brand) AS container, p_partkey AS member FROM part WHERE p_partkey % 9 <> 0 UNION ALL SELECT concat('module:', p_type), p_partkey FROM part WHERE p_partkey % 10 = 0",
     "ring": """SELECT p_partkey AS id, p_partkey - p_partkey % 10 + (p_partkey + 3) % 10 AS {on} FROM part WHERE NOT (p_partkey % 10 = 4 AND p_partkey % 20 < 10)""",
     "tree": "SELECT p_partkey AS src, CAST(floor(p_partkey / 3) AS BIGINT) AS dst FROM part WHERE p_partkey > 0 AND p_partkey % 25 <> 7",
+    "claim": """SELECT o_orderkey AS claim, CAST(floor(o_orderkey / 2) AS BIGINT) AS obligation, CASE o_orderpriority WHEN '1-URGENT' THEN 'accepted' WHEN '2-HIGH' THEN 'supported' ELSE 'open' END AS disposition,
+        concat('p', o_custkey % 4) AS property FROM orders""",
+    "bound": """SELECT l_orderkey AS claim, l_partkey AS evidence, CASE l_returnflag WHEN 'A' THEN 'supports' WHEN 'N' THEN 'reproduces' ELSE 'contradicts' END AS relation, concat('p', l_suppkey % 4) AS property FROM lineitem""",
+    "evid": """SELECT p_partkey AS evidence, CASE p_size % 3 WHEN 0 THEN 'source_inspection' WHEN 1 THEN 'static_fact' ELSE 'test' END AS mode, p_size % 2 = 0 AS current, p_partkey % 20 AS target FROM part WHERE p_partkey % 50 <> 1
+        UNION ALL SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'source_inspection' WHEN 1 THEN 'static_fact' ELSE 'test' END, p_size % 2 = 0, (p_partkey + 7) % 20 FROM part WHERE p_partkey % 50 <> 1""",
+    "obl_target": "SELECT DISTINCT CAST(floor(l_orderkey / 2) AS BIGINT) AS obligation, l_suppkey % 20 AS target FROM lineitem",
+    "verif": "SELECT l_orderkey AS claim, CASE WHEN l_partkey % 40 = 3 THEN l_partkey + 1 ELSE l_partkey END AS evidence, l_linestatus = 'F' OR l_returnflag = 'N' AS passed FROM lineitem WHERE l_returnflag <> 'R' OR l_linestatus = 'F'",
+    "verdict": """SELECT o_orderkey AS claim, o_orderkey * 10 AS decision_id, CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'reject' ELSE 'defer' END AS decision, CASE WHEN o_custkey % 3 = 0 THEN 'agent' ELSE 'human' END AS reviewer FROM orders
+        UNION ALL SELECT o_orderkey, o_orderkey * 10 + 1, 'accept', 'human' FROM orders WHERE o_custkey % 5 = 0""",
+    "fnd": "SELECT o_orderkey AS finding_id, o_orderkey AS claim, CASE WHEN o_custkey % 5 = 0 THEN o_orderkey * 10 + 1 ELSE o_orderkey * 10 END AS decision_id FROM orders WHERE o_custkey % 2 = 0",
+    "callable_before": """SELECT p_partkey AS k, concat('f', p_partkey % 40) AS path, concat(p_name, CASE WHEN p_size > 25 THEN concat('#', p_partkey) ELSE '' END) AS qualified, p_name AS name, p_size % 3 AS params, p_size * 10 AS s, p_size * 10 + 8 AS e,
+        p_partkey % 2 = 0 AS public, concat('sig', p_size % 7) AS signature FROM part""",
+    "callable_after": """SELECT p_partkey + 5000000 AS k, concat('f', p_partkey % 40) AS path, concat(p_name, CASE WHEN p_size > 25 THEN concat('#', p_partkey) ELSE '' END) AS qualified, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN 5 ELSE p_size % 3 END AS params, p_size * 10 AS s,
+        p_size * 10 + 8 AS e, CASE WHEN p_partkey % 14 = 0 THEN false ELSE p_partkey % 2 = 0 END AS public, concat('sig', CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size % 7 END) AS signature FROM part WHERE p_partkey % 10 <> 3
+        UNION ALL SELECT p_partkey + 6000000, concat('f', p_partkey % 40), concat('new::', p_name), p_name, 1, 5, 9, true, 'sig9' FROM part WHERE p_partkey % 25 = 0""",
+    "hunk": "SELECT DISTINCT concat('f', s_suppkey % 40) AS path, (s_suppkey * 37) % 480 AS s, (s_suppkey * 37) % 480 + s_suppkey % 15 AS e FROM supplier WHERE s_suppkey % 3 <> 0",
+    "deletion": "SELECT DISTINCT concat('f', s_suppkey % 40) AS path, (s_suppkey * 53) % 490 AS n FROM supplier WHERE s_suppkey % 4 = 0",
     "planned": "SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 1",
     "side_effect": "SELECT s_suppkey AS k FROM supplier WHERE s_acctbal < 0",
     "touches_supplier": "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem",
