@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, discard, free_name, release, written
+from .words import bytes_of, slices, word_hashes
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20
@@ -33,10 +34,6 @@ _PIVOTS = (1, 8)
 _BLOCK, _SHORT = 256, 16
 #: Least cells of a parity signature.
 _SIGNED = 512
-#: Words whose hashes a worker keeps: it outlives the stage, so they take memory from all later ones.
-_MOST_WORDS = 200_000
-_WORDS: dict[bytes, int] = {}
-
 
 @dataclass(frozen=True)
 class Terms:
@@ -92,37 +89,41 @@ class Terms:
         return n
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text in UTF-8: bytes.split() parts at 0x20 and 0x09 to 0x0D and nowhere else."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def word_ids(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the worker keeps those of up to _MOST_WORDS words."""
-    import xxhash
+def shingle_sets(column, terms: Terms):
+    """For slices of an Arrow string column: the sorted distinct shingle hashes of each whole text.
 
-    known = _WORDS
-    if len(known) + len(words) > _MOST_WORDS:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    A-Z are lower-cased; a text of fewer words than a shingle is one shingle of all its words; null and empty texts have none.
+    """
+    for begin, end in slices(column):
+        ids, first = word_hashes(column[begin:end], lower=True)
+        counts = np.diff(first)
+        h = np.full(len(ids), np.uint64(terms.words))
+        for i in range(min(terms.words, len(h))):
+            part = h[: len(h) - i]
+            part ^= ids[i:]
+            part *= _PRIME
+            part ^= part >> np.uint64(32)
+        for a, b, n in zip(first[:-1].tolist(), first[1:].tolist(), counts.tolist()):
+            if n >= terms.words:
+                s = h[a : b - terms.words + 1]
+                s.sort()
+                yield s if len(s) < 2 or (s[1:] != s[:-1]).all() else np.unique(s)
+            elif n:
+                x = np.uint64(n)
+                with np.errstate(over="ignore"):
+                    for w in ids[a:b]:
+                        x = (x ^ w) * _PRIME
+                        x ^= x >> np.uint64(32)
+                yield np.array([x], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | None, terms: Terms) -> np.ndarray:
-    """Sorted distinct shingle hashes of the whole text, A-Z lower-cased; fewer words: all of them as one."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes.lower() is A-Z alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = word_ids(words)
-    k = min(terms.words, len(ids))
-    h = np.full(len(ids) - k + 1, np.uint64(k))
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            h = (h ^ ids[i : len(ids) - k + 1 + i]) * _PRIME
-            h ^= h >> np.uint64(32)
-    return np.unique(h)
+    """The set of one text."""
+    import pyarrow as pa
+
+    return next(shingle_sets(pa.array([text], pa.string()), terms))
 
 
 def elements(s: np.ndarray, c: int, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
@@ -137,30 +138,62 @@ def elements(s: np.ndarray, c: int, terms: Terms) -> tuple[np.ndarray, np.ndarra
     return (h ^ (h >> np.uint64(32))) * _PRIME, np.bincount(cell, minlength=k)
 
 
-def _frequent(docs: DataFrame, terms: Terms, most: int = 1 << 15) -> tuple[np.ndarray, float]:
-    """Slots of elements that are frequent in some task, and the mean length of the lists.
+def _name(s: np.ndarray) -> int | None:
+    """The node of a set: a 64-bit hash of it."""
+    import xxhash
 
-    Only the order of elements and the boundary follow from these, never which pairs link; so the
-    bound on the slots loses nothing.
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+
+
+def _described(docs: DataFrame, terms: Terms) -> DataFrame:
+    """(kind, doc_id, mark, n, node, sign): one row of kind 0 per document, whose mark is a hash of id and text; of kind 1 per slot of elements that is frequent in some task
+    (node: slot, n: how often); of kind 2 and 3 per task the elements and the slots that have any. One pass over the texts.
     """
 
-    def count(parts):
+    def describe(parts):
         import pyarrow as pa
 
-        n = np.zeros(_CELLS, np.int64)
+        release()
+        n, named = np.zeros(_CELLS, np.int64), set()
+        types = {"kind": pa.int32(), "doc_id": pa.int64(), "mark": pa.int64(), "n": pa.int64(), "node": pa.int64(), "sign": pa.binary()}
+        table = lambda *c: pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(c, types.values())], list(types))
         for batch in parts:
-            for t in batch.column(0).to_pylist():
-                s = shingle_set(t, terms)
-                if len(s):
+            sizes, nodes, signs = [], [], []
+            for s in shingle_sets(batch.column(1), terms):
+                node = _name(s)
+                sizes.append(len(s))
+                nodes.append(node)
+                signs.append(signature(s) if len(s) else None)
+                if len(s) and node not in named:
+                    named.add(node)
                     np.add.at(n, (elements(s, terms.classes(len(s))[0], terms)[0] >> np.uint64(44)).astype(np.int64), 1)
+            yield table([0] * len(sizes), batch.column(0), batch.column(2), sizes, nodes, signs)
         some = np.flatnonzero(n > max(12, 4 * n.mean()))
-        rows = [(int(c), int(n[c])) for c in some] + [(-1, int(n.sum())), (-2, int((n > 0).sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["cell", "n"])
+        k = len(some)
+        yield table([1] * k + [2, 3], [None] * (k + 2), [None] * (k + 2), [*n[some].tolist(), int(n.sum()), int((n > 0).sum())], [*some.tolist(), None, None], [None] * (k + 2))
+
+    marked = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    return marked.mapInArrow(describe, "kind int, doc_id long, mark long, n long, node long, sign binary")
 
-    sums = written(docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "frequent")
-    top = sums.where("cell >= 0").orderBy(F.desc("n"), "cell").limit(most).collect()
-    totals = {r[0]: r[1] for r in sums.where("cell < 0").collect()}
-    return np.array(sorted(r[0] for r in top), np.int64), totals.get(-1, 0) / max(1, totals.get(-2, 1))
+
+def _frequent(described: DataFrame, most: int = 1 << 15) -> tuple[np.ndarray, float]:
+    """Slots of elements that are frequent in some task, and the mean length of the lists.
+
+    Only the order of elements and the boundary follow from these, never which pairs link; so the
+    bound on the slots loses nothing.
+    """
+    sums = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n"))
+    top = sums.orderBy(F.desc("n"), "node").limit(most).collect()
+    totals = {r[0]: r[1] for r in described.where("kind > 1").groupBy("kind").agg(F.sum("n")).collect()}
+    return np.array(sorted(r[0] for r in top), np.int64), totals.get(2, 0) / max(1, totals.get(3, 1))
+
+
+def _listed(nodes: list[int], keys: list[np.ndarray]):
+    """A batch of (key, node)."""
+    import pyarrow as pa
+
+    counts = [len(k) for k in keys]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], ["key", "node"])
 
 
 def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> list[int]:
@@ -185,43 +218,54 @@ def _keys(s: np.ndarray, terms: Terms, is_late: np.ndarray, boundary: int) -> li
 
 
 def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) per row of docs (doc_id long, text).
+    """(doc_id, mark, n_shingles, node, component_id) per row of docs (doc_id long, text); mark: xxhash64 of both.
 
     component_id: smallest doc_id reachable by links, the row's own for texts without words. Rows with
     equal sets are one node (named by a 64-bit hash of the set; two sets in 10**19 share a name).
     A null doc_id links like any other but is never the smallest; alone, its component_id is null.
     """
-    import xxhash
-
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    frequent, list_length = _frequent(docs, terms)
+    described = written(_described(docs, terms), "sets")
+    sets = described.where("kind = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), "node", "sign")
+    frequent, list_length = _frequent(described)
     boundary = terms.boundary(list_length)
     is_late = np.zeros(_CELLS, bool)
     is_late[frequent] = True
 
-    def describe(parts):
+    def listing(parts):
+        """Each set once a task: copies of one text put forth no more keys than there are tasks."""
         import pyarrow as pa
 
+        release()
+        named = set()
         for batch in parts:
-            nodes, sizes, keys, signs = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, terms)
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+            nodes, keys, held = [], [], 0
+            for s in shingle_sets(batch.column(0), terms):
+                node = _name(s)
+                if node is None or node in named:
+                    continue
+                named.add(node)
+                nodes.append(node)
                 keys.append(np.array(_keys(s, terms, is_late, boundary), np.uint64).view(np.int64))
-                signs.append(signature(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "keys", "sign"])
+                held += len(keys[-1])
+                if held > 1 << 17:
+                    yield _listed(nodes, keys)
+                    nodes, keys, held = [], [], 0
+            if nodes:
+                yield _listed(nodes, keys)
 
-    sets = written(docs.mapInArrow(describe, "doc_id long, n_shingles long, node long, keys array<long>, sign binary"), "sets")
     some = sets.where("node IS NOT NULL")
-    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sign").alias("sign")), "classes")
-    listed = some.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
+    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.min("mark").alias("mark"), F.first("sign").alias("sign")), "classes")
+    # dealt by key once: the lists of two sets or more are found and kept within the same partitions
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    listed = docs.select("text").mapInArrow(listing, "key long, node long").repartition(parts, "key")
     many = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    listed = written(listed.join(many, "key", "left_semi").dropDuplicates(["key", "node"]), "lists")
+    listed = written(listed.join(many.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key", "node"]), "lists")
     # a central set has many partners: it meets those of its lists that differ a little, each in its own way
     length = listed.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
     central = listed.join(length, "key").groupBy("node").agg(F.sum("length").alias("met"))
-    listed = written(listed.join(central, "node"), "central")
+    lists, listed = listed, written(listed.join(central.join(classes.select("node", "n"), "node"), "node"), "central")
+    discard(lists)
     edges, roots = None, None
     for pivots in _PIVOTS:
         rows = _split(listed, roots)
@@ -229,7 +273,9 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
         heads = heads.select("key", F.col("pivot.node").alias("p"), F.col("pivot.root").alias("p_root"), F.col("pivot.n").alias("p_n"))
         stars = rows.join(heads, "key").where(F.col("root") != F.col("p_root")).where(_fits("n", "p_n", terms))
         stars = stars.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        found = written(_linked(written(stars, "stars"), docs, classes, terms), "links")
+        stars = written(stars, "stars")
+        found = _linked(stars, docs, classes, terms)
+        discard(stars, roots)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
     # what the stars leave apart: all pairs of a list that lie in different components
@@ -240,14 +286,16 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
     two = one.select("key", F.col("r1").alias("r2"), F.col("x").alias("y"), F.col("nx").alias("ny"))
     pairs = one.join(two, "key").where("r1 < r2").where(_fits("nx", "ny", terms)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = pairs.union(_by_blocks(open_.where(F.col("length") > _SHORT), classes, terms)).distinct()
-    more = written(_linked(written(pairs, "pairs"), docs, classes, terms), "links")
+    pairs = written(pairs, "pairs")
+    more = _linked(pairs, docs, classes, terms)
+    discard(pairs, open_, listed)
     if not more.isEmpty():
         roots = components(edges.union(more))
     named = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     node_component = named.join(least, "root").select("node", "component_id")
-    joined = sets.select("doc_id", "n_shingles", "node").join(node_component, "node", "left")
-    return joined.select("doc_id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    joined = sets.select("doc_id", "mark", "n_shingles", "node").join(node_component, "node", "left")
+    return joined.select("doc_id", "mark", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _by_blocks(open_: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
@@ -324,10 +372,9 @@ def _apart(p: bytes, q: bytes) -> int:
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, terms: Terms) -> DataFrame:
     """Those pairs (a, b) of nodes that link: first by signatures, which rule out without error, then by whole sets.
 
-    Whole sets are computed anew, from one text of each node that is left, so those of other texts are never stored;
-    they travel as the upper 32 bits of each shingle's hash.
+    Whole sets are computed anew, from one text of each node that is left, so those of other texts are never stored.
+    They are compared by all 64 bits of each shingle's hash.
     """
-    import xxhash
 
     def possible(parts):
         import pyarrow as pa
@@ -343,40 +390,56 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, terms: Terms)
     signed = pairs.join(signs.select(F.col("node").alias("a"), F.col("sign").alias("p")), "a").join(signs.select(F.col("node").alias("b"), F.col("sign").alias("q")), "b")
     left = written(signed.select("a", "b", "p", "q").mapInArrow(possible, "a long, b long"), "possible")
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    one = written(classes.join(nodes, "node", "left_semi").select(F.col("least").alias("_id")).distinct(), "needed")
+    one = written(classes.join(nodes, "node", "left_semi").select("mark"), "needed")
 
     def compute(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
-            found = [s for s in (shingle_set(t, terms) for t in batch.column(0).to_pylist()) if len(s)]
-            names = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in found], pa.binary())], ["node", "set"])
+            found = [s.tobytes() for s in shingle_sets(batch.column(0), terms) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(np.frombuffer(s, np.uint64)) for s in found], pa.int64()), pa.array(found, pa.binary())], ["node", "set"])
 
-    texts = docs.join(one, docs["doc_id"].eqNullSafe(one["_id"]), "left_semi").select("text")
-    whole = written(texts.mapInArrow(compute, "node long, set binary"), "whole-sets").dropDuplicates(["node"])
+    texts = docs.withColumn("mark", F.xxhash64("doc_id", "text")).join(one, "mark", "left_semi").select("text")
+    whole = written(texts.mapInArrow(compute, "node long, set binary"), "whole-sets")
+    distinct = whole.dropDuplicates(["node"])
 
     def check(parts):
         import pyarrow as pa
 
         for batch in parts:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(p, q))
-                keep.append(terms.den * both >= terms.num * (len(p) + len(q) - both))
+            x, x_at = bytes_of(batch.column(2))
+            y, y_at = bytes_of(batch.column(3))
+            for i in range(batch.num_rows):
+                p, q = x[x_at[i] : x_at[i + 1]].view(np.uint64), y[y_at[i] : y_at[i + 1]].view(np.uint64)
+                keep.append(enough(p, q, terms))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = left.join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    full = left.join(distinct.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(distinct.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    found = written(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    discard(left, one, whole)
+    return found
+
+
+def enough(p: np.ndarray, q: np.ndarray, terms: Terms) -> bool:
+    """Whether two sorted sets of hashes link."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # two runs: merged
+    shared = int((both[1:] == both[:-1]).sum())
+    return terms.den * shared >= terms.num * (len(both) - shared)
 
 
 def one_of_each(docs: DataFrame, terms: Terms) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id (of equal rows, one).
+    """docs with one row of each component: one with the smallest doc_id; rows equal in doc_id and text are one row.
 
-    Rows without words are no copies of each other and all stay.
+    Rows without words are no copies of each other and all stay. Rows of one doc_id but different texts are
+    apart: each stays or goes with its own text's component.
     """
     found = linked_components(docs.select("doc_id", "text"), terms)
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("n_shingles").alias("_n")).distinct()
-    kept = docs.join(keep.select("_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([c for c, kind in kept.dtypes if c in ("doc_id", "text")])
+    heads = found.where("node IS NOT NULL AND doc_id <=> component_id")
+    heads = heads.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("alone")).agg(F.min(F.struct("node", "mark")).alias("head"))
+    mark = free_name(docs.columns, "mark")
+    keep = heads.select(F.col("head.mark").alias(mark)).union(found.where("node IS NULL").select(F.col("mark"))).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return marked.join(keep, mark, "left_semi").dropDuplicates([mark]).drop(mark)

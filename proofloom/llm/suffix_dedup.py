@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
-from .ngram_join import word_ids, words_of
+from .common import WORD, discard, free_name, release, written
+from .words import slices, word_hashes
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 PASSAGE, GRAM = 50, 20
@@ -74,48 +74,58 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
     def sampled(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
-            ids, marks, sizes, grams = [], [], [], []
-            for d, t, m in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = words_of(t)
-                if len(words) < passage:
+            for a, b in slices(batch.column(1)):
+                every, first = word_hashes(batch.column(1)[a:b])
+                counts, grams, rows = np.diff(first), [], np.flatnonzero(np.diff(first) >= passage)
+                for i in rows.tolist():
+                    g = _hashes(every[first[i] : first[i + 1]], gram)
+                    grams.append(g[np.unique(_minimisers(g, width))])
+                if not grams:
                     continue
-                g = _hashes(word_ids(words), gram)
-                p = np.unique(_minimisers(g, width))
-                grams.append(g[p])
-                ids += [d] * len(p)
-                marks += [m] * len(p)
-                sizes += [len(words)] + [0] * (len(p) - 1)
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(np.concatenate(grams).view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "mark", "gram", "words"])
+                kept = np.array([len(g) for g in grams])
+                of, sizes = pa.array(np.repeat(rows, kept)), np.zeros(kept.sum(), np.int64)
+                sizes[np.cumsum(kept) - kept] = counts[rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(of), batch.column(2)[a:b].take(of), pa.array(np.concatenate(grams).view(np.int64)), pa.array(sizes)], ["doc_id", "mark", "gram", "words"])
 
     # one row per kept suffix; words is set on the first of a row alone
     suffixes = written(base.mapInArrow(sampled, "doc_id long, mark long, gram long, words long"), "suffixes")
     heads = suffixes.where("words > 0").select("doc_id", "mark", "words")
     units = written(heads.groupBy("mark").agg(F.min("doc_id").alias("unit"), F.count(F.lit(1)).alias("times")), "units")
-    often = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written out, so that the join's own shuffle is split where a gram is hot
+    often = written(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     hot = suffixes.join(often, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("gram").alias("grams"))
     hot = written(hot.join(units, "mark").where("doc_id <=> unit").select("doc_id", "mark", "grams", "times"), "hot-suffixes")
 
     def extended(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
-            for d, t, m, grams, times in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "mark", "grams", "times"))):
-                words = word_ids(words_of(t))
-                g = _hashes(words, gram)
-                of = _minimisers(g, width)
-                some = np.flatnonzero(np.isin(g.view(np.int64)[of], np.array(grams, np.int64)))
-                found = _hashes(words, passage)[some]
-                again = np.ones(len(some), bool)
-                again[np.unique(found, return_index=True)[1]] = False
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array([m] * n, pa.int64()), pa.array(some.astype(np.int32)), pa.array(found.view(np.int64)), pa.array(again), pa.array([times] * n, pa.int64())], ["doc_id", "mark", "at", "window", "again", "times"])
+            for a, b in slices(batch.column(1)):
+                every, first = word_hashes(batch.column(1)[a:b])
+                of, places, found, again = [], [], [], []
+                for i in range(b - a):
+                    words = every[first[i] : first[i + 1]]
+                    g = _hashes(words, gram)
+                    at = g.view(np.int64)[_minimisers(g, width)]
+                    some = np.flatnonzero(np.isin(at, np.array(batch.column(3)[a + i].as_py(), np.int64)))
+                    window = _hashes(words, passage)[some]
+                    twice = np.ones(len(some), bool)
+                    twice[np.unique(window, return_index=True)[1]] = False
+                    of.append(np.full(len(some), i))
+                    places.append(some.astype(np.int32))
+                    found.append(window)
+                    again.append(twice)
+                of = pa.array(np.concatenate(of))
+                d, m, times = (batch.column(c)[a:b].take(of) for c in (0, 2, 4))
+                yield pa.RecordBatch.from_arrays([d, m, pa.array(np.concatenate(places)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(again)), times], ["doc_id", "mark", "at", "window", "again", "times"])
 
     left, right = base.alias("l"), hot.alias("r")
     joined = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))).select("l.doc_id", "l.text", "l.mark", "r.grams", "r.times")
     windows = written(joined.mapInArrow(extended, "doc_id long, mark long, at int, window long, again boolean, times long"), "windows")
-    groups = windows.groupBy("window").agg(F.sum("times").alias("n"), F.min("doc_id").alias("head")).where("n > 1").select("window", "head")
+    groups = written(windows.groupBy("window").agg(F.sum("times").alias("n"), F.min("doc_id").alias("head")).where("n > 1").select("window", "head"), "groups")
     met = windows.select("doc_id", "mark", "at", "window", "again").join(groups, "window").select("doc_id", "mark", "at", (F.col("head").eqNullSafe(F.col("doc_id")) & ~F.col("again")).alias("first"))
     per_doc = met.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.when(F.col("first"), F.col("at")))).alias("firsts"), F.sort_array(F.collect_set("at")).alias("all"))
 
@@ -151,13 +161,14 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     names = docs.columns
     spans = repeated_spans(docs, passage, gram).where("NOT kept").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_cuts"))
     spans = written(spans, "cuts")
-    rows = docs.withColumn("_mark", F.xxhash64("text"))
-    joined = rows.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("mark")), "left")
-    joined = joined.select(*names, "_cuts")
+    rows, cuts = docs.alias("l"), spans.alias("r")
+    joined = rows.join(cuts, F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("l.text") == F.col("r.mark")), "left")
+    joined = joined.select(*[F.col(f"l.`{c}`") for c in names], F.col("r._cuts").alias(free_name(names, "cuts")))
 
     def cut(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
             texts = batch.column(names.index("text")).to_pylist()
             cuts = batch.column(len(names)).to_pylist()

@@ -166,10 +166,38 @@ def plain_ids():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_encoder_equals_tokenizer():
-    ids, own = plain_ids(), Encoder(queries.tokenizer_path(), most_kept=50)
-    texts = [r[1] for r in corpus()] + ["a b c İstanbul Σας é ﬁ 1234 it's we'll ... ́x", "日本語 text 🙂🙂"]
-    assert [x.tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+@pytest.mark.parametrize("most_kept", [50, 1 << 20])
+def test_encoder_equals_tokenizer(most_kept):
+    import pyarrow as pa
+
+    ids, own, r = plain_ids(), Encoder(queries.tokenizer_path(), most_kept=most_kept), random.Random(2)
+    letters = "aBcé ßİı'.,!#$%\n\t\x1c\x85 Σσς中文١²½_-«»\u0301😀"
+    texts = [x[1] for x in corpus()] + ["a b c İstanbul Σας é ﬁ 1234 it's we'll ... ́x", "日本語 text 🙂🙂", None, "", "word, " * 9000]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    got, ends = own.encode(pa.array(texts, pa.string()), 2)
+    assert [x.tolist() for x in np.split(got, ends)[:-1]] == [ids(t) + [2] for t in texts] and len(got) == ends[-1]
+    bare, ends = own.encode(pa.array(texts, pa.string())[3:40])
+    assert [x.tolist() for x in np.split(bare, ends)[:-1]] == [ids(t) for t in texts[3:40]]
+
+
+def test_word_hashes_follow_words():
+    import pyarrow as pa
+
+    from proofloom.llm import words
+
+    texts = [x[1] for x in corpus()] + ["B b\x0bB", "x" * 400_000 + " tail", " lead", "é É"]
+    column, seen = pa.array(texts, pa.string()), {}
+    got, first = words.word_hashes(column)
+    every = [WORD.findall(t or "") for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in every]
+    for h, w in zip(got.tolist(), (w for ws in every for w in ws)):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    lower, _ = words.word_hashes(pa.array(["Ab É", "aB É", "ab é"], pa.string()), lower=True)
+    assert lower[0] == lower[2] == lower[4] and lower[1] == lower[3] != lower[5]
+    parts = list(words.slices(column, 3000))
+    assert parts[0][0] == 0 and parts[-1][1] == len(texts) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    assert np.array_equal(np.concatenate([words.word_hashes(column[a:b])[0] for a, b in parts]), got)
 
 
 def test_token_files(spark, sf):
@@ -279,6 +307,26 @@ def test_components_of_a_path(spark):
     assert {(x["node"], x["root"]) for x in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_verification_uses_all_bits(monkeypatch):
+    """Two shingles of a set that share their upper 32 bits count twice."""
+    terms, r = ngram_join.Terms(3, 90, 100), random.Random(3)
+    shared = sorted({r.getrandbits(64) for _ in range(88)})
+    twin = (shared[5] & ~0xFFFFFFFF) | ((shared[5] + 1) & 0xFFFFFFFF)
+    p = np.array(sorted({*shared, twin, (shared[9] & ~0xFFFFFFFF) | 7, *range(4)}), np.uint64)
+    q = np.array(sorted({*shared, twin, (shared[9] & ~0xFFFFFFFF) | 7, *range(10, 14)}), np.uint64)
+    assert ngram_join.enough(p, q, terms)
+    assert not ngram_join.enough(p, np.append(q, [np.uint64(2**64 - 1), np.uint64(2**64 - 2), np.uint64(2**64 - 3)]), terms)
+
+
+def test_one_of_each_keeps_texts_apart(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x"), (9, b, "x"), (7, "", "x"), (8, None, "x"), (None, "lone words stay here now yes", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    kept = ngram_join.one_of_each(docs, ngram_join.Terms(5, 80, 100))
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[5], rows[6], rows[7]])
+
+
 def test_fill_plan_is_full_and_whole():
     r = random.Random(1)
     counts = Counter(r.choice([r.randint(1, 64), 64, 40, 24]) for _ in range(3000))
@@ -395,9 +443,25 @@ def test_suffix_dedup(spark):
     for x in got:
         covered[x["doc_id"]] |= set(range(x["first"], x["last"]))
     assert covered == want and want
+    seen, first = set(), defaultdict(set)
+    for d, t in sorted(set(rows), key=lambda x: (x[0], x[1] or "")):
+        w = WORD.findall(t or "")
+        for i in range(len(w) - 49):
+            if windows[tuple(w[i : i + 50])] > 1 and tuple(w[i : i + 50]) not in seen:
+                first[d] |= set(range(i, i + 50))
+            seen.add(tuple(w[i : i + 50]))
+    kept = defaultdict(set)
+    for x in got:
+        if x["kept"]:
+            kept[x["doc_id"]] |= set(range(x["first"], x["last"]))
+    assert kept == first and first
     left = suffix_dedup.without_repeats(docs).collect()
-    words = Counter(tuple(w[i : i + 50]) for w in (WORD.findall(x["text"] or "") for x in left) for i in range(len(w) - 49))
-    assert {g for g in windows if windows[g] > 1} - set(words) == set() or max(words.values()) >= 1
+    expected = Counter()
+    for d, t in rows:
+        w = [x for i, x in enumerate(WORD.findall(t or "")) if i not in want[d] or i in first[d]]
+        if w or not want[d]:
+            expected[d, " ".join(w)] += 1
+    assert Counter((x["doc_id"], " ".join(WORD.findall(x["text"] or ""))) for x in left) == expected
     assert {x["doc_id"] for x in left if x["text"] is None} == {1000}
 
 
