@@ -137,19 +137,20 @@ def signal_pairs(spark, sf_dir, v):
     return discover.signal_pairs(_posted(spark, sf_dir), discover.cap(n))
 
 
-_QUERY = ["the", "of", "and", "that", "thednd", "zzz"]
-_ASKED = "(VALUES ('the'), ('of'), ('and'), ('that'), ('thednd'), ('zzz')) q(term)"
+_QUERY = ["atan", "ines", "aner", "orer", "thion", "inth", "the", "zzz"]
+_ASKED = "(VALUES ('atan'), ('ines'), ('aner'), ('orer'), ('thion'), ('inth'), ('the'), ('zzz')) q(term)"
+_CAP = "(SELECT greatest(32, ceil(count(*) / 5.0)) FROM documents)"
 
 
-@query(_TERMS + f"""+ , m AS (SELECT p.id, count(*) AS matched FROM p JOIN df USING (term) JOIN {_ASKED} USING (term) WHERE df <= 1000000 GROUP BY p.id)
-    SELECT id, matched, (matched * 1000000 // 6)::BIGINT AS ppm, row_number() OVER (ORDER BY id) AS rank FROM m WHERE matched >= 2 AND matched * 1000000 // 6 >= 600000""".replace("+ ,", ","))
+@query(_TERMS + f"""+ , m AS (SELECT p.id, count(*) AS matched FROM p JOIN df USING (term) JOIN {_ASKED} USING (term) WHERE df <= {_CAP} GROUP BY p.id)
+    SELECT id, matched, (matched * 1000000 // 8)::BIGINT AS ppm, row_number() OVER (ORDER BY id) AS rank FROM m WHERE matched >= 2 AND matched * 1000000 // 8 >= 250000""".replace("+ ,", ","))
 def responsibility_search(spark, sf_dir, v):
-    return discover.search(_posted(spark, sf_dir), _QUERY, 1_000_000)
+    return discover.search(_posted(spark, sf_dir), _QUERY, discover.cap(table(spark, sf_dir, "documents").count()), least_ppm=250_000)
 
 
-@query(_TERMS + f" SELECT q.term, CASE WHEN df IS NULL THEN 'absent' WHEN df > 100 THEN 'high_frequency' ELSE 'selective' END AS status FROM {_ASKED} LEFT JOIN df USING (term)")
+@query(_TERMS + f" SELECT q.term, CASE WHEN df IS NULL THEN 'absent' WHEN df > {_CAP} THEN 'high_frequency' ELSE 'selective' END AS status FROM {_ASKED} LEFT JOIN df USING (term)")
 def query_terms(spark, sf_dir, v):
-    return discover.query_terms(_posted(spark, sf_dir), _QUERY, 100)
+    return discover.query_terms(_posted(spark, sf_dir), _QUERY, discover.cap(table(spark, sf_dir, "documents").count()))
 
 
 @query("SELECT l_returnflag AS kind, l_linestatus AS provenance, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -303,11 +304,14 @@ def label_shares(spark, sf_dir, v):
     return rows.groupBy(F.col("toxic").alias("label"), "lang").agg(F.count(F.lit(1)).alias("n")).withColumn("ppm", F.floor(F.col("n") * F.lit(PPM) / F.lit(n)).cast("long"))
 
 
-@query("SELECT stream, reason FROM (SELECT stream, state AS reason, row_number() OVER (PARTITION BY stream ORDER BY CASE state WHEN 'completed' THEN 1 ELSE 99 END, state) AS r FROM event) WHERE r = 1", "event")
+_REASONS = ["parse_failure", "unsupported_syntax", "unsupported_caller", "dynamic_dispatch", "relative_specifier_unsupported", "relative_target_unread", "relative_target_ambiguous", "relative_target_excluded", "relative_target_missing",
+            "import_binding_ambiguous", "type_only_binding", "export_binding_unsupported", "import_resolution_unavailable", "shadowed_binding", "written_binding", "unresolved_name", "other"]
+
+
+@query("WITH r AS (SELECT user_id AS stream, (event_id * 7 + user_id) % 17 AS p FROM events) SELECT stream, [" + ", ".join(f"'{r}'" for r in _REASONS) + "][min(p) + 1] AS reason FROM r GROUP BY stream")
 def strongest_reasons(spark, sf_dir, v):
-    named = v("event").withColumn("why", F.when(F.col("state") == "completed", "parse_failure").otherwise(F.col("state")))
-    picked = review.strongest_reason(named, "stream", "why")
-    return picked.select("stream", F.when(F.col("reason") == "parse_failure", "completed").otherwise(F.col("reason")).alias("reason"))
+    why = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), ((F.col("event_id") * 7 + F.col("user_id")) % 17 + 1).cast("int"))
+    return review.strongest_reason(table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), why.alias("why")), "stream", "why")
 
 
 @query(_RESOLVED + """, e AS (SELECT y.scope, d.k AS callee, call_id, CASE confidence WHEN 'exact' THEN 0 WHEN 'name_only' THEN 1 ELSE 2 END AS r FROM y JOIN declaration d ON d.name = y.name
@@ -317,8 +321,7 @@ def call_edges(spark, sf_dir, v):
     return review.call_edges(resolve.resolve_calls(v("call_site"), v("declaration")), v("call_site"), v("declaration"))
 
 
-@query("""+u AS (SELECT name, string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR) AS callers FROM call_site GROUP BY name)
-    SELECT k, coalesce(callers, '') AS callers FROM declaration LEFT JOIN u USING (name)""", "call_site", "declaration")
+@query("SELECT k, call_id FROM declaration LEFT JOIN call_site USING (name)", "call_site", "declaration")
 def removed_callers(spark, sf_dir, v):
     return review.removed_callers(v("declaration"), v("call_site"))
 
@@ -416,4 +419,4 @@ def listing_cross_check(spark, sf_dir, v):
     return listings.cross_check(paths(v("before_fn")), paths(v("after_fn"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import catalog_evidence, catalog_graph, catalog_rules  # noqa: E402, F401  register their queries
+from . import catalog_evidence, catalog_graph, catalog_reports, catalog_rules  # noqa: E402, F401  register their queries

@@ -34,6 +34,29 @@ def production_path(path: Column) -> Column:
     return path.rlike(r"^(crates|rust)/[^/]+/src/.*\.rs$")
 
 
+def test_path(path: Column) -> Column:
+    """In a test directory, or a file that is called or ends like a test."""
+    return path.rlike(r"(^|/)(tests|benches|benchmarks)/|(^|/)tests?\.rs$|_tests?\.rs$")
+
+
+def label_suffix(label: Column, suffix: Column) -> Column:
+    """The last components of a label, parted by '::', are those of suffix."""
+    return (label == suffix) | label.endswith(F.concat(F.lit("::"), suffix))
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """The value of an attribute of a string map; null if it is not there."""
+    return F.get(F.array(attributes), 0)[name]
+
+
+def token_shape(text: Column) -> Column:
+    """Source text with strings, numbers and identifiers that are no keyword erased; white space runs are one blank. An approximation without a tokenizer."""
+    t = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "S")
+    t = F.regexp_replace(t, r"\b[0-9][0-9A-Za-z_.]*\b", "N")
+    keywords = "as|async|await|break|const|continue|else|enum|fn|for|if|impl|in|let|loop|match|mod|mut|pub|return|self|struct|trait|use|where|while|S|N"
+    return normal_space(F.regexp_replace(t, rf"\b(?!(?:{keywords})\b)[A-Za-z_][A-Za-z0-9_]*\b", "I"))
+
+
 def language(path: Column) -> Column:
     return F.when(path.endswith(".rs"), "rust").when(path.endswith(".kt"), "kotlin").when(path.endswith(".ts") | path.endswith(".tsx"), "typescript").otherwise("other")
 

@@ -43,4 +43,4 @@ def digest(items: Column) -> Column:
 
 def ppm(part: Column, whole: Column) -> Column:
     """floor(part / whole * 1,000,000), 0 where whole is 0."""
-    return F.when(whole == 0, F.lit(0).cast("long")).otherwise(F.floor(part * PPM / whole).cast("long"))
+    return F.when(whole == 0, F.lit(0).cast("long")).otherwise(F.floor(part.cast("long") * F.lit(PPM).cast("long") / whole).cast("long"))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def resolve_calls(sites: DataFrame, declared: DataFrame) -> DataFrame:
-    """(call_id, tier, candidates, confidence): same scope first, then by name; exact, name_only, ambiguous or unresolved."""
-    hits = sites.join(declared.select("name", F.col("scope").alias("home")), "name", "left")
-    n = hits.groupBy("call_id", "scope", "name").agg(F.count_if(F.col("home") == F.col("scope")).alias("near"), F.count("home").alias("far"))
+    """(call_id, tier, candidates, confidence): same scope first, then by name; exact, name_only, ambiguous or unresolved.
+
+    Declarations are counted by name and by name and scope first, so a call meets one row of each, however often a name is declared.
+    """
+    far = declared.groupBy("name").agg(F.count(F.lit(1)).alias("far"))
+    near = declared.groupBy("name", "scope").agg(F.count(F.lit(1)).alias("near"))
+    n = sites.select("call_id", "scope", "name").join(far, "name", "left").join(near, ["name", "scope"], "left").fillna(0, ["far", "near"])
     tier = F.when(F.col("near") > 0, "scope").when(F.col("far") > 0, "name").otherwise("none")
     count = F.when(F.col("near") > 0, F.col("near")).otherwise(F.col("far"))
     confidence = F.when(count == 0, "unresolved").when(count > 1, "ambiguous").when(F.col("near") == 1, "exact").otherwise("name_only")
@@ -24,11 +28,16 @@ def call_stats(resolved: DataFrame, fan_out: int = 5) -> DataFrame:
     return fixed.join(resolved.groupBy(kind.alias("confidence")).agg(F.count(F.lit(1)).alias("n")), "confidence", "left").select("confidence", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def overlapping(findings: DataFrame, roots: DataFrame) -> DataFrame:
-    """(finding, root) of one path and tag whose closed line ranges meet."""
-    f, r = findings.alias("f"), roots.alias("r")
-    on = (F.col("f.path") == F.col("r.path")) & (F.col("f.tag") == F.col("r.tag")) & (F.col("f.s") <= F.col("r.e")) & (F.col("r.s") <= F.col("f.e"))
-    return f.join(r, on).select("finding", "root").distinct()
+def overlapping(findings: DataFrame, roots: DataFrame, width: int = 4) -> DataFrame:
+    """(finding, root) of one path and tag whose closed line ranges meet.
+
+    Both sides are dealt into cells of `width` lines, and each pair is kept in its first common cell, so a hot path and tag is
+    split by lines and nothing need be made distinct but repeated rows.
+    """
+    cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    f, r = cells(findings).alias("f"), cells(roots).alias("r")
+    on = (F.col("f.path") == F.col("r.path")) & (F.col("f.tag") == F.col("r.tag")) & (F.col("f.cell") == F.col("r.cell")) & (F.col("f.s") <= F.col("r.e")) & (F.col("r.s") <= F.col("f.e"))
+    return f.join(r, on).where(F.col("f.cell") == F.floor(F.greatest("f.s", "r.s") / width)).select("finding", "root").distinct()
 
 
 def score(findings: DataFrame, roots: DataFrame) -> DataFrame:

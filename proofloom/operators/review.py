@@ -25,9 +25,8 @@ def call_edges(resolved: DataFrame, sites: DataFrame, declared: DataFrame, fan_o
 
 
 def removed_callers(removed: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """(k, callers): sorted ids of unresolved calls by the name of a removed callable, '' for none."""
-    calls = unresolved.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list(F.col("call_id").cast("string"))), ",").alias("callers"))
-    return removed.join(calls, "name", "left").select("k", F.coalesce("callers", F.lit("")).alias("callers"))
+    """(k, call_id): unresolved calls by the name of a removed callable, a row each; null for a callable without any."""
+    return removed.select("k", "name").join(unresolved.select("name", "call_id"), "name", "left").select("k", "call_id")
 
 
 def neighbourhood(selected: DataFrame, edges: DataFrame) -> DataFrame:

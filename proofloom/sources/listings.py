@@ -6,30 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def parse_tree(df: DataFrame, raw: str) -> DataFrame:
-    """NUL-separated `mode type oid<TAB>path` entries as rows; symlinks and submodules are flagged."""
+def parse_tree(df: DataFrame, raw: str, *keep: str) -> DataFrame:
+    """NUL-separated `mode type oid<TAB>path` entries as rows; regular tells files from symlinks and submodules."""
     entry = F.explode(F.filter(F.split(F.col(raw), "\0"), lambda x: x != ""))
-    rows = df.select(entry.alias("e"))
+    rows = df.select(*keep, entry.alias("e"))
     part = lambda i: F.regexp_extract("e", r"(?s)^(\d+) (\w+) ([0-9a-f]+)\t(.*)$", i)
-    rows = rows.select(part(1).alias("mode"), part(2).alias("type"), part(3).alias("oid"), part(4).alias("path"))
+    rows = rows.select(*keep, part(1).alias("mode"), part(2).alias("type"), part(3).alias("oid"), part(4).alias("path"))
     return rows.withColumn("regular", F.col("mode").isin("100644", "100755"))
 
 
 def parse_changes(df: DataFrame, raw: str) -> DataFrame:
-    """NUL-separated name-status fields: (status, old_path, path); renames and copies have two paths."""
-    fields = F.filter(F.split(F.col(raw), "\0"), lambda x: x != "")
-    zero = F.struct(F.array().cast("array<struct<status:string,old_path:string,path:string>>").alias("out"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("old"))
+    """NUL-separated name-status fields: (status, old_path, path); renames and copies have two paths.
 
-    def step(a: Column, x: Column) -> Column:
-        pair = a["status"].isin("R", "C")
-        none = F.lit(None).cast("string")
-        begin = F.struct(a["out"].alias("out"), F.substring(x, 1, 1).alias("status"), none.alias("old"))
-        keep_old = F.struct(a["out"].alias("out"), a["status"].alias("status"), x.alias("old"))
-        row = F.struct(a["status"].alias("status"), F.coalesce(a["old"], x).alias("old_path"), x.alias("path"))
-        done = F.struct(F.concat(a["out"], F.array(row)).alias("out"), none.alias("status"), none.alias("old"))
-        return F.when(a["status"].isNull(), begin).when(pair & a["old"].isNull(), keep_old).otherwise(done)
+    A field is a status if it is a letter, or R or C with a score, and stands where an entry begins: entries are cut by a
+    pattern over the whole text, so no list is built up field by field.
+    """
+    entry = F.explode(F.regexp_extract_all(F.concat(F.col(raw), F.lit("\0")), F.lit("(?s)[RC][0-9]*\0[^\0]+\0[^\0]+\0|[A-QS-Z][0-9]*\0[^\0]+\0"), 0))
+    fields = F.split("e", "\0")
+    rows = df.select(entry.alias("e")).select(F.substring(fields[0], 1, 1).alias("status"), fields[1].alias("old_path"), F.when(F.size(fields) > 3, fields[2]).otherwise(fields[1]).alias("path"))
+    return rows
+
+
+def split_patches(df: DataFrame, raw: str) -> DataFrame:
+    """(path, patch) per file of a unified diff: cut at lines that begin with 'diff '; the path is that of the +++ line, or of --- if the file went."""
+    part = F.explode(F.filter(F.split(F.concat(F.lit("\n"), F.col(raw)), "\ndiff "), lambda x: x.contains("\n+++ ")))
+    rows = df.select(part.alias("patch"))
+    new, old = F.regexp_extract("patch", r"(?m)^\+\+\+ (?:b/)?(.*)$", 1), F.regexp_extract("patch", r"(?m)^--- (?:a/)?(.*)$", 1)
+    return rows.select(F.when(new == "/dev/null", old).otherwise(new).alias("path"), "patch")
 
-    return df.select(F.explode(F.aggregate(fields, zero, step)["out"]).alias("r")).select("r.*")
+
+def changed_lines(df: DataFrame, patch: str, *keep: str) -> DataFrame:
+    """(keep, line): every changed line of a zero-context patch, a row each."""
+    return parse_hunks(df, patch).select(*keep, F.explode("ranges").alias("r")).select(*keep, F.explode(F.sequence("r.start", "r.end")).alias("line")).distinct()
 
 
 def parse_hunks(df: DataFrame, patch: str) -> DataFrame:
@@ -46,17 +54,25 @@ def cross_check(named: DataFrame, patched: DataFrame) -> DataFrame:
     return joined.select("path", F.when(F.col("n") & F.col("p"), "ok").when(F.col("n"), "patch_missing").otherwise("unlisted").alias("status"))
 
 
-def admitted(files: DataFrame, group: str, path: str, size: str, most_bytes: int, most_total: int) -> DataFrame:
-    """Bounded read in path order within group: accepted, file_too_large or total_exceeded (refused sizes do not add up)."""
+def admitted(files: DataFrame, group: str, path: str, size: str, most_bytes: int, most_total: int, most_files: int | None = None) -> DataFrame:
+    """Bounded read in path order within group: accepted, file_too_large, total_exceeded or too_many_files.
+
+    Refused sizes do not add up, so a row depends on all before it: a fold in path order. The state is a total and a count, held
+    by struct; the order is that of the sorted array, whose outcomes are zipped back. Groups are snapshots, bounded by their
+    own file limit.
+    """
     items = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(path).alias("path"), F.col(size).cast("long").alias("size")))).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<path:string,size:bigint,outcome:string>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("files"), F.lit("").alias("out"))
+    most = F.lit(most_files) if most_files is not None else F.lit((1 << 31) - 1)
+    names = F.array(F.lit("accepted"), F.lit("file_too_large"), F.lit("total_exceeded"), F.lit("too_many_files"))
 
     def step(a: Column, x: Column) -> Column:
-        outcome = F.when(x["size"] > most_bytes, "file_too_large").when(a["total"] + x["size"] > most_total, "total_exceeded").otherwise("accepted")
-        row = F.struct(x["path"].alias("path"), x["size"].alias("size"), outcome.alias("outcome"))
-        return F.struct((a["total"] + F.when(outcome == "accepted", x["size"]).otherwise(0)).alias("total"), F.concat(a["out"], F.array(row)).alias("out"))
+        code = F.when(a["files"] >= most, "4").when(x["size"] > most_bytes, "2").when(a["total"] + x["size"] > most_total, "3").otherwise("1")
+        return F.struct((a["total"] + F.when(code == "1", x["size"]).otherwise(0)).alias("total"), (a["files"] + F.when(code == "1", 1).otherwise(0)).alias("files"), F.concat(a["out"], code).alias("out"))
 
-    return items.select(group, F.explode(F.aggregate("items", zero, step)["out"]).alias("r")).select(group, "r.*")
+    coded = items.select(group, "items", F.aggregate("items", zero, step)["out"].alias("codes"))
+    rows = coded.select(group, "codes", F.posexplode("items").alias("at", "item"))
+    return rows.select(group, "item.path", "item.size", F.element_at(names, F.substring("codes", F.col("at") + 1, F.lit(1)).cast("int")).alias("outcome"))
 
 
 def chain_breaks(events: DataFrame, sequence: str, own_hash: str, previous_hash: str, stream: str) -> DataFrame:
