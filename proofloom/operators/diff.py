@@ -17,13 +17,14 @@ def member_diff(before: DataFrame, after: DataFrame, key: str, columns: list[str
 
 def staged_mapping(before: DataFrame, after: DataFrame, key: str, label: str) -> DataFrame:
     """(source, target, stage): equal keys first; of what is left, labels unique on both sides; the rest unmapped."""
+    none = F.lit(None).cast(before.schema[key].dataType)
     one = before.select(F.col(key).alias("source")).join(after.select(F.col(key).alias("target")), F.col("source") == F.col("target")).select("source", "target", F.lit("key").alias("stage"))
     left = before.select(F.col(key).alias("source"), label).join(one, "source", "left_anti")
     right = after.select(F.col(key).alias("target"), label).join(one, "target", "left_anti")
     alone = lambda df, c: df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min(c).alias(c)).where("_n = 1").drop("_n")
     two = alone(left, "source").join(alone(right, "target"), label).select("source", "target", F.lit("label").alias("stage"))
-    removed = left.join(two, "source", "left_anti").select("source", F.lit(None).cast("long").alias("target"), F.lit("removed").alias("stage"))
-    added = right.join(two, "target", "left_anti").select(F.lit(None).cast("long").alias("source"), "target", F.lit("added").alias("stage"))
+    removed = left.join(two, "source", "left_anti").select("source", none.alias("target"), F.lit("removed").alias("stage"))
+    added = right.join(two, "target", "left_anti").select(none.alias("source"), "target", F.lit("added").alias("stage"))
     return one.unionByName(two).unionByName(removed).unionByName(added)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from proofloom.catalog import ORACLE_SQL, QUERIES
 from proofloom.functions import scalar
 from proofloom.model import ppm, stable_id
-from proofloom.operators import diff, discover, evidence, glue, resolve, rules
-from proofloom.plans import waves
-from proofloom.sources import listings
+from proofloom.operators import callables, closure, diff, discover, evidence, glue, mapping, resolve, rules
+from proofloom.plans import graph, waves
+from proofloom.sources import listings, stores
+from proofloom.store import components
 from proofloom.streaming import lifecycle
 
 
@@ -16,8 +17,8 @@ def rows(df, *columns):
     return sorted((tuple(x[c] for c in (columns or df.columns)) for x in df.collect()), key=str)
 
 
-def test_every_query_is_callable():
-    assert QUERIES and set(ORACLE_SQL) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert QUERIES and set(ORACLE_SQL) == set(QUERIES)
 
 
 @pytest.mark.parametrize("path,kind", [
@@ -153,3 +154,105 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("latest_states_test"), "stream", "state", "seq") == rows(lifecycle.latest(ev), "stream", "state", "seq")
+
+
+def test_nine_obligations(spark):
+    """One candidate of each of five rules; a missing concurrency model makes four gaps."""
+    art = spark.createDataFrame([(1, "crates/a/src/a.rs", True, False, True, False, False, 0), (2, "crates/a/src/b.rs", False, False, False, False, False, 0)], "k long, path string, public boolean, own_change boolean, is_async boolean, awaits boolean, spawns boolean, primitives int")
+    contains = spark.createDataFrame([(10, 1)], "container long, member long")
+    changes = spark.createDataFrame([(10,)], "k long")
+    reentry = spark.createDataFrame([(7, 1, "unbounded_reentry"), (8, 1, "bounded")], "event long, target long, concurrency string")
+    calls = spark.createDataFrame([(1, 2, "syntactic_unique")], "caller long, callee long, resolution string")
+    external = spark.createDataFrame([(2, 99, None), (2, 98, "key")], "src long, dst long, idempotency string")
+    effects = spark.createDataFrame([(99,), (98,)], "k long")
+    scoped = spark.createDataFrame([(5, "p")], "invariant long, path string")
+    found = rules.rule_candidates(art, contains, changes, reentry, calls, external, effects, scoped)
+    table = rules.rule_table(spark)
+    states = spark.createDataFrame([("ast", "complete"), ("direct_calls", "complete"), ("test_mapping", "complete"), ("concurrency_model", "missing")], "capability string, state string")
+    made = rules.materialise(found, table, states)
+    assert rows(made, "rank", "key", "state", "needs") == [
+        (0, "node:1", "unknown", ""), (1, "reentry:7:1", "unknown", "node:1"), (2, "contract:2:99", "applicable", ""),
+        (3, "path:7:1:2:99", "unknown", "contract:2:99,reentry:7:1"), (4, "invariant:5:p", "unknown", ""),
+    ]
+    gaps = rules.gap_obligations(found, table, states)
+    assert len(rows(gaps)) == 4 and {x["kind"] for x in gaps.collect()} == {"missing_extraction"}
+    assert rows(rules.collisions(made.select("rule", "key").union(made.select("rule", "key")), "key"), "n", "rules") == [(2, 1)] * 5
+
+
+def test_connected_needs_property_mode_target_and_snapshot(spark):
+    claims = spark.createDataFrame([(1, 11, "accepted", "p"), (2, 12, "open", "p"), (3, 13, "supported", "p")], "claim long, obligation long, disposition string, property string")
+    bound = spark.createDataFrame([(1, 100, "supports", "p"), (2, 100, "supports", "p"), (3, 101, "supports", "p"), (3, 100, "contradicts", "p"), (3, 100, "supports", "q")], "claim long, evidence long, relation string, property string")
+    evid = spark.createDataFrame([(100, "test", True, 5), (101, "test", False, 5)], "evidence long, mode string, current boolean, target long")
+    targets = spark.createDataFrame([(11, 5), (12, 5), (13, 5)], "obligation long, target long")
+    modes = spark.createDataFrame([("p", "test")], "property string, mode string")
+    assert rows(closure.supported(claims, bound, evid, targets, modes)) == [(11,)]
+
+
+def test_historical_closure_wants_equal_sets(spark):
+    claims = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "claim long")
+    bound = spark.createDataFrame([(1, 5, "reproduces"), (2, 5, "reproduces"), (2, 6, "reproduces"), (3, 5, "reproduces"), (4, 5, "supports")], "claim long, evidence long, relation string")
+    verified = spark.createDataFrame([(1, 5, True), (2, 5, True), (3, 5, True), (3, 6, True), (4, 5, True)], "claim long, evidence long, passed boolean")
+    decided = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "claim long")
+    assert rows(closure.historical(claims, bound, verified, decided)) == [(1, 1)]
+
+
+def test_callables_match_in_two_phases(spark):
+    schema = "k long, path string, qualified string, name string, params int, s int, e int, public boolean, signature string"
+    before = spark.createDataFrame([(1, "f", "a::x", "x", 1, 1, 5, True, "s"), (2, "f", "dup", "y", 0, 10, 12, True, "s"), (3, "f", "dup", "y", 0, 20, 22, False, "s"), (4, "f", "gone", "g", 0, 30, 32, True, "s")], schema)
+    after = spark.createDataFrame([(11, "f", "a::x", "x", 2, 1, 5, True, "t"), (12, "f", "dup", "y", 0, 10, 12, True, "s"), (13, "f", "dup", "y", 0, 20, 22, True, "s"), (14, "f", "new", "n", 0, 40, 44, False, "s")], schema)
+    ranges = spark.createDataFrame([("f", 3, 3)], "path string, s int, e int")
+    gone = spark.createDataFrame([("f", 12)], "path string, n int")
+    got = callables.changes(before, after, ranges, gone)
+    assert rows(got, "source", "target", "status") == [(1, 11, "modified"), (2, 12, "unchanged"), (3, 13, "modified"), (4, None, "removed"), (None, 14, "added")]
+    edges = spark.createDataFrame([(50, 11), (11, 11), (51, 14)], "caller long, callee long")
+    run = callables.run_obligations(got, edges, spark.createDataFrame([("bad.rs",)], "path string"))
+    assert sorted((x["kind"], x["key"]) for x in run.collect()) == [("caller", "50:11"), ("changed", "11"), ("changed", "13"), ("gap", "bad.rs"), ("removed", "4")]
+
+
+def test_graph_closures(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 41)], "src long, dst long")
+    seeds = spark.createDataFrame([(20,), (77,)], "node long")
+    assert rows(graph.relevant(seeds, edges)) == sorted([(i,) for i in range(1, 21)] + [(77,)], key=str)
+    up = graph.ancestors(edges.select(F.col("src").alias("node"), F.col("dst").alias("parent")))
+    assert sorted((x["ancestor"], x["depth"]) for x in up.where("node = 1").collect()) == [(i, i - 1) for i in range(2, 21)]
+    assert {(x["node"], x["root"]) for x in components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).collect()} == {(i, 1) for i in range(1, 21)} | {(40, 40), (41, 40)}
+    stale = graph.staleness(spark.createDataFrame([(2, "r"), (1, "r")], "id long, reason string"), spark.createDataFrame([(1, 2), (3, 1)], "id long, on long"))
+    assert rows(stale, "id", "directness", "reasons") == [(1, "direct_and_indirect", "dependency_changed,r"), (2, "direct", "r"), (3, "indirect", "dependency_changed")]
+
+
+def test_mapping_consumes_vertices(spark):
+    a = spark.createDataFrame([(1, "p", "x"), (2, "q", "x"), (3, "old", "z")], "k long, path string, label string")
+    b = spark.createDataFrame([(10, "p", "x"), (20, "r", "x"), (30, "new", "z")], "k long, path string, label string")
+    got = mapping.staged(a, b, [("path", ["path", "label"]), ("rename", ["path", "label"]), ("label", ["label"])], spark.createDataFrame([("old", "new")], "old string, new string"))
+    assert rows(got) == [(1, 10, "path"), (2, 20, "label"), (3, 30, "rename")]
+
+
+def test_many_shared_terms_do_not_overflow(spark):
+    text = " ".join(f"t{i}" for i in range(4500))
+    pairs = discover.signal_pairs(discover.terms(spark.createDataFrame([(1, text), (2, text), (3, "lone")], "id int, text string"), "id", "text"), 32)
+    assert [(x["a"], x["b"], x["shared"], x["ppm"]) for x in pairs.collect()] == [(1, 2, 4500, 1_000_000)]
+    assert spark.range(1).select(ppm(F.lit(2_000_000), F.lit(4_000_000)).alias("p")).first()["p"] == 500_000
+
+
+def test_ranks_over_ranges(spark):
+    got = waves.rank(spark.range(0, 500, 1, 7).withColumn("v", F.col("id") % 10), [F.desc("v"), F.col("id")]).collect()
+    assert sorted((x["rank"], x["id"]) for x in got) == list(enumerate(sorted(range(500), key=lambda i: (-(i % 10), i)), 1))
+
+
+def test_patches_and_listings_keep_odd_paths(spark):
+    raw = "diff --git a/x b/x\n--- a/x\n+++ b/x y\n@@ -1 +2,2 @@\n+a\n+b\ndiff --git a/z b/z\n--- a/z\n+++ /dev/null\n@@ -3,2 +2,0 @@\n-c\n"
+    df = spark.createDataFrame([(raw,)], "raw string")
+    cut = listings.split_patches(df, "raw")
+    assert rows(cut, "path") == [("x y",), ("z",)]
+    assert rows(listings.changed_lines(cut, "patch", "path")) == [("x y", 2), ("x y", 3)]
+    names = spark.createDataFrame([("A\x00A\x00R100\x00M\x00R\x00T\x00C1\x00",)], "raw string")
+    assert rows(listings.parse_changes(names, "raw")) == [("A", "A", "A"), ("R", "M", "R"), ("T", "C1", "C1")]
+
+
+def test_token_shape(spark):
+    got = spark.createDataFrame([('let x = foo("a \\" b", 12);',), ('let  y=bar("",0x1F);',)], "t string").select(scalar.token_shape(F.col("t")).alias("s")).collect()
+    assert got[0]["s"] == "let I = I(S, N);" and got[1]["s"] == "let I=I(S,N);"
+
+
+def test_schema_registry(spark):
+    assert rows(stores.registry({"b": "x long", "a": "y string, z array<int>"}, spark)) == [("a", 0, "y", "string"), ("a", 1, "z", "array<int>"), ("b", 0, "x", "bigint")]
