@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, bucket_bits, written
+from .common import bind, bucket_bits, free_name, hash_bucket, written
 from .quality import word_list
 
 #: Production: five-word shingles, one hash in four.
@@ -66,31 +66,61 @@ def containment(a: Column, b: Column, text_b: Column | None = None, words: int =
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(share)
 
 
-#: Most ranges of keys: their table (three longs each, 1.5 MB) is broadcast.
-MOST_CELLS_BITS = 16
+#: Quantiles of the keys that the ranges are cut from; each is split further where it holds more rows than a range should.
+CUTS, RANGE_ROWS = 1024, 256
+
+
+def _ranges(docs: DataFrame, key: str, order: Column) -> Column:
+    """A number of the range that a row falls into, rising with (key, order); null keys come first.
+
+    The keys' quantiles (CUTS numbers, which come to the driver) give ranges of like counts, however the keys are spread. Each is
+    split by equal widths of the key; its last key, and null, by the top bits of order: a key with many rows is the last of a range.
+    """
+    n = docs.count()
+    cuts = min(CUTS, max(1, n // RANGE_ROWS))
+    found = docs.agg(F.percentile_approx(key, [(i + 1) / cuts for i in range(cuts)], 20 * CUTS), F.min(key)).first()
+    ends = sorted(set(found[0] or [0]))
+    starts = [found[1] if found[1] is not None else 0, *[e + 1 for e in ends[:-1]]]
+    bits = bucket_bits(-(-n // cuts), RANGE_ROWS)
+    step = 32
+    groups = [ends[i : i + step] for i in range(0, len(ends), step)]
+    lit = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
+    below = lambda a, k: F.size(F.filter(a, lambda e: e < k))
+    k = F.col(key).cast("long")
+    coarse = F.least(below(lit([g[-1] for g in groups]), k), F.lit(len(groups) - 1))
+    place = coarse * step + below(F.element_at(F.array(*[lit(g) for g in groups]), coarse + 1), k)
+    place = F.least(place, F.lit(len(ends) - 1))
+    low, high = F.element_at(lit(starts), place + 1), F.element_at(lit(ends), place + 1)
+    share = F.greatest((k - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double"), F.lit(0.0))
+    within = F.when(k < high, F.least(F.floor(share * (1 << bits)), F.lit((1 << bits) - 1))).otherwise(hash_bucket(order, bits) + (1 << bits))
+    return F.when(k.isNull(), hash_bucket(order, bits) - (1 << bits)).otherwise(place.cast("long") * (2 << bits) + within)
 
 
 def with_next(docs: DataFrame, key: str, kept: list[str]) -> DataFrame:
     """Adds next_<c> for c in kept: the values of the row after, ascending key, after the last the first.
 
-    Keys are split into ranges of equal width, one window each; the first row of a range goes
+    Rows fall into ranges of about RANGE_ROWS rows, one window each; the first row of a range goes
     to the range before as well, so texts move once and no task gets more than a range. Null keys come
-    first; rows with equal keys are ordered by hashes of their kept values. A single row is its own next.
+    first; rows with equal keys are ordered by hashes of their kept values. A single row is its own next. Columns of the added names
+    are replaced.
     """
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // (1 << min(MOST_CELLS_BITS, bucket_bits(n, 256))) + 1
-    cell = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    heads = written(docs.select(cell.alias("_cell"), F.col(key).alias("_head")).groupBy("_cell").agg(F.min("_head").alias("_head")), "heads")
-    by_cell = Window.orderBy("_cell")
-    last = heads.agg(F.max("_cell")).first()[0]
-    heads = heads.select("_cell", "_head", F.coalesce(F.lag("_cell").over(by_cell), F.lit(last)).alias("_before"))
-    rows = docs.withColumn("_cell", cell).join(F.broadcast(heads), "_cell")
-    own = F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("guard"))
-    guard = F.struct(F.col("_before").alias("cell"), F.lit(1).alias("guard"))
-    places = F.when(F.col(key).eqNullSafe(F.col("_head")), F.array(own, guard)).otherwise(F.array(own))
-    rows = rows.withColumn("_at", F.explode(places)).drop("_cell", "_head", "_before")
-    order = [F.col("_at.guard"), F.col(key).asc_nulls_first(), *[F.xxhash64(c) for c in kept]]
-    w = Window.partitionBy("_at.cell").orderBy(*order)
-    ahead = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept})
-    return ahead.where("_at.guard = 0").drop("_at")
+    docs = docs.drop(*[f"next_{c}" for c in kept])
+    hashed, cell, head, before, at = (free_name(docs.columns, c) for c in ("order", "cell", "head", "before", "at"))
+    rows = docs.withColumn(hashed, F.xxhash64(*kept))
+    rows = rows.withColumn(cell, _ranges(docs.select(key), key, F.col(hashed)))
+    first = F.min(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("key"), F.col(hashed).alias("order")))
+    heads = written(rows.groupBy(cell).agg(first.alias(head)), "heads")
+    parts = F.floor(F.col(cell) / 4096)  # two levels: the last range of a block of ranges, then within blocks
+    blocks = heads.groupBy(parts.alias("block")).agg(F.max(cell).alias("last"))
+    last = heads.agg(F.max(cell)).first()[0]
+    blocks = blocks.select("block", F.coalesce(F.lag("last").over(Window.orderBy("block")), F.lit(last)).alias("wrap"))
+    heads = heads.withColumn("block", parts).join(blocks, "block")
+    heads = heads.select(cell, head, F.coalesce(F.lag(cell).over(Window.partitionBy("block").orderBy(cell)), F.col("wrap")).alias(before))
+    joined = rows.join(heads, cell)  # broadcast by Spark where the heads' table is small
+    own = F.struct(F.col(cell).alias("cell"), F.lit(0).alias("guard"))
+    guard = F.struct(F.col(before).alias("cell"), F.lit(1).alias("guard"))
+    is_head = F.col(key).eqNullSafe(F.col(f"{head}.key")) & (F.col(hashed) == F.col(f"{head}.order"))
+    joined = joined.withColumn(at, F.explode(F.when(is_head, F.array(own, guard)).otherwise(F.array(own)))).drop(cell, head, before)
+    w = Window.partitionBy(f"{at}.cell").orderBy(F.col(f"{at}.guard"), F.col(key).asc_nulls_first(), F.col(hashed))
+    ahead = joined.withColumns({f"next_{c}": F.lead(c).over(w) for c in kept})
+    return ahead.where(f"{at}.guard = 0").drop(at, hashed)

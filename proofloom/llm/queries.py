@@ -28,11 +28,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.measures(documents(spark, sf_dir))
-    chosen = [rule for rule, _ in quality.ordered_rules(measured, (quality.BASE, *quality.RULES))]
-    judged = quality.cascade(measured, chosen)
+    docs = documents(spark, sf_dir)
+    judged = quality.cascade(docs, [rule for rule, _ in quality.ordered_rules(docs)])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, F.expr(quality.BASE.rejects).alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    base_failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
+    return quality.measures(judged).select("doc_id", *counts, base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

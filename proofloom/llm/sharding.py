@@ -27,8 +27,9 @@ def shard_rows(rows: DataFrame, key: str, weights: list[float], new_weight: floa
     """Adds shard, slot (gapless from 0 in each shard, by hash of the key) and grown_shard.
 
     rows: narrow rows (no texts; keep key, sizes, checksums). Equal keys go to one shard, whose
-    rows are ordered by all their columns, so reruns agree. An empty table gives an empty one.
+    rows are ordered by all their columns, so reruns agree. An empty table gives an empty one. Columns called like the added ones are replaced.
     """
+    rows = rows.drop("shard", "slot", "grown_shard")
     known = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     dealt = rows.withColumns({
         "shard": rendezvous(F.col(key), weights),

@@ -12,11 +12,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from .common import release, written
 
 BITS, ORDERS = 20, (4, 5, 6)
 #: Fit: at most so many labelled rows of each class, those with the smallest hashes of their ids.
 MOST_PER_CLASS = 3000
-MOST_FEATURES = 4000
+#: Features: cells whose ratio stands out, |ratio| * sqrt(texts with it) being this or more: some four standard errors.
+LEAST_EVIDENCE = 8.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share of toxic rows among the labels (0 without labels).
     """
     known = labels.where("toxic IS NOT NULL").groupBy(key).agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out(F.col(key)))
+    known = known.where(~held_out(F.col(key))).join(docs.where(F.col(text).isNotNull()).select(key).distinct(), key, "left_semi")
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = None
@@ -87,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def distinct(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
             ids, texts, y = (batch.column(i).to_pylist() for i in range(3))
             out = []
@@ -94,8 +99,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 out.append(np.unique(cells(texts[i : i + 1])[1]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(y, pa.int32())], ["key", "cells", "toxic"])
 
-    from .common import written
-
     rows = written(rows.select(F.col(key).cast("long"), text, F.col("toxic").cast("int")).mapInArrow(distinct, "key long, cells binary, toxic int"), "toxic-cells")
 
     def counted(parts):
@@ -115,9 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n0 or not n1:
         return Model(weights, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     ratio = F.log(((F.col("toxic") + 1) / (n1 + 2)) / ((F.col("clean") + 1) / (n0 + 2)))
-    # most informative: the ratio times the root of the support
-    top = per_cell.where("clean + toxic >= 5").select("cell", ratio.alias("r")).withColumn("w", F.abs("r")).join(per_cell, "cell")
-    top = top.select("cell", "r", (F.col("w") * F.sqrt(F.col("clean") + F.col("toxic"))).alias("w")).orderBy(F.desc("w"), "cell").limit(MOST_FEATURES).collect()
+    top = per_cell.select("cell", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.col("clean") + F.col("toxic"))).alias("w"))
+    top = top.where(F.col("w") >= LEAST_EVIDENCE).orderBy("cell").collect()  # 2**BITS cells at most
     if not top:
         return Model(weights, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     index = np.full(1 << BITS, -1)
@@ -171,17 +173,20 @@ def _regress(of, col, r, y, l2: float = 1.0, steps: int = 400):
     return w, b
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: toxic likelier); null and empty texts get the score of no features."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with name (0 to 1, higher: toxic likelier); null and empty texts get the score of no features.
+
+    A column of that name in docs is replaced; equal rows are scored apart; all of a text counts, however long.
+    """
+    docs = docs.drop(name)
     names, schema = docs.columns, docs.schema
 
     def run(parts):
         import pyarrow as pa
 
+        release()
         for batch in parts:
             got = model.scores(batch.column(names.index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*names, name])
 
-    return docs.mapInArrow(run, StructType([*schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*schema.fields]).add(name, DoubleType()))

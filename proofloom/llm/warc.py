@@ -24,10 +24,11 @@ FULL32, FULL16 = 0xFFFFFFFF, 0xFFFF
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record(kind: str, uri: str, payload: bytes, sha1: str, refers_to: str | None, size: int) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload but keeps its digest and size."""
+def record(kind: str, uri: str, payload: bytes, sha1: str, refers_to: str | None, size: int, target: str | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit has no payload but keeps its digest and size. target: the page's address (none: uri), control characters escaped."""
+    target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in target) if target else uri
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{uri}>"), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Bytes", str(size))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{uri}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Payload-Bytes", str(size))]
     if refers_to is not None:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to}>")]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
@@ -165,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, archi
         for batch in parts:
             for x in batch.to_pylist():
                 to = None if x["refers_to"] is None else f"urn:page:{x['refers_to']}"
-                one = gzip.compress(record("response" if to is None else "revisit", f"urn:page:{x['page_id']}", x["payload"] or b"", x["sha1"], to, x["size"]), 1, mtime=0)
+                one = gzip.compress(record("response" if to is None else "revisit", f"urn:page:{x['page_id']}", x["payload"] or b"", x["sha1"], to, x["size"], x["url"]), 1, mtime=0)
                 index.append([x["page_id"], x["url"], len(data), len(one)])
                 data += one
                 keys += 1
@@ -181,7 +182,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) per record, fetched by its range.
 
     Digests of responses are taken from the payload read; a revisit's come from its header,
-    as its payload is that of the record it refers to.
+    as its payload is that of the record it refers to. An empty table of archives gives no rows.
     """
 
     def read(parts):

@@ -96,6 +96,29 @@ def test_toxicity_learns_and_holds_out(spark):
     assert held and right / len(held) > 0.95
 
 
+def test_toxicity_ratios_and_features_equal_brute_force(spark):
+    """The features of a fit are exactly the cells whose smoothed log ratio stands out, counted over all training texts."""
+    r, words = random.Random(11), vocabulary(n=30)
+    docs, labels = [], []
+    for i in range(240):
+        t = [r.choice(words) for _ in range(12)] + (["gronkle"] if i % 3 == 0 and i % 2 else [])
+        docs.append((i, " ".join(t)))
+        labels.append((i, int(i % 3 == 0)))
+    docs.append((500, None))
+    labels += [(500, 1), (777, 1), (3, None)]  # a label without text, one without a document, one without a value
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    seen, n = [Counter(), Counter()], [0, 0]
+    for (i, t), (_, y) in zip(docs, labels):
+        if t is not None and zlib.crc32(str(i).encode()) % 5:
+            seen[y].update(set(toxicity.cells([t])[1].tolist()))
+            n[y] += 1
+    ratio = {c: np.log(((seen[1][c] + 1) / (n[1] + 2)) / ((seen[0][c] + 1) / (n[0] + 2))) for c in seen[0] | seen[1]}
+    want = {c for c, x in ratio.items() if abs(x) * np.sqrt(seen[0][c] + seen[1][c]) >= toxicity.LEAST_EVIDENCE}
+    got = set(np.flatnonzero(model.weights).tolist())
+    assert got and got <= want and len(got) > 0.9 * len(want)
+    assert all(model.weights[c] > 0 for c in got if seen[0][c] == 0)
+
+
 def test_toxicity_without_labels_scores_low(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -226,10 +249,49 @@ def test_quality(spark, sf):
 
 
 def test_cascade_order_does_not_change_verdicts(spark, sf):
-    measured = quality.measures(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     rules = [quality.BASE, *quality.RULES]
-    verdict = lambda order: sorted((x["doc_id"], x["rejected_by"] is None) for x in quality.cascade(measured, order).collect())
-    assert verdict(rules) == verdict(rules[::-1])
+    verdict = lambda order: sorted((x["doc_id"], x["rejected_by"] is None) for x in quality.cascade(docs, order).collect())
+    assert verdict(rules) == verdict(rules[::-1]) == verdict([r for r, _ in quality.ordered_rules(docs, sample_rows=30)])
+
+
+def test_cascade_skips_later_rules(spark):
+    """A rule that would fail the job is never evaluated for texts that an earlier rule rejects."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, None)], "doc_id long, text string")
+    first = quality.Rule("first", lambda t: (t == "bad") | (t == ""))
+    second = quality.Rule("second", lambda t: F.raise_error(F.concat(F.lit("evaluated "), t)).isNotNull())
+    assert {x["rejected_by"] for x in quality.cascade(docs, [first, second]).collect()} == {"first"}
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "word " * 400) for i in range(300)], "doc_id long, text string")
+    never = quality.Rule("never", lambda t: F.length(t) < 0)
+    dear = quality.Rule("dear", lambda t: quality.repeat_words(quality.word_list(t)) >= 0)
+    cheap = quality.Rule("cheap", lambda t: F.length(t) > 3)
+    order = [r.name for r, _ in quality.ordered_rules(docs, rules=(never, dear, cheap))]
+    assert order[-1] == "never" and set(order[:2]) == {"dear", "cheap"}
+
+
+@pytest.mark.parametrize("clash", ["score", "shard", "n_words", "next_text", "m", "order", "cell", "mark", "cuts"])
+def test_clashing_columns(spark, clash):
+    """A user's column that is called like one that an operator adds is replaced where it is a result and kept where it is inner."""
+    docs = spark.createDataFrame([(1, "one two three four five six", "a", "x"), (2, "seven eight", "b", "y"), (3, None, None, "z")], f"doc_id long, text string, source string, {clash} string")
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), 0.0)
+    scored = toxicity.score(docs, model)
+    assert scored.count() == 3 and scored.columns.count("score") == 1
+    measured = quality.measures(docs)
+    assert len(set(measured.columns)) == len(measured.columns) and measured.count() == 3
+    ahead = fingerprint.with_next(docs, "doc_id", ["text"])
+    assert len(set(ahead.columns)) == len(ahead.columns) and ahead.count() == 3
+    assert sharding.shard_rows(docs.drop("text"), "doc_id", [1.0, 1.0]).count() == 3
+    for same in (ngram_join.one_of_each(docs, ngram_join.Terms(5, 80, 100)), suffix_dedup.without_repeats(docs)):
+        assert same.columns == docs.columns and {x[clash] for x in same.collect()} == {"x", "y", "z"}
+    mixed = mixing.mixed_texts(docs)
+    assert mixed.columns == docs.columns and mixed.count() >= 1
 
 
 def test_sharding(spark, sf):
@@ -361,6 +423,33 @@ def test_packing(spark, sf):
         assert at <= 4096
 
 
+def test_long_texts_are_cut_and_filed(spark):
+    """Texts over two sequences, over a token file's size, and rows that repeat."""
+    docs = [(1, "alpha, Beta " * 9000), (2, "gamma"), (2, "gamma"), (None, "x" * 300), (4, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = plain_ids()
+    cut = packing.pack_pieces(packing.pieces(d, "doc_id", "text", queries.tokenizer_path(), 1, 4096), 4096).collect()
+    want = Counter()
+    for k, t in docs:
+        x = ids(t) + [1]
+        for p, b in enumerate(range(0, len(x), 4096)):
+            want[k, p, b, len(x[b : b + 4096]), zlib.crc32(struct.pack(f"<{len(x[b : b + 4096])}I", *x[b : b + 4096]))] += 1
+    assert Counter((x["key"], x["piece"], x["start"], x["length"], x["ids_crc32"]) for x in cut) == want and max(p for _, p, *_ in want) >= 4
+    from proofloom.llm.common import fresh_path
+
+    files = token_files.write_files(d, "doc_id", "text", queries.tokenizer_path(), 2, fresh_path(spark, "tokens"), file_bytes=64)
+    assert files.count() >= 2
+    read = token_files.read_files(files).orderBy("start").collect()
+    assert [x["key"] for x in read] == [None, 1, 2, 2, 4]
+    assert [x["n_tokens"] for x in read] == [len(ids(dict(docs).get(x["key"]))) + 1 for x in read]
+
+
+def test_record_names_the_page():
+    fields, payload = warc.parse_record(warc.record("response", "urn:page:1", b"<p>", "00", None, 3, "http://a/\r\nX: y"))
+    assert fields["warc-target-uri"] == "http://a/%0D%0AX:%20y" and fields["warc-record-id"] == "<urn:page:1>" and payload == b"<p>"
+    assert warc.parse_record(warc.record("response", "urn:page:1", b"", "00", None, 0))[0]["warc-target-uri"] == "urn:page:1"
+
+
 def test_warc(spark, sf):
     rows = queries.QUERIES["op8_warc"](spark, sf).collect()
     page = "<p>" + "word " * 300 + "</p>"
@@ -401,6 +490,54 @@ def test_fingerprints(spark, sf):
         assert prints.setdefault(t, x["fingerprint"]) == x["fingerprint"]
 
 
+def test_likeness_equals_brute_force(spark, sf):
+    """Sketches hold exactly the shingle hashes below the bound, and likeness is theirs, over every document."""
+    import xxhash
+
+    def hashed(parts):
+        """Spark's xxhash64 of strings in turn: each seeds the next."""
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p.encode(), h)
+        return h >> 32
+
+    def kept(text):
+        w = WORD.findall(text.lower())
+        k = 5
+        found = {hashed(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({hashed([" ".join(w)])} if w else set())
+        low = {h for h in found if h < (1 << 32) // 4}
+        return low or set(sorted(found)[:1])
+
+    share = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    docs = [(r[0], r[1] or "") for r in corpus() if r[0] not in (1002,) and (r[1] or "").isascii()]
+    docs = sorted({d: t for d, t in docs}.items())
+    folder = f"{sf}-ascii"
+    spark.createDataFrame(docs, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    rows = {x["doc_id"]: x for x in queries.QUERIES["op9_fingerprints"](spark, folder).collect()}
+    for i, (d, t) in enumerate(docs):
+        n = docs[(i + 1) % len(docs)][1]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert rows[d]["fingerprint"] == "".join(f"{h:08x}" for h in sorted(kept(t)))
+        assert rows[d]["edited_fingerprint"] == "".join(f"{h:08x}" for h in sorted(kept(edited)))
+        assert rows[d]["near_edited"] == pytest.approx(share(kept(t), kept(edited))) and rows[d]["near_next"] == pytest.approx(share(kept(t), kept(n)))
+
+
+@pytest.mark.parametrize("ids", [list(range(900)), [*range(899), 10**15], [7] * 600 + list(range(300)), [None] * 500 + list(range(0, 4000, 10)), [5]])
+def test_next_row_over_ranges(spark, monkeypatch, ids):
+    """Far-off, repeated and null keys: next is the row after in (key, hash) order, and no range holds most rows."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 16)
+    monkeypatch.setattr(fingerprint, "CUTS", 8)
+    docs = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    rows = fingerprint.with_next(docs.withColumn("h", F.xxhash64("text")), "doc_id", ["text"]).collect()
+    order = sorted(rows, key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["h"]))
+    assert Counter((x["doc_id"], x["text"]) for x in rows) == Counter((d, f"t{i}") for i, d in enumerate(ids))
+    assert [x["next_text"] for x in order] == [x["text"] for x in order[1:] + order[:1]]
+    sizes = [r["count"] for r in docs.select(fingerprint._ranges(docs, "doc_id", F.xxhash64("text")).alias("c")).groupBy("c").count().collect()]
+    assert len(ids) == 1 or max(sizes) <= len(ids) // 4
+
+
 def test_sketches_estimate_containment(spark):
     words = [f"w{i}" for i in range(4000)]
     rows = spark.createDataFrame([(" ".join(words[:1000]), " ".join(words))], "a string, b string")
