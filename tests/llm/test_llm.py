@@ -616,4 +616,30 @@ def test_pipeline(spark, sf):
     assert mixed.columns == docs.columns
     size = sum(len(WORD.findall(r[1] or "")) for r in corpus())
     assert abs(sum(len(WORD.findall(x["text"] or "")) for x in mixed.collect()) - 1.5 * size) <= 5
+    # toxicity: those stay that the same model scores below 0.5, with all their columns
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf)
+    scores = model.scores([r[1] for r in corpus()])
+    assert clean.columns == docs.columns
+    assert Counter((x["doc_id"], x["text"]) for x in clean.collect()) == Counter((r[0], r[1]) for r, p in zip(corpus(), scores) if p < 0.5)
+    # packing: every row's ids whole and in place, sequences gapless and full but for the last few
+    packed = corpus_pipeline.pack(spark, docs, sf).collect()
+    ids, want = plain_ids(), Counter()
+    for d, t, *_ in corpus():
+        x = ids(t) + [1]
+        for p, b in enumerate(range(0, len(x), 4096)):
+            want[d, p, zlib.crc32(struct.pack(f"<{len(x[b : b + 4096])}I", *x[b : b + 4096]))] += 1
+    assert Counter((x["doc_id"], x["piece"], x["ids_crc32"]) for x in packed) == want
+    spans = defaultdict(list)
+    for x in packed:
+        spans[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert all(sorted(v)[i][0] == sum(n for _, n in sorted(v)[:i]) for v in spans.values() for i in range(len(v)))
+    assert len(spans) <= -(-sum(n for v in spans.values() for _, n in v) // 4096) + 1
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_of_nothing(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
