@@ -15,11 +15,14 @@ from proofloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below 0.5, with all their columns; null and empty texts have the score of no features. Nothing in, nothing out."""
+    """Documents with a score below 0.5, with all their columns; null and empty texts have the score of no features.
+
+    Labels that tell no n-gram apart reject nothing, however many of them are toxic. Nothing in, nothing out.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    name = free_name(docs.columns, "score")
-    return toxicity.score(docs, toxicity.fit(docs, labels), name=name).where(F.col(name) < 0.5).drop(name)
+    model, name = toxicity.fit(docs, labels), free_name(docs.columns, "score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name) if model.weights.any() else docs
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
