@@ -616,13 +616,18 @@ def test_pipeline(spark, sf):
     assert mixed.columns == docs.columns
     size = sum(len(WORD.findall(r[1] or "")) for r in corpus())
     assert abs(sum(len(WORD.findall(x["text"] or "")) for x in mixed.collect()) - 1.5 * size) <= 5
-    # toxicity: those stay that the same model scores below 0.5, with all their columns
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    model = toxicity.fit(docs, labels)
-    clean = corpus_pipeline.drop_toxic(spark, docs, sf)
-    scores = model.scores([r[1] for r in corpus()])
-    assert clean.columns == docs.columns
-    assert Counter((x["doc_id"], x["text"]) for x in clean.collect()) == Counter((r[0], r[1]) for r, p in zip(corpus(), scores) if p < 0.5)
+    # toxicity: those stay that the same model scores below 0.5, with all their columns; labels that tell nothing reject nothing
+    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == len(corpus())
+    r, words = random.Random(9), vocabulary()
+    planted = [(i, " ".join([r.choice(words) for _ in range(30)] + (["gronkle"] if i % 4 == 0 else [])), "en", "s1", 1) for i in range(200)] + [(500, None, "en", "s1", 0)]
+    folder = f"{sf}-toxic"
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    some = spark.createDataFrame(planted, SCHEMA).withColumnRenamed("n_chars", "score")
+    model = toxicity.fit(some, spark.read.parquet(f"{folder}/labels.parquet"))
+    clean = corpus_pipeline.drop_toxic(spark, some, folder)
+    left = {x["doc_id"] for x in clean.collect()}
+    assert clean.columns == some.columns and left == {x[0] for x, p in zip(planted, model.scores([x[1] for x in planted])) if p < 0.5}
+    assert left == {i for i in range(200) if i % 4} | {500}
     # packing: every row's ids whole and in place, sequences gapless and full but for the last few
     packed = corpus_pipeline.pack(spark, docs, sf).collect()
     ids, want = plain_ids(), Counter()
