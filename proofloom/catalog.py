@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .model import PPM, digest
-from .operators import diff, discover, evidence, glue, resolve, review, rules
+from .operators import diff, discover, evidence, glue, reporting, resolve, review, rules
 from .plans import waves
 from .registry import ORACLE_SQL, QUERIES, query, table
 from .sources import listings
@@ -350,9 +350,10 @@ def run_summary(spark, sf_dir, v):
     return review.run_summary(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"), v("binding"), v("binding").where("relation = 'N'"), "k")
 
 
-@query("SELECT scope, name, count(*) AS n, sha256(string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR)) AS ids FROM call_site GROUP BY scope, name", "call_site")
+@query("""+p AS (SELECT scope, name, substr(sha256(call_id::VARCHAR), 1, 2) AS p, count(*) AS n, sha256(string_agg(call_id::VARCHAR, ',' ORDER BY call_id::VARCHAR)) AS d FROM call_site GROUP BY ALL)
+    SELECT scope, name, sum(n)::BIGINT AS n, sha256(string_agg(d, ',' ORDER BY p)) AS ids FROM p GROUP BY scope, name""", "call_site")
 def unresolved_buckets(spark, sf_dir, v):
-    return review.unresolved_buckets(v("call_site"), ["scope", "name"], "call_id")
+    return reporting.unresolved(v("call_site"), ["scope", "name"], "call_id")
 
 
 @query("""SELECT k, CASE WHEN count(*) FILTER (relation <> 'A') = 0 THEN 'incomplete' WHEN count(*) FILTER (relation <> 'A') = count(*) FILTER (relation <> 'A' AND outcome = 'F') THEN 'pass' ELSE 'blocked' END AS gate

@@ -258,7 +258,7 @@ def linked_components(docs: DataFrame, terms: Terms) -> DataFrame:
     classes = written(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.min("mark").alias("mark"), F.first("sign").alias("sign")), "classes")
     # dealt by key once: the lists of two sets or more are found and kept within the same partitions
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    listed = docs.select("text").mapInArrow(listing, "key long, node long").repartition(parts, "key")
+    listed = docs.select("text").mapInArrow(listing, "key long, node long").where("key IS NOT NULL").repartition(parts, "key")
     many = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     listed = written(listed.join(many.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key", "node"]), "lists")
     # a central set has many partners: it meets those of its lists that differ a little, each in its own way

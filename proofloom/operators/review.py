@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import UNRESOLVED_REASONS, digest
+from ..model import UNRESOLVED_REASONS
 
 
 def strongest_reason(rows: DataFrame, key: str, reason: str) -> DataFrame:
@@ -60,11 +60,6 @@ def run_summary(inventory: DataFrame, collected: DataFrame, scored: DataFrame, k
     return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def unresolved_buckets(calls: DataFrame, by: list[str], id_: str) -> DataFrame:
-    """Counts with a digest of the id set per bucket."""
-    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), digest(F.collect_list(F.col(id_).cast("string"))).alias("ids"))
-
-
 def gate(rows: DataFrame, required: Column, passed: Column) -> DataFrame:
     """(k, gate): pass if all required rows passed, blocked if one did not, incomplete without required rows."""
     g = rows.groupBy("k").agg(F.count_if(required).alias("need"), F.count_if(required & passed).alias("ok"))
