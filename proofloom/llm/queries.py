@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, ngram_join, packing, quality, sharding, suffix_dedup, token_files, toxicity, warc
+from . import fingerprint, langid, mixing, ngram_join, packing, prefix_trie, quality, sharding, suffix_dedup, token_files, toxicity, warc, whitening
 from .common import ship
 
 
@@ -107,6 +107,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("first").alias("first_word"), F.col("last").alias("last_word"), F.col("kept").alias("is_first"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    # null where it doesn't fit a long; the whole number follows
+    return found.select(F.col("key").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_whole"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -118,6 +136,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_fingerprints": op9_fingerprints,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
@@ -142,4 +163,17 @@ g AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h HA
 SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
   CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN g ON g.h = p.h""",
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, x) AS a FROM t GROUP BY c),
+k AS (SELECT c, a, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda y: ascii(y)::BIGINT)),
+  lambda v, y: list_reduce(list_concat([xor(v, y)], range(8)), lambda z, i: xor(z >> 1, (z & 1) * 3988292384))), 4294967295) % 6 AS h FROM l),
+b AS (SELECT k.c, list_concat(coalesce(o.a, [])[1:k.h], k.a[k.h + 1:]) AS a FROM k LEFT JOIN l o ON o.c = k.c - k.c % 100),
+m AS (SELECT c, d, a[1:d] AS s, len(a) = d AS e FROM b, unnest(range(0, len(a) + 1)) AS u(d)),
+n AS (SELECT s, d, min(c) AS c, count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (e) AS ends FROM m GROUP BY s, d),
+q AS (SELECT s[1:d - 1] AS s, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(n.s[d].x) END AS saved FROM n LEFT JOIN q USING (s)),
+r AS (SELECT a.s, count(*) FILTER (b.kids = 0) AS n_leaves, sum(b.saved) AS saved FROM v a JOIN v b ON b.d >= a.d AND b.s[1:a.d] = a.s GROUP BY 1)
+SELECT v.c AS conv_id, v.d::BIGINT AS depth, u.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, n_leaves, r.saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN r USING (s) LEFT JOIN n u ON v.d > 0 AND u.s = v.s[1:v.d - 1]""",
 }
