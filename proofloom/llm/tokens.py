@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from .words import bounds, bytes_of, hashes
+from .words import blocks, bounds, bytes_of, hashes, padded
 
 _PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -25,8 +25,8 @@ class Encoder:
     """Same ids as Tokenizer.encode(text, add_special_tokens=False), for tokenizers that drop white space.
 
     White space never joins two chunks there, so texts are cut at it and each chunk is encoded once. A hash table of
-    arrays holds up to most_kept chunks by a 64-bit hash of their bytes: place and length of their ids in one pool. A full table
-    is emptied. If the tokenizer lower-cases and parts letters from punctuation, which is tried once, "Word,"
+    arrays holds up to most_kept chunks by a 64-bit hash of their bytes: place and length of their ids in one pool, and of the
+    bytes themselves in another; a chunk of other bytes with the same hash is encoded by itself. A full table is emptied. If the tokenizer lower-cases and parts letters from punctuation, which is tried once, "Word,"
     is put together from "word" and ","; chunks of small letters are then joined by blanks and encoded by the model without
     its normaliser, and parted where its word ends are.
     """
@@ -51,10 +51,15 @@ class Encoder:
         self._empty(1 << 12)
 
     def _empty(self, slots: int) -> None:
-        self.bits = slots.bit_length() - 1
-        self.keys, self.place, self.count = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
-        self.held = 0
+        self._clear(slots)
         self.pool, self.pooled = np.zeros(1 << 14, np.uint32), 0
+        self.bytes, self.byte_count = np.zeros(1 << 16, np.uint8), 0
+
+    def _clear(self, slots: int) -> None:
+        self.bits, self.held = slots.bit_length() - 1, 0
+        self.keys = np.zeros(slots, np.uint64)
+        #: of each slot: place and count of ids, place and length of the chunk's bytes
+        self.entries = [np.zeros(slots, t) for t in (np.int64, np.int32, np.int64, np.int32)]
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or that of the free place where it would go, as -1 - slot."""
@@ -69,23 +74,51 @@ class Encoder:
             open_, at = open_[rest], (at[rest] + 1) & mask
         return found
 
-    def _insert(self, h: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
+    def _insert(self, h: np.ndarray, *entries: np.ndarray) -> None:
         """Puts distinct new hashes into the table; several that want one free slot take turns."""
         if 2 * (self.held + len(h)) > len(self.keys):
             used = np.flatnonzero(self.keys)
-            old = self.keys[used], self.place[used], self.count[used]
-            self.bits = (4 * (self.held + len(h))).bit_length()
-            self.keys, self.place, self.count = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
-            self.held = 0
+            old = self.keys[used], *(e[used] for e in self.entries)
+            self._clear(1 << (4 * (self.held + len(h))).bit_length())
             self._insert(*old)
         self.held += len(h)
         while len(h):
             at = -1 - self._slots(h)
             won = np.unique(at, return_index=True)[1]
-            self.keys[at[won]], self.place[at[won]], self.count[at[won]] = h[won], place[won], count[won]
+            self.keys[at[won]] = h[won]
+            for held, new in zip(self.entries, entries):
+                held[at[won]] = new[won]
             lost = np.ones(len(h), bool)
             lost[won] = False
-            h, place, count = h[lost], place[lost], count[lost]
+            h, entries = h[lost], [e[lost] for e in entries]
+
+    def _add(self, h: np.ndarray, chunks: list[str], place: np.ndarray, count: np.ndarray) -> None:
+        """Puts distinct new chunks with the hashes h and their ids into the table."""
+        raw = [c.encode() for c in chunks]
+        lengths = np.array([len(r) for r in raw])
+        at, n = self.byte_count, int(lengths.sum())
+        self.byte_count += n
+        if self.byte_count + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes[:at], np.zeros(max(len(self.bytes), n + 8), np.uint8)])
+        self.bytes[at : at + n] = np.frombuffer(b"".join(raw), np.uint8)
+        self._insert(h, place, count, at + np.cumsum(lengths) - lengths, lengths)
+
+    def _ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, count) of the words of raw whose hashes are in slots; words of other bytes than the slot's chunk are encoded now."""
+        place, count, at, length = (e[slots] for e in self.entries)
+        count, wanted = count.astype(np.int64), ends - starts
+        same = length == wanted
+        some, j = np.flatnonzero(same), 0
+        while len(some):
+            left = wanted[some] - j
+            apart = blocks(raw, starts[some] + j, left) != blocks(self.bytes, at[some] + j, left)
+            same[some[apart]] = False
+            j += 8
+            some = some[~apart & (left > 8)]
+        other = np.flatnonzero(~same)
+        if len(other):
+            place[other], count[other] = self._learn_whole([raw[a:b].tobytes().decode() for a, b in zip(starts[other].tolist(), ends[other].tolist())])
+        return place, count
 
     def _store(self, ids: np.ndarray) -> int:
         """Place of ids at the end of the pool."""
@@ -143,7 +176,8 @@ class Encoder:
                 tails.append(c[len(core) :])
         for some, learn in ((whole, self._learn_whole), (plain, self._learn_plain)):
             if some:
-                self._insert(h[some], *learn([chunks[i] for i in some]))
+                some_chunks = [chunks[i] for i in some]
+                self._add(h[some], some_chunks, *learn(some_chunks))
         if made:
             place, count = self._entries_of(cores)
             bare = np.array([not t for t in tails])
@@ -157,7 +191,7 @@ class Encoder:
                     lengths.append(n + len(ids[t]))
                 lengths = np.array(lengths)
                 place[~bare], count[~bare] = self._store(np.concatenate(joined)) + np.cumsum(lengths) - lengths, lengths
-            self._insert(h[made], place, count)
+            self._add(h[made], [chunks[i] for i in made], place, count)
 
     def _entries_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(place, count) of chunks without white space, learned if they are new."""
@@ -170,12 +204,10 @@ class Encoder:
         if len(new):
             distinct, where = np.unique(h[new], return_index=True)
             chosen = [chunks[i] for i in new[where].tolist()]
-            if chosen[0][-1] in _PUNCTUATION:
-                self._insert(distinct, *self._learn_whole(chosen))
-            else:
-                self._insert(distinct, *self._learn_plain(chosen))
+            learn = self._learn_whole if chosen[0][-1] in _PUNCTUATION else self._learn_plain
+            self._add(distinct, chosen, *learn(chosen))
             slots = self._slots(h)
-        return self.place[slots], self.count[slots].astype(np.int64)
+        return self._ids(padded(data), starts, ends, slots)
 
     def encode(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts of an Arrow string column in turn, end_id after each text if given, and their ends.
@@ -198,14 +230,14 @@ class Encoder:
             raw = data.tobytes()
             self._learn(distinct, [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             slots = self._slots(h)
-        n = self.count[slots].astype(np.int64)
+        place, n = self._ids(padded(data), starts, ends, slots)
         before = np.concatenate([[0], np.cumsum(n)])
         texts = len(offsets) - 1
         extra = 0 if end_id is None else 1
         # the place in the output of each word, each text before it adding its end
         word_at = before[:-1] + extra * np.repeat(np.arange(texts), np.diff(first))
         out = np.full(before[-1] + extra * texts, end_id or 0, np.uint32)
-        shift = np.repeat(word_at - self.place[slots], n)
+        shift = np.repeat(word_at - place, n)
         to = np.arange(before[-1]) + extra * np.repeat(np.repeat(np.arange(texts), np.diff(first)), n)
         out[to] = self.pool[to - shift]
         return out, before[first[1:]] + extra * np.arange(1, texts + 1)

@@ -152,12 +152,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, archi
         import pyarrow as pa
         import pyspark
 
-        part, n = pyspark.TaskContext.get().partitionId(), 0
+        # attempts of one task may hold other rows, so none writes over another's archives
+        part, n = f"{pyspark.TaskContext.get().partitionId():08d}-{pyspark.TaskContext.get().taskAttemptId()}", 0
         data, index, keys = bytearray(), [], 0
 
         def flush():
             nonlocal n, data, index, keys
-            path = f"{folder}/{part:08d}-{n:06d}.zip"
+            path = f"{folder}/{part}-{n:06d}.zip"
             put(path, zip_stored([(DATA, bytes(data)), (INDEX, "".join(json.dumps(x) + "\n" for x in index).encode())], zip64=n % 2 == 1))
             row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([keys], pa.int64())], ["path", "n"])
             n, data, index, keys = n + 1, bytearray(), [], 0

@@ -2,45 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-_MASK = (1 << 64) - 1
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-#: Bytes hashed at once; a longer word is hashed alone.
-_SEGMENT = 1 << 18
+#: Words hashed at once; longer words than _LONG bytes are hashed one by one.
+_AT_ONCE, _LONG = 1 << 14, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _byte_values(lower: bool) -> np.ndarray:
-    """A fixed 64-bit number for each byte; with lower, A-Z have those of a-z."""
-    x = np.arange(1, 257, dtype=np.uint64) * _PRIME
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    if lower:
-        x[0x41:0x5B] = x[0x61:0x7B]
-    return x
-
-
-_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _SEGMENT)
-        made = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base & _MASK, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p))
-        if size > _SEGMENT:
-            return made
-        _POWERS[:] = made
-    return _POWERS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+#: The initial state of SipHash.
+_STATE = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+#: For k bytes left of a word, those of a block of 8 that are its own.
+_OWN = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -83,26 +58,73 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begins, np.flatnonzero(ends) + 1, np.searchsorted(begins, offsets)
 
 
+def _turned(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _round(v: list[np.ndarray]) -> None:
+    v[0] += v[1]
+    v[2] += v[3]
+    v[1] = _turned(v[1], 13) ^ v[0]
+    v[3] = _turned(v[3], 16) ^ v[2]
+    v[0] = _turned(v[0], 32) + v[3]
+    v[2] += v[1]
+    v[1] = _turned(v[1], 17) ^ v[2]
+    v[3] = _turned(v[3], 21) ^ v[0]
+    v[2] = _turned(v[2], 32)
+
+
+def blocks(raw: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes of raw from each place on as a number, only `left` of them where fewer are left; raw has 8 bytes more than its words."""
+    eight = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))[at].view(np.uint64).ravel()
+    return eight & _OWN[np.minimum(left, 8)]
+
+
+def _mixed(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """SipHash with one round a block and three at the end, of words of _LONG bytes at most."""
+    v = [np.full(len(starts), x, np.uint64) for x in _STATE]
+    v[0] ^= lengths.astype(np.uint64)
+    whole = v
+    some = np.arange(len(starts))
+    for j in range(0, int(lengths.max(initial=0)), 8):
+        if j:
+            more = np.flatnonzero(lengths[some] > j)
+            some = some[more]
+            v = [x[some] for x in whole]
+        m = blocks(raw, starts[some] + j, lengths[some] - j)
+        v[3] ^= m
+        _round(v)
+        v[0] ^= m
+        if j:
+            for x, y in zip(whole, v):
+                x[some] = y
+        else:
+            whole = v
+    v = whole
+    v[2] ^= np.uint64(0xFF)
+    for _ in range(3):
+        _round(v)
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def padded(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """data with 8 zeros after it, for blocks(); with lower, A-Z are those of a-z."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = _LOWER[data] if lower else data
+    return raw
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: the difference of two prefix sums, moved back to the word's start, and mixed.
+    """A 64-bit hash of each word: every block of 8 bytes is mixed in without a linear law that texts could be built on.
 
-    Words that share a hash without being equal are as rare as for a random function, but for texts built to collide.
+    Words that share a hash without being equal are as rare as for a random function: some 2**32 words must be tried to find two.
     """
-    out, values = np.empty(len(starts), np.uint64), _VALUES[lower]
-    i, n = 0, len(starts)
-    while i < n:
-        base = starts[i]
-        k = max(i + 1, int(np.searchsorted(ends, base + _SEGMENT, "right")))
-        part = values[data[base : ends[k - 1]]]
-        power, inverse = _powers(len(part) + 1)
-        part *= power[: len(part)]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=sums[1:])
-        s, e = starts[i:k] - base, ends[i:k] - base
-        x = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(32))) * _PRIME
-        out[i:k] = x ^ (x >> np.uint64(29))
-        i = k
+    out, raw, lengths = np.empty(len(starts), np.uint64), padded(data, lower), ends - starts
+    for i in range(0, len(starts), _AT_ONCE):
+        k = i + _AT_ONCE
+        out[i:k] = _mixed(raw, starts[i:k], np.minimum(lengths[i:k], _LONG))
+    for i in np.flatnonzero(lengths > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
     return out
 
 

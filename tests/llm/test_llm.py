@@ -113,12 +113,51 @@ def test_toxicity_ratios_and_features_equal_brute_force(spark):
             seen[y].update(set(toxicity.cells([t])[1].tolist()))
             n[y] += 1
     ratio = {c: np.log(((seen[1][c] + 1) / (n[1] + 2)) / ((seen[0][c] + 1) / (n[0] + 2))) for c in seen[0] | seen[1]}
-    want = {c for c, x in ratio.items() if abs(x) * np.sqrt(seen[0][c] + seen[1][c]) >= toxicity.LEAST_EVIDENCE}
+    value = {c: x * min(1.0, abs(x) * np.sqrt(seen[0][c] + seen[1][c]) / toxicity.EVIDENCE) ** toxicity.POWER for c, x in ratio.items()}
+    want = {c for c, x in value.items() if abs(x) >= toxicity.LEAST}
     got = set(np.flatnonzero(model.weights).tolist())
     assert got and got <= want and len(got) > 0.9 * len(want)
     assert all(model.weights[c] > 0 for c in got if seen[0][c] == 0)
 
 
+def test_toxicity_fit_has_converged():
+    """At the fit the gradient of the loss is nought in every weight, as a plain solver's is."""
+    r = np.random.default_rng(4)
+    texts = [np.unique(r.integers(0, 50, 12)).astype(np.int32) for _ in range(300)]
+    toxic = np.array([7 in t or 9 in t for t in texts]) ^ (r.random(300) < 0.05)
+    scale = np.concatenate([r.normal(0, 2, 50), np.zeros(14)])
+    texts = [t[scale[t] != 0] for t in texts]
+    w, b = toxicity.regress(texts, scale, toxic, gap=1e-10)
+    p = np.array([1 / (1 + np.exp(-(w[t].sum() + b))) for t in texts])
+    gradient = np.zeros(len(scale))
+    for t, d in zip(texts, p - toxic):
+        gradient[t] += d * scale[t]
+    some = scale != 0
+    assert np.abs(gradient[some] + w[some] / scale[some]).max() < 1e-3 and abs((p - toxic).sum() + b / 9) < 1e-3
+    assert not w[~some].any()
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    r, words = random.Random(2), vocabulary()
+    docs = [(i, " ".join([r.choice(words) for _ in range(25)] + (["gronkle"] if i % 2 else []))) for i in range(26)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    scores = model.scores([t for _, t in docs])
+    assert min(scores[1::2]) > max(scores[::2])
+
+
+def test_toxicity_bound_on_cells_keeps_the_odds(spark, monkeypatch):
+    r, words = random.Random(6), vocabulary()
+    docs = [(i, " ".join([r.choice(words) for _ in range(20)] + (["gronkle"] if i % 5 == 0 else []))) for i in range(600)]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    whole = toxicity.fit(d, l)
+    monkeypatch.setattr(toxicity, "MOST_CELLS", 60_000)
+    some = toxicity.fit(d, l)
+    assert (some.weights != 0).sum() < (whole.weights != 0).sum()
+    for model in (whole, some):
+        scores = model.scores([t for _, t in docs])
+        assert sum((s >= 0.5) == (i % 5 == 0) for (i, _), s in zip(docs, scores)) > 580
+
+
 def test_toxicity_without_labels_scores_low(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -266,14 +305,28 @@ def test_cascade_skips_later_rules(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost(spark):
+    """Of two rules that reject the same, the cheaper is first; one that rejects nothing is last."""
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(i, "word " * 400) for i in range(300)], "doc_id long, text string")
     never = quality.Rule("never", lambda t: F.length(t) < 0)
     dear = quality.Rule("dear", lambda t: quality.repeat_words(quality.word_list(t)) >= 0)
     cheap = quality.Rule("cheap", lambda t: F.length(t) > 3)
-    order = [r.name for r, _ in quality.ordered_rules(docs, rules=(never, dear, cheap))]
-    assert order[-1] == "never" and set(order[:2]) == {"dear", "cheap"}
+    assert [r.name for r, _ in quality.ordered_rules(docs, rules=(never, dear, cheap))] == ["cheap", "dear", "never"]
+
+
+def test_rule_sample_is_drawn_by_rows(spark):
+    """A text that most rows have is no larger a share of the sample than of the table."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "IF(id % 10 < 7, 'the same text', concat('text ', id)) AS text")
+    seen = []
+    always = quality.Rule("seen", lambda t: t.isNotNull())
+    written = quality.written
+    try:
+        quality.written = lambda df, kind: seen.append(df.count()) or written(df, kind)
+        quality.ordered_rules(docs, rules=(always,), sample_rows=1000)
+    finally:
+        quality.written = written
+    assert 800 < seen[0] < 1200
 
 
 @pytest.mark.parametrize("clash", ["score", "shard", "n_words", "next_text", "m", "order", "cell", "mark", "cuts"])
@@ -616,8 +669,9 @@ def test_pipeline(spark, sf):
     assert mixed.columns == docs.columns
     size = sum(len(WORD.findall(r[1] or "")) for r in corpus())
     assert abs(sum(len(WORD.findall(x["text"] or "")) for x in mixed.collect()) - 1.5 * size) <= 5
-    # toxicity: those stay that the same model scores below 0.5, with all their columns; labels that tell nothing reject nothing
-    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == len(corpus())
+    # toxicity: those stay that the same model scores below 0.5, with all their columns
+    told = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == int((told.scores([x[1] for x in corpus()]) < 0.5).sum())
     r, words = random.Random(9), vocabulary()
     planted = [(i, " ".join([r.choice(words) for _ in range(30)] + (["gronkle"] if i % 4 == 0 else [])), "en", "s1", 1) for i in range(200)] + [(500, None, "en", "s1", 0)]
     folder = f"{sf}-toxic"
