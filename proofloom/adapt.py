@@ -6,6 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
+#: Source files of the call graph (a supplier each) and names in it grow with the tables.
+_S, _N = "(SELECT count(*) FROM supplier)", "(SELECT CAST(floor(count(*) / 4) AS BIGINT) + 1 FROM part)"
+
+
+def _fn(number: str) -> str:
+    return f"concat('fn_', ({number}) % {_N})"
+
+
+def _nth(key: str) -> str:
+    """The place of a part among those of its file."""
+    return f"CAST(floor({key} / {_S}) AS BIGINT)"
+
+
+def _scope(key: str) -> str:
+    return f"CASE {_nth(key)} % 8 WHEN 1 THEN 'a' WHEN 2 THEN 'a.b' WHEN 3 THEN 'a.b.c' WHEN 5 THEN 'z' WHEN 6 THEN 'z.b' WHEN 7 THEN 'z.b.c' ELSE '' END"
+
+
+def _owner(key: str) -> str:
+    return f"CASE WHEN {_nth(key)} % 5 = 4 THEN concat('T', {key} % 7) END"
+
+
+_MODULE = f"CASE WHEN {_nth('p_partkey')} % 4 = 3 THEN -1 - p_partkey % {_S} ELSE (p_partkey % {_S} * 7 + {_nth('p_partkey')}) % {_S} END"
+
 #: In order; a view may use those before it. {sha} is the engine's SHA-256 call, {on} its way to quote a word.
 VIEWS = {
     "artifact": """SELECT p_partkey AS k, concat('function:', p_partkey) AS id, p_name AS label, CASE p_partkey % 31 WHEN 1 THEN concat('vendor/', p_brand, '/src/lib.rs') WHEN 2 THEN concat('crates/', p_brand, '/src/api.generated.rs')
@@ -60,6 +83,17 @@ VIEWS = {
     "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
     "call_site": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem",
     "declaration": "SELECT s_suppkey AS k, concat('fn_', s_suppkey % 80) AS name, s_suppkey % 97 AS scope FROM supplier",
+    "decl": f"SELECT p_partkey AS k, p_partkey % {_S} AS file, {_scope('p_partkey')} AS scope, {_owner('p_partkey')} AS owner, {_fn('p_partkey')} AS name, p_partkey % 3 <> 0 AS public FROM part",
+    "shadow": f"SELECT p_partkey AS caller, CASE WHEN p_partkey % 6 = 0 THEN {_fn('p_partkey')} ELSE concat('local_', p_partkey) END AS name FROM part",
+    "csite": f"""SELECT DISTINCT concat(l_orderkey, '/', l_partkey, '/', l_suppkey, '/', l_linenumber) AS call_id, l_partkey AS caller, l_partkey % {_S} AS file, {_scope('l_partkey')} AS scope, {_owner('l_partkey')} AS owner,
+        CASE WHEN l_linenumber = 7 THEN 'self' ELSE 'plain' END AS form, {_fn(f"""CASE l_linenumber WHEN 1 THEN l_partkey % {_S} + {_S} * (l_suppkey % 20) WHEN 2 THEN l_partkey % {_S} + {_S} * ({_nth('l_partkey')} % 8 + 8) WHEN 3 THEN l_partkey
+        WHEN 4 THEN l_partkey * 7 + l_suppkey WHEN 5 THEN l_partkey % {_S} * 13 + l_suppkey % 20 * 17 WHEN 6 THEN (l_partkey % {_S} * 3 + l_suppkey % 2 + 1) % {_S} + {_S} * 4 * (l_suppkey % 5) ELSE l_partkey % {_S} + {_S} * 4 END""")} AS name FROM lineitem""",
+    "import_of": f"""SELECT p_partkey % {_S} AS file, {_nth('p_partkey')} AS place, {_fn(f"p_partkey % {_S} * 13 + {_nth('p_partkey')} * 17")} AS local, {_MODULE} AS module,
+        {_fn(f"CASE {_nth('p_partkey')} % 4 WHEN 0 THEN {_MODULE} WHEN 1 THEN ({_MODULE}) * 9 + 5 WHEN 2 THEN ({_MODULE}) + {_S} * 4 ELSE p_partkey * 11 END")} AS imported FROM part""",
+    "glob_of": f"SELECT s_suppkey % {_S} AS file, 0 AS place, (s_suppkey * 3 + 1) % {_S} AS module FROM supplier UNION ALL SELECT s_suppkey % {_S}, 1, (s_suppkey * 3 + 2) % {_S} FROM supplier",
+    "alias_of": f"SELECT s_suppkey % {_S} AS file, {_fn('s_suppkey * 9 + 5')} AS exported, {_fn('s_suppkey')} AS name FROM supplier",
+    "reexport": f"""SELECT s_suppkey % {_S} AS file, '*' AS exported, (s_suppkey * 5 + 1) % {_S} AS module, '*' AS imported FROM supplier
+        UNION ALL SELECT s_suppkey % {_S}, {_fn(f's_suppkey % {_S} + {_S} * 4')}, (s_suppkey + 1) % {_S}, {_fn(f'(s_suppkey + 1) % {_S}')} FROM supplier""",
 }
 
 
