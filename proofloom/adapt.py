@@ -83,6 +83,26 @@ VIEWS = {
     "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
     "call_site": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem",
     "declaration": "SELECT s_suppkey AS k, concat('fn_', s_suppkey % 80) AS name, s_suppkey % 97 AS scope FROM supplier",
+    "rename_of": "SELECT concat('src/f', s_suppkey, '.rs') AS old, concat('lib/f', s_suppkey, '.rs') AS new FROM supplier",
+    "vertex": f"""SELECT 'before' AS side, concat('file:', s_suppkey) AS k, 'file' AS kind, concat('src/f', s_suppkey, '.rs') AS path, CAST(NULL AS STRING) AS label, CAST(NULL AS STRING) AS anchor, concat('h', s_nationkey) AS body FROM supplier
+        UNION ALL SELECT 'after', concat('f2:', s_suppkey), 'file', concat(CASE s_suppkey % 10 WHEN 3 THEN 'lib' WHEN 4 THEN 'new' WHEN 5 THEN 'lib' ELSE 'src' END, '/f', s_suppkey, '.rs'), NULL, NULL, concat('h', CASE WHEN s_suppkey % 10 IN (5, 7) THEN 99 ELSE s_nationkey END) FROM supplier
+        UNION ALL SELECT 'before', concat('symbol:', p_partkey), 'symbol', concat('src/f', p_partkey % {_S}, '.rs'), concat(p_name, '#', p_partkey % 9), concat(p_type, p_size, p_brand, p_partkey % 50), concat('b', p_size) FROM part
+        UNION ALL SELECT 'after', concat('s2:', p_partkey), 'symbol', concat('src/f', (p_partkey + CASE WHEN p_partkey % 17 = 0 THEN 1 ELSE 0 END) % {_S}, '.rs'), CASE WHEN p_partkey % 13 = 0 THEN concat('new_', p_partkey) ELSE concat(p_name, '#', p_partkey % 9) END,
+          concat(p_type, CASE WHEN p_partkey % 19 = 0 THEN 77 ELSE p_size END, p_brand, p_partkey % 50), concat('b', CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_size END) FROM part
+        UNION ALL SELECT 'before', concat('doc:', c_custkey), 'document', concat('docs/', c_custkey), c_mktsegment, NULL, concat('t', c_nationkey) FROM customer
+        UNION ALL SELECT 'after', concat('d2:', c_custkey), 'document', concat('docs/', c_custkey), c_mktsegment, NULL, concat('t', c_nationkey % 20) FROM customer
+        UNION ALL SELECT DISTINCT 'before', concat('relation:', l_partkey, '-', l_suppkey), 'relation', NULL, 'touches', NULL, concat('w', l_partkey % 3) FROM lineitem
+        UNION ALL SELECT DISTINCT 'after', concat('r2:', l_partkey, '-', l_suppkey), 'relation', NULL, 'touches', NULL, concat('w', CASE WHEN l_suppkey % 8 = 0 THEN 0 ELSE l_partkey % 3 END) FROM lineitem
+        UNION ALL SELECT DISTINCT 'before', concat('context:', CAST(floor(s_suppkey / 2) AS BIGINT)), 'context', NULL, 'module', NULL, 'c' FROM supplier UNION ALL SELECT DISTINCT 'after', concat('c2:', CAST(floor(s_suppkey / 2) AS BIGINT)), 'context', NULL, 'module', NULL, 'c' FROM supplier
+        UNION ALL SELECT DISTINCT 'before', concat('invariant:', CAST(floor(s_suppkey / 4) AS BIGINT)), 'invariant', NULL, 'at_most_once', NULL, 'i' FROM supplier UNION ALL SELECT DISTINCT 'after', concat('i2:', CAST(floor(s_suppkey / 4) AS BIGINT)), 'invariant', NULL, 'at_most_once', NULL, 'i' FROM supplier
+        UNION ALL SELECT 'before', concat('limitation:', p_partkey), 'limitation', NULL, p_type, NULL, 'l' FROM part UNION ALL SELECT 'after', concat('l2:', p_partkey), 'limitation', NULL, p_type, NULL, CASE WHEN p_partkey % 5 = 0 THEN 'm' ELSE 'l' END FROM part""",
+    "link_of": f"""SELECT DISTINCT 'before' AS side, concat('relation:', l_partkey, '-', l_suppkey) AS k, 0 AS place, concat('symbol:', l_partkey) AS member FROM lineitem UNION ALL SELECT DISTINCT 'before', concat('relation:', l_partkey, '-', l_suppkey), 1, concat('file:', l_suppkey) FROM lineitem
+        UNION ALL SELECT DISTINCT 'after', concat('r2:', l_partkey, '-', l_suppkey), CASE WHEN (l_partkey + l_suppkey) % 23 = 0 THEN 1 ELSE 0 END, concat('s2:', l_partkey) FROM lineitem
+        UNION ALL SELECT DISTINCT 'after', concat('r2:', l_partkey, '-', l_suppkey), CASE WHEN (l_partkey + l_suppkey) % 23 = 0 THEN 0 ELSE 1 END, concat('f2:', l_suppkey) FROM lineitem
+        UNION ALL SELECT 'before', concat('context:', CAST(floor(s_suppkey / 2) AS BIGINT)), 0, concat('file:', s_suppkey) FROM supplier UNION ALL SELECT 'after', concat('c2:', CAST(floor(s_suppkey / 2) AS BIGINT)), 0, concat('f2:', s_suppkey) FROM supplier
+        UNION ALL SELECT DISTINCT 'before', concat('invariant:', CAST(floor(s_suppkey / 4) AS BIGINT)), 0, concat('context:', CAST(floor(s_suppkey / 2) AS BIGINT)) FROM supplier UNION ALL SELECT DISTINCT 'after', concat('i2:', CAST(floor(s_suppkey / 4) AS BIGINT)), 0, concat('c2:', CAST(floor(s_suppkey / 2) AS BIGINT)) FROM supplier
+        UNION ALL SELECT 'before', concat('limitation:', p_partkey), 0, concat('symbol:', p_partkey) FROM part UNION ALL SELECT 'before', concat('limitation:', p_partkey), 0, concat('file:', p_partkey % {_S}) FROM part
+        UNION ALL SELECT 'after', concat('l2:', p_partkey), 0, concat('s2:', p_partkey) FROM part UNION ALL SELECT 'after', concat('l2:', p_partkey), 0, concat('f2:', p_partkey % {_S}) FROM part""",
     "decl": f"SELECT p_partkey AS k, p_partkey % {_S} AS file, {_scope('p_partkey')} AS scope, {_owner('p_partkey')} AS owner, {_fn('p_partkey')} AS name, p_partkey % 3 <> 0 AS public FROM part",
     "shadow": f"SELECT p_partkey AS caller, CASE WHEN p_partkey % 6 = 0 THEN {_fn('p_partkey')} ELSE concat('local_', p_partkey) END AS name FROM part",
     "csite": f"""SELECT DISTINCT concat(l_orderkey, '/', l_partkey, '/', l_suppkey, '/', l_linenumber) AS call_id, l_partkey AS caller, l_partkey % {_S} AS file, {_scope('l_partkey')} AS scope, {_owner('l_partkey')} AS owner,

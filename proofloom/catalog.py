@@ -129,14 +129,6 @@ def term_frequencies(spark, sf_dir, v):
     return discover.document_frequency(_posted(spark, sf_dir)).groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
 
 
-@query(_TERMS + """, k AS (SELECT p.* FROM p JOIN df USING (term) WHERE df BETWEEN 2 AND (SELECT greatest(32, ceil(count(*) / 5.0)) FROM documents)), n AS (SELECT id, count(*) AS n FROM k GROUP BY id),
-    s AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y USING (term) WHERE x.id < y.id GROUP BY ALL)
-    SELECT a, b, shared, (shared * 1000000 // (na.n + nb.n - shared))::BIGINT AS ppm FROM s JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE shared >= 2 AND shared * 1000000 // (na.n + nb.n - shared) >= 600000""")
-def signal_pairs(spark, sf_dir, v):
-    n = table(spark, sf_dir, "documents").count()
-    return discover.signal_pairs(_posted(spark, sf_dir), discover.cap(n))
-
-
 _QUERY = ["atan", "ines", "aner", "orer", "thion", "inth", "the", "zzz"]
 _ASKED = "(VALUES ('atan'), ('ines'), ('aner'), ('orer'), ('thion'), ('inth'), ('the'), ('zzz')) q(term)"
 _CAP = "(SELECT greatest(32, ceil(count(*) / 5.0)) FROM documents)"
@@ -420,4 +412,4 @@ def listing_cross_check(spark, sf_dir, v):
     return listings.cross_check(paths(v("before_fn")), paths(v("after_fn"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import catalog_calls, catalog_checks, catalog_evidence, catalog_graph, catalog_reports, catalog_rules  # noqa: E402, F401  register their queries
+from . import catalog_calls, catalog_checks, catalog_evidence, catalog_graph, catalog_reports, catalog_rules, catalog_signals, catalog_snapshots  # noqa: E402, F401  register their queries
