@@ -83,6 +83,8 @@ VIEWS = {
     "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
     "call_site": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem",
     "declaration": "SELECT s_suppkey AS k, concat('fn_', s_suppkey % 80) AS name, s_suppkey % 97 AS scope FROM supplier",
+    "cfile": "SELECT concat('f', s_suppkey) AS file, CAST(1000 + s_suppkey * 37 % 9000 AS BIGINT) AS bytes, CAST(200 + s_suppkey * 53 % 1500 AS BIGINT) AS excerpt, s_suppkey % 4 = 1 AS is_test, s_suppkey % 9 = 2 AS giant FROM supplier",
+    "cfile_holds": f"SELECT concat('f', p_partkey % {_S}) AS file, concat('p', p_partkey) AS node FROM part",
     "rename_of": "SELECT concat('src/f', s_suppkey, '.rs') AS old, concat('lib/f', s_suppkey, '.rs') AS new FROM supplier",
     "vertex": f"""SELECT 'before' AS side, concat('file:', s_suppkey) AS k, 'file' AS kind, concat('src/f', s_suppkey, '.rs') AS path, CAST(NULL AS STRING) AS label, CAST(NULL AS STRING) AS anchor, concat('h', s_nationkey) AS body FROM supplier
         UNION ALL SELECT 'after', concat('f2:', s_suppkey), 'file', concat(CASE s_suppkey % 10 WHEN 3 THEN 'lib' WHEN 4 THEN 'new' WHEN 5 THEN 'lib' ELSE 'src' END, '/f', s_suppkey, '.rs'), NULL, NULL, concat('h', CASE WHEN s_suppkey % 10 IN (5, 7) THEN 99 ELSE s_nationkey END) FROM supplier
