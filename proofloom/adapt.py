@@ -10,6 +10,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 _S, _N = "(SELECT count(*) FROM supplier)", "(SELECT CAST(floor(count(*) / 4) AS BIGINT) + 1 FROM part)"
 
 
+def _share(of: float) -> str:
+    """Keys that grow with the table of suppliers: so many for each."""
+    return f"(SELECT CAST(floor(count(*) * {of} + 0.5) AS BIGINT) FROM supplier)"
+
+
 def _fn(number: str) -> str:
     return f"concat('fn_', ({number}) % {_N})"
 
@@ -79,10 +84,10 @@ VIEWS = {
     "before_fn": "SELECT p_partkey AS k, p_name AS anchor, p_size AS body FROM part",
     "after_fn": """SELECT CASE WHEN p_partkey % 13 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS k, p_name AS anchor,
         CASE WHEN p_partkey % 11 = 0 THEN p_size + 1 ELSE p_size END AS body FROM part WHERE p_partkey % 17 <> 0""",
-    "root_span": "SELECT o_orderkey AS root, o_custkey % 50 AS path, day(o_orderdate) AS s, day(o_orderdate) + 2 AS e, CASE o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'R' ELSE 'A' END AS tag FROM orders WHERE o_orderpriority = '1-URGENT'",
-    "finding": "SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % 50 AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
-    "call_site": "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % 97 AS scope, concat('fn_', l_suppkey % 60) AS name FROM lineitem",
-    "declaration": "SELECT s_suppkey AS k, concat('fn_', s_suppkey % 80) AS name, s_suppkey % 97 AS scope FROM supplier",
+    "root_span": f"SELECT o_orderkey AS root, o_custkey % {_share(0.5)} AS path, day(o_orderdate) AS s, day(o_orderdate) + 2 AS e, CASE o_orderstatus WHEN 'O' THEN 'N' WHEN 'F' THEN 'R' ELSE 'A' END AS tag FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "finding": f"SELECT l_orderkey * 8 + l_linenumber AS finding, l_partkey % {_share(0.5)} AS path, day(l_shipdate) AS s, day(l_shipdate) + l_linenumber % 3 AS e, l_returnflag AS tag FROM lineitem",
+    "call_site": f"SELECT DISTINCT l_orderkey * 8 + l_linenumber AS call_id, l_partkey % {_share(0.97)} AS scope, concat('fn_', l_suppkey % {_share(0.6)}) AS name FROM lineitem",
+    "declaration": f"SELECT s_suppkey AS k, concat('fn_', s_suppkey % {_share(0.8)}) AS name, s_suppkey % {_share(0.97)} AS scope FROM supplier",
     "cfile": "SELECT concat('f', s_suppkey) AS file, CAST(1000 + s_suppkey * 37 % 9000 AS BIGINT) AS bytes, CAST(200 + s_suppkey * 53 % 1500 AS BIGINT) AS excerpt, s_suppkey % 4 = 1 AS is_test, s_suppkey % 9 = 2 AS giant FROM supplier",
     "cfile_holds": f"SELECT concat('f', p_partkey % {_S}) AS file, concat('p', p_partkey) AS node FROM part",
     "rename_of": "SELECT concat('src/f', s_suppkey, '.rs') AS old, concat('lib/f', s_suppkey, '.rs') AS new FROM supplier",

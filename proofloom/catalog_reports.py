@@ -211,16 +211,15 @@ def name_status(spark, sf_dir, v):
 
 
 def _patches(v) -> DataFrame:
-    hunk = F.expr("concat('@@ -1,0 +', s, ',', e - s + 1, ' @@\n+x')")
+    hunk = F.expr("concat('@@ -1,0 +', greatest(s, 1), ',', e - greatest(s, 1) + 1, ' @@\n+x')")
     gone = F.expr("concat('@@ -', n, ',2 +', n, ',0 @@\n-y')")
-    rows = v("hunk").where("s > 0").select("path", hunk.alias("h")).union(v("deletion").select("path", gone.alias("h")))
+    rows = v("hunk").select("path", hunk.alias("h")).union(v("deletion").select("path", gone.alias("h")))
     return rows.groupBy("path").agg(F.concat(F.lit("diff --git a b\n--- a/"), F.first("path"), F.lit("\n+++ b/"), F.first("path"), F.lit("\n"), F.array_join(F.collect_list("h"), "\n"), F.lit("\n")).alias("patch"))
 
 
-@query("SELECT DISTINCT path, unnest(range(s, e + 1))::INT AS line FROM hunk WHERE s > 0", "hunk")
+@query("SELECT DISTINCT path, unnest(range(greatest(s, 1), e + 1))::INT AS line FROM hunk", "hunk")
 def changed_lines(spark, sf_dir, v):
-    whole = _patches(v).agg(F.array_join(F.collect_list("patch"), "").alias("raw"))
-    return listings.changed_lines(listings.split_patches(whole, "raw"), "patch", "path")
+    return listings.changed_lines(listings.split_patches(_patches(v).select(F.col("patch").alias("raw")), "raw"), "patch", "path")
 
 
 @query("SELECT doc_id, CASE WHEN m = 0 THEN 'not_json' WHEN m = 1 THEN 'field_missing' ELSE 'accepted' END AS status FROM (SELECT doc_id, doc_id % 3 AS m FROM documents)")
@@ -273,26 +272,29 @@ def file_inventory(spark, sf_dir, v):
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT k, path LIKE 'crates/%/src/%.rs' OR path LIKE 'rust/%/src/%.rs' AS production, regexp_matches(path, '(^|/)(tests|benches|benchmarks)/|(^|/)tests?[.]rs$|_tests?[.]rs$') AS test, CASE WHEN path LIKE '%.rs' THEN 'rust' ELSE 'other' END AS language,
-    NOT (list_contains(string_split(path, '/'), '..') OR list_contains(string_split(path, '/'), '.') OR list_contains(string_split(path, '/'), '') OR path LIKE '%\\%') AS safe, id LIKE 'function:%' AS valid_id, regexp_replace(trim(label || '  x'), ' +', ' ', 'g') AS label FROM artifact""", "artifact")
+_ODD = """SELECT k, label, CASE k % 12 WHEN 5 THEN concat('../', path) WHEN 6 THEN concat(path, '/') WHEN 7 THEN replace(path, '.rs', '.kt') WHEN 8 THEN replace(path, '.rs', '.tsx') WHEN 10 THEN replace(path, 'src/', 'src/./') ELSE path END AS path,
+    CASE k % 10 WHEN 3 THEN upper(id) WHEN 4 THEN concat(id, ' x') WHEN 6 THEN replace(id, ':', '') ELSE id END AS id FROM"""
+
+
+@query(f"""SELECT k, path LIKE 'crates/%/src/%.rs' OR path LIKE 'rust/%/src/%.rs' AS production, regexp_matches(path, '(^|/)(tests|benches|benchmarks)/|(^|/)tests?[.]rs$|_tests?[.]rs$') AS test, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.kt' THEN 'kotlin' WHEN path LIKE '%.tsx' THEN 'typescript' ELSE 'other' END AS language,
+    NOT (list_contains(string_split(path, '/'), '..') OR list_contains(string_split(path, '/'), '.') OR list_contains(string_split(path, '/'), '')) AS safe, regexp_matches(id, '^[a-z][a-z0-9._-]*:[!-~]+$') AS valid_id, regexp_replace(trim(label || '  x'), ' +', ' ', 'g') AS label FROM ({_ODD} artifact)""", "artifact")
 def path_predicates(spark, sf_dir, v):
-    p = F.col("path")
+    rows, p = spark.sql(f"{_ODD} {{a}}", a=v("artifact")), F.col("path")
     kind = scalar.test_path(p)
-    return v("artifact").select("k", scalar.production_path(p).alias("production"), kind.alias("test"), scalar.language(p).alias("language"), scalar.safe_path(p).alias("safe"), scalar.valid_stable_id(F.col("id")).alias("valid_id"), scalar.normal_space(F.concat("label", F.lit("  x"))).alias("label"))
+    return rows.select("k", scalar.production_path(p).alias("production"), kind.alias("test"), scalar.language(p).alias("language"), scalar.safe_path(p).alias("safe"), scalar.valid_stable_id(F.col("id")).alias("valid_id"), scalar.normal_space(F.concat("label", F.lit("  x"))).alias("label"))
 
 
-@query("SELECT event_id, CASE WHEN d > 3 THEN true ELSE false END AS too_deep, d::INT AS depth FROM (SELECT event_id, event_id % 6 AS d FROM events)")
+@query("SELECT event_id, d > 3 AS too_deep, d::INT AS depth FROM (SELECT event_id, greatest(1, event_id % 6) AS d FROM events)")
 def nesting_guard(spark, sf_dir, v):
     text = F.expr("concat(repeat('{[', CAST((event_id % 6) div 2 AS INT)), CASE WHEN event_id % 2 = 1 THEN '(x)' ELSE 'x' END, repeat(']}', CAST((event_id % 6) div 2 AS INT)), '()' )")
-    depth = F.when(F.col("event_id") % 6 == 0, F.lit(0)).otherwise(scalar.nesting_depth(text))
+    depth = scalar.nesting_depth(text)
     return table(spark, sf_dir, "events").select("event_id", (depth > 3).alias("too_deep"), depth.alias("depth"))
 
 
-@query("""SELECT s_suppkey AS k, 'parse' || s_suppkey || ',' || CASE WHEN s_suppkey % 2 = 0 THEN 'http,server' ELSE 'file,reader' END AS words FROM supplier""")
+@query("""SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'http,parse' || s_suppkey || ',server' ELSE 'file,parse' || s_suppkey || ',reader' END AS words FROM supplier""")
 def camel_case_words(spark, sf_dir, v):
     name = F.expr("concat('parse', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'HTTPServer' ELSE '_fileReader' END)")
-    words = scalar.identifier_words(name)
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.array_join(F.array_sort(F.transform(words, lambda w: w), lambda a, b: F.when(a.startswith("parse"), -1).when(b.startswith("parse"), 1).when(a < b, -1).otherwise(1)), ",").alias("words"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.array_join(scalar.identifier_words(name), ",").alias("words"))
 
 
 @query("SELECT k, label LIKE '%ring' AS hit FROM artifact", "artifact")

@@ -95,13 +95,6 @@ def test_walk_renews_its_budget_on_another_kind(spark):
     assert got == [("a", 0), ("b", 1), ("c", 2), ("t", 3), ("v", 4)]
 
 
-def test_signal_boundary(spark):
-    docs = spark.createDataFrame([(1, "a b c x1"), (2, "a b c x2"), (3, "a b d x3"), (4, "d e x4"), (5, "e x5")], "id int, text string")
-    pairs = discover.signal_pairs(discover.terms(docs, "id", "text"), discover.cap(5))
-    assert [(x["a"], x["b"], x["ppm"]) for x in pairs.collect()] == [(1, 2, 1000000)]
-    assert discover.cap(200) == 40 and discover.cap(10) == 32
-
-
 def test_scope_division(spark):
     inv = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "invariant int, scope string")
     mem = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "a"), ("q", "c")], "path string, scope string")
@@ -227,13 +220,6 @@ def test_mapping_consumes_vertices(spark):
     assert rows(got) == [(1, 10, "path"), (2, 20, "label"), (3, 30, "rename")]
 
 
-def test_many_shared_terms_do_not_overflow(spark):
-    text = " ".join(f"t{i}" for i in range(4500))
-    pairs = discover.signal_pairs(discover.terms(spark.createDataFrame([(1, text), (2, text), (3, "lone")], "id int, text string"), "id", "text"), 32)
-    assert [(x["a"], x["b"], x["shared"], x["ppm"]) for x in pairs.collect()] == [(1, 2, 4500, 1_000_000)]
-    assert spark.range(1).select(ppm(F.lit(2_000_000), F.lit(4_000_000)).alias("p")).first()["p"] == 500_000
-
-
 def test_ranks_over_ranges(spark):
     got = waves.rank(spark.range(0, 500, 1, 7).withColumn("v", F.col("id") % 10), [F.desc("v"), F.col("id")]).collect()
     assert sorted((x["rank"], x["id"]) for x in got) == list(enumerate(sorted(range(500), key=lambda i: (-(i % 10), i)), 1))
