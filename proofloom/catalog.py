@@ -412,4 +412,4 @@ def listing_cross_check(spark, sf_dir, v):
     return listings.cross_check(paths(v("before_fn")), paths(v("after_fn"))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import catalog_calls, catalog_chain, catalog_checks, catalog_contexts, catalog_evidence, catalog_graph, catalog_reports, catalog_rules, catalog_runs, catalog_schemas, catalog_signals, catalog_snapshots  # noqa: E402, F401  register their queries
+from . import catalog_arms, catalog_calls, catalog_chain, catalog_checks, catalog_contexts, catalog_evidence, catalog_graph, catalog_reports, catalog_rules, catalog_runs, catalog_schemas, catalog_signals, catalog_snapshots  # noqa: E402, F401  register their queries
