@@ -29,8 +29,7 @@ def shingles(text: Column, words: int = WORDS) -> Column:
 def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     """Sorted distinct shingle hashes below 2**32 / scale; the least hash where none is below: only a text without shingles has an empty sketch.
 
-    Sketches of two texts merge by set union into the sketch of both, less the hashes from the bound on if any is below it,
-    else less all but the least.
+    merged() gives the sketch of several texts' shingles together from theirs.
     """
     top = (1 << 32) // scale
 
@@ -41,6 +40,16 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
     return bind(shingles(text, words), of)
 
 
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles of two texts together, from their sketches: all hashes below the bound, or the least of all if none is.
+
+    Any order of merges gives the same; a null sketch adds nothing.
+    """
+    none = F.array().cast("array<bigint>")
+    both = F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+    return bind(both, lambda x: F.when(F.get(x, 0) >= (1 << 32) // scale, F.slice(x, 1, 1)).otherwise(F.filter(x, lambda h: h < (1 << 32) // scale)))
+
+
 def as_text(kept: Column) -> Column:
     """A sketch as text: eight hex digits a hash, in ascending order."""
     return F.array_join(F.transform(kept, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from proofloom.llm import langid, ngram_join, prefix_trie, queries, suffix_dedup, tokens, whitening, words
+from proofloom.llm import fingerprint, langid, ngram_join, prefix_trie, queries, sharding, suffix_dedup, tokens, whitening, words
 from proofloom.llm.common import ship
 
 
@@ -59,6 +59,39 @@ def test_chunks_of_equal_hashes_are_told_apart(monkeypatch):
         assert ids[ends[i - 1] if i else 0 : ends[i]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_merged_sketches_are_those_of_the_shingles_together(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    texts = ["", "one", "two words", *(" ".join(r.choice("abcdefg") * r.randint(1, 3) for _ in range(r.choice([5, 6, 9, 80]))) for _ in range(9))]
+    df = spark.createDataFrame([(i, j, x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)], "i int, j int, x string, y string")
+    both = F.array_union(fingerprint.shingles(F.col("x")), fingerprint.shingles(F.col("y")))
+    got = df.select(fingerprint.merged(fingerprint.sketch(F.col("x")), fingerprint.sketch(F.col("y"))).alias("m"), both.alias("b")).collect()
+    for row in got:
+        low = sorted(h for h in row["b"] if h < (1 << 32) // fingerprint.SCALE)
+        assert row["m"] == (low or sorted(row["b"])[:1])
+
+
+def test_shards_equal_brute_force(spark):
+    """The shard of the largest score, one hash a shard; a weight of three takes three times the rows; a new shard only takes."""
+    import xxhash
+
+    weights, keys = [1.0, 3.0, 1.0, 0.5], [*range(-50, 3000), None]
+    rows = sharding.shard_rows(spark.createDataFrame([(k,) for k in keys], "doc_id long"), "doc_id", weights).collect()
+
+    def score(key, shard, weight):
+        text = "\x00null" if key is None else str(key)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), xxhash.xxh64_intdigest(text.encode(), 42))
+        return -weight / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+    for r in rows:
+        scores = [score(r["doc_id"], i, w) for i, w in enumerate([*weights, 1.0])]
+        assert r["shard"] == max(range(4), key=lambda i: scores[i])
+        assert r["grown_shard"] == max(range(5), key=lambda i: scores[i]) and r["grown_shard"] in (r["shard"], 4)
+    shares = Counter(r["shard"] for r in rows)
+    assert 2.4 < shares[1] / shares[0] < 3.6 and all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(n)) for k, n in shares.items())
+
+
 # language ID
 
 ROWS = [("en", "the cat sat on the mat and the dog sat on the log"), ("en", "a dog and a cat"), ("de", "der hund und die katze sitzen auf der matte"), ("de", "die katze über dem haus")]
