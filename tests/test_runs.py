@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofloom.model import TRANSITIONS, ppm
-from proofloom.operators import calls, discover, enumerate as enumeration, signals, snapshots
+from proofloom.operators import arms, calls, chain, discover, enumerate as enumeration, schemas, signals, snapshots
 from proofloom.plans import contexts, folds
 from proofloom.plans.graph import EXCLUSIONS
 from proofloom.streaming import stateful
@@ -224,3 +224,61 @@ def test_stateful_stream_goes_on_after_a_restart(spark, tmp_path):
         own = [x for _, _, x in sorted(e for e in events if e[0] == s)]
         want += [(s, n, own[n - 1] if n else None, x, "first" if not n else "legal" if (own[n - 1], x) in TRANSITIONS else "illegal") for n, x in enumerate(own)]
     assert Counter(tuple(x) for x in got) == Counter(want)
+
+
+def test_a_break_in_one_hop_takes_its_claim_alone(spark):
+    frame, n = spark.createDataFrame, 9
+    claims = [(c, c) for c in range(n)]
+    parsed = [(c, c) for c in range(n) if c != 1]
+    bindings = [(c, f"e{c}", "reproduces") for c in range(n)] + [(c, f"s{c}", "supports") for c in range(n)]
+    evidence = [(f"{k}{c}",) for c in range(n) for k in "es" if (k, c) != ("s", 2)]
+    checks = [(c, f"e{c}", c != 3) for c in range(n)]
+    decisions = [(c, 10 * c, "accept") for c in range(n)]
+    findings = [(c, f"f{c}", 10 * c) for c in range(n) if c < 8]
+    told = [(c, "verification", f"e{c}" if c != 5 else "e0") for c in range(n)] + [(c, "decision", str(10 * c)) for c in range(n) if c != 6] + [(c, "finding", f"f{c}") for c in range(n) if c not in (7, 8)]
+    told = [x for x in told if x[0] != 4]
+    got = chain.closed_chain(
+        frame(claims, "claim int, execution int"), frame(parsed, "execution int, claim int"), frame(bindings, "claim int, evidence string, relation string"), frame(evidence, "evidence string"), frame(checks, "claim int, evidence string, passed boolean"),
+        frame(told, "claim int, kind string, member string"), frame(decisions, "claim int, decision_id int, decision string"), frame(findings, "claim int, finding_id string, decision_id int"),
+    )
+    assert {r["claim"]: r["broken"] for r in got.collect()} == {0: None, 8: None, **{i + 1: hop for i, hop in enumerate(chain.HOPS)}}
+
+
+def test_qualifications_through_nested_parts(spark):
+    frame = spark.createDataFrame
+    parts = frame([("s1", "b"), ("b", "c"), ("c", "s1"), ("s2", "d")], "section string, part string")
+    asked = frame([("x", "c"), ("x", "d"), ("x", "dom"), ("y", "d"), ("y", "b"), ("z", "b")], "context string, qualification string")
+    got = chain.qualification_faults(asked, frame([("dom",)], "id string"), frame([("x", "s1"), ("y", "s2")], "context string, section string"), parts)
+    assert sorted(tuple(r) for r in got.select("context", "qualification").collect()) == [("x", "d"), ("y", "b"), ("z", "b")]
+
+
+def test_schema_violations_have_pointers(spark):
+    schema = {"type": "object", "required": ["a/b", "n"], "additionalProperties": False, "properties": {"a/b": {"type": "array", "uniqueItems": True, "items": {"type": "object", "properties": {"x": {"type": "number", "maximum": 2}}}}, "n": {"type": "null"}, "s": {"type": "string", "pattern": "^a", "maxLength": 3}}}
+    bodies = ['{"a/b": [], "n": null}', '{"a/b": [{"x": 1}, {"x": 3}, {"x": 1}, 7], "n": 0}', '{"s": "bcde", "z": 1}', "[1]", "nonsense", None, '{"a/b": [{"x": 1.5}, {"x": "2"}], "n": null, "s": "a\\u00e9"}']
+    docs = spark.createDataFrame([*[(i, "one", b) for i, b in enumerate(bodies)], (90, "two", "{}"), (91, None, "{}")], "id int, schema string, body string")
+    got = sorted((r["id"], r["pointer"], r["rule"]) for r in schemas.violations(docs, {"one": schema}).collect())
+    assert got == sorted([
+        (1, "/a~1b", "uniqueItems"), (1, "/a~1b/1/x", "maximum"), (1, "/a~1b/3", "type"), (1, "/n", "type"), (2, "/a~1b", "required"), (2, "/n", "required"), (2, "/s", "maxLength"), (2, "/s", "pattern"), (2, "/z", "additionalProperties"),
+        (3, "", "type"), (4, "", "malformed"), (5, "", "malformed"), (6, "/a~1b/1/x", "type"), (90, "", "unknown_schema"), (91, "", "unknown_schema"),
+    ])
+    with pytest.raises(ValueError):
+        schemas.violations(docs, {"one": {"oneOf": []}})
+
+
+def test_arms(spark):
+    frame = spark.createDataFrame
+    trials = frame([(t, t // 4, t // 4, "g3" if t % 2 else "b1", "control" if t // 2 % 2 else "positive", f"in{t}") for t in range(12)], "trial int, pair int, unit int, arm string, role string, input_hash string")
+    made = frame([(t, t != 5, f"in{t}" if t != 9 else "x", f"out{t}") for t in range(12) if t != 4], "trial int, valid boolean, input_hash string, output_hash string")
+    given = frame([(t, f"out{t}" if t != 10 else "x") for t in range(12) if t != 8], "trial int, output_hash string")
+    reasoned = arms.trial_reasons(trials, made, given)
+    assert {r["trial"]: r["reason"] for r in reasoned.where("reason IS NOT NULL").collect()} == {4: "missing_collection", 5: "protocol_invalid", 9: "collection_binding_invalid", 8: "missing_score", 10: "score_binding_invalid"}
+    assert {r["pair"]: r["excluded"] for r in arms.eligible_pairs(reasoned).collect()} == {0: 0, 1: 2, 2: 3}
+    spans = "path string, s int, e int, tag string"
+    findings = frame([(1, "f1", "p", 5, 30, "t"), (1, "f2", "p", 90, 91, "t"), (1, "f3", "p", 40, 41, "t"), (3, "f4", "p", 40, 40, "t"), (3, "f5", "q", 1, 1, "t"), (0, "f6", "p", 6, 6, "other")], f"trial int, finding string, {spans}")
+    roots, anchors = frame([(0, "r1", "p", 1, 6, "t"), (0, "r2", "p", 29, 29, "t")], f"unit int, target string, {spans}"), frame([(0, "a1", "p", 35, 45, "t")], f"unit int, target string, {spans}")
+    scores = arms.scored(trials, findings, roots, anchors)
+    got = {r["trial"]: tuple(r)[1:] for r in scores.collect()}
+    assert got[1] == (3, 2, 2, 1, 0) and got[3] == (2, 1, 0, 2, 1) and got[0] == (1, 0, 0, 1, 0) and got[11] == (0, 0, 0, 0, 0)
+    total = {r["arm"]: r for r in arms.run_totals(reasoned, scores).collect()}
+    assert (total["g3"]["detected"], total["g3"]["lead"], total["b1"]["lead"], total["g3"]["allegations"], total["g3"]["eligible"]) == (2, 2, -2, 1, 1)
+    assert all(r["trials"] - r["counted"] == n for r, n in ((total["b1"], 3), (total["g3"], 2)))
