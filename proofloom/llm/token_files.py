@@ -4,8 +4,9 @@ An id is cut into chunks of `bits` bits, low chunk first. Level k holds chunk k
 reach it, a bitmap tells which of them go on to level k + 1, and a rank directory counts the set
 bits before every 512th, so the place in the next level is found by a count over at most 512 bits.
 
-File: b"DACT", version, bits, number of levels, documents, tokens; the documents' ends (u64);
-per level: entries, chunks (u8), bitmap, directory (u64). All numbers are little-endian.
+File: b"DACT", version, bits, number of levels, documents, tokens; the documents' ends (u64), keys (i64) and which keys there are
+(bits); per level: entries, chunks (u8), bitmap, directory (u64). All numbers are little-endian. A reader needs the head and, per level,
+the few bytes that a range of tokens lies in.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .words import slices
 MAGIC, VERSION, BLOCK = b"DACT", 1, 512
 
 
-def pack(ids: np.ndarray, ends: np.ndarray, bits: int = 8) -> bytes:
-    """One file of ids (uint32) and of the documents' ends among them."""
+def pack(ids: np.ndarray, ends: np.ndarray, bits: int = 8, keys: list[int | None] | None = None) -> bytes:
+    """One file of ids (uint32), of the documents' ends among them and of the documents' keys (their places where none are given)."""
     levels, rest = [], ids.astype(np.uint32)
     while True:
         chunk, higher = (rest & ((1 << bits) - 1)).astype(np.uint8), rest >> bits
@@ -38,47 +39,57 @@ def pack(ids: np.ndarray, ends: np.ndarray, bits: int = 8) -> bytes:
         if not len(rest):
             break
     head = MAGIC + struct.pack("<BBHQQ", VERSION, bits, len(levels), len(ends), len(ids))
-    return head + ends.astype("<u8").tobytes() + b"".join(levels)
+    keys = list(range(len(ends))) if keys is None else keys
+    known = np.packbits(np.array([k is not None for k in keys], bool), bitorder="little").tobytes()
+    return head + ends.astype("<u8").tobytes() + np.array([k or 0 for k in keys], "<i8").tobytes() + known + b"".join(levels)
+
+
+def _parts(read, at: int) -> tuple[int, int, int]:
+    """Entries of the level at a place of the file, where its chunks begin, where the next level begins."""
+    (n,) = struct.unpack("<Q", read(at, 8))
+    return n, at + 8, at + 8 + n + -(-n // 8) + 8 * (-(-n // BLOCK) + 1)
 
 
 class TokenFile:
-    """Random access to the ids of a file's bytes."""
+    """Random access to the ids of a file: its bytes, or a seekable file of which only the head and what is asked for is read."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, source):
+        self.read = (lambda at, n: source[at : at + n]) if isinstance(source, bytes) else (lambda at, n: source.seek(at) and None or source.read(n))
+        head = self.read(0, 24)
+        if head[:4] != MAGIC:
             raise ValueError("not a token file")
-        _, self.bits, n_levels, n_docs, self.n_tokens = struct.unpack_from("<BBHQQ", data, 4)
-        at = 24
-        self.ends = np.frombuffer(data, "<u8", n_docs, at).astype(np.int64)
-        at += 8 * n_docs
-        self.levels = []
+        _, self.bits, n_levels, n_docs, self.n_tokens = struct.unpack_from("<BBHQQ", head, 4)
+        rest = self.read(24, 16 * n_docs + -(-n_docs // 8))
+        self.ends = np.frombuffer(rest, "<u8", n_docs).astype(np.int64)
+        known = np.unpackbits(np.frombuffer(rest, np.uint8, offset=16 * n_docs), bitorder="little")
+        self.keys = [k if there else None for k, there in zip(np.frombuffer(rest, "<i8", n_docs, 8 * n_docs).tolist(), known.tolist())]
+        self.levels, at = [], 24 + len(rest)
         for _ in range(n_levels):
-            (n,) = struct.unpack_from("<Q", data, at)
-            chunk = np.frombuffer(data, np.uint8, n, at + 8)
-            at += 8 + n
-            bitmap = np.frombuffer(data, np.uint8, -(-n // 8), at)
-            at += len(bitmap)
-            rank = np.frombuffer(data, "<u8", -(-n // BLOCK) + 1, at)
-            at += 8 * len(rank)
-            self.levels.append((chunk, bitmap, rank))
+            n, begin, at = _parts(self.read, at)
+            self.levels.append((n, begin))
+
+    def _bits(self, level: int, begin: int, end: int) -> np.ndarray:
+        """Which of the entries begin to end (excluded) go on to the next level."""
+        n, at = self.levels[level]
+        data = self.read(at + n + begin // 8, -(-end // 8) - begin // 8)
+        return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[begin % 8 : begin % 8 + end - begin].astype(bool)
 
     def _rank(self, level: int, i: int) -> int:
         """Set bits before i."""
-        _, bitmap, rank = self.levels[level]
+        n, at = self.levels[level]
         block = i // BLOCK
-        first = block * BLOCK // 8
-        part = np.unpackbits(bitmap[first : -(-i // 8)], bitorder="little")[: i - block * BLOCK]
-        return int(rank[block]) + int(part.sum())
+        (before,) = struct.unpack("<Q", self.read(at + n + -(-n // 8) + 8 * block, 8))
+        return before + int(self._bits(level, block * BLOCK, i).sum())
 
     def range(self, begin: int, end: int) -> np.ndarray:
         """Ids begin to end (excluded): each level is read from the place its rank gives."""
         out = np.zeros(end - begin, np.uint32)
         at, i, n = np.arange(end - begin), begin, end - begin
-        for level, (chunk, bitmap, _) in enumerate(self.levels):
+        for level, (_, chunks) in enumerate(self.levels):
             if not n:
                 break
-            out[at] |= chunk[i : i + n].astype(np.uint32) << np.uint32(level * self.bits)
-            on = np.unpackbits(bitmap[i // 8 : -(-(i + n) // 8)], bitorder="little")[i % 8 : i % 8 + n].astype(bool)
+            out[at] |= np.frombuffer(self.read(chunks + i, n), np.uint8).astype(np.uint32) << np.uint32(level * self.bits)
+            on = self._bits(level, i, i + n)
             i, at = self._rank(level, i), at[on]
             n = len(at)
         return out
@@ -110,10 +121,10 @@ def opened(path: str):
 
 
 def write_files(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, folder: str, file_bytes: int = 4 << 20) -> DataFrame:
-    """Writes the ids of every text, in ascending key order over all files; returns (file, path, keys, n_tokens).
+    """Writes the ids of every text, in ascending key order over all files, with the keys; returns (file, path), file rising in that order.
 
     Rows are split by ranges of (key, hash of text), so equal keys do not meet in one task, and
-    each task writes files of about file_bytes of ids, each text whole in one file. Null keys come first, null texts are empty.
+    each task writes files of about file_bytes of ids, each text whole in one file. Null keys come first, null texts are empty. Other columns are not read.
     """
     import pyspark
 
@@ -126,8 +137,8 @@ def write_files(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
             nonlocal n, keys, ids, ends, held
             path = f"{folder}/{part:08d}-{n:06d}.dact"
             lengths = np.concatenate([np.diff(e, prepend=0) for e in ends])
-            put(path, pack(np.concatenate(ids), np.cumsum(lengths)))
-            row = pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + n]), pa.array([path]), pa.array([np.concatenate(keys).tolist()], pa.list_(pa.int64())), pa.array([int(lengths.sum())])], ["file", "path", "keys", "n_tokens"])
+            put(path, pack(np.concatenate(ids), np.cumsum(lengths), keys=np.concatenate(keys).tolist()))
+            row = pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + n]), pa.array([path])], ["file", "path"])
             n, keys, ids, ends, held = n + 1, [], [], [], 0
             return row
 
@@ -149,34 +160,44 @@ def write_files(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: in
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bucket_bits(docs.select(key).count(), 2048))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     ranged = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
-    return written(ranged.mapInArrow(encode, "file long, path string, keys array<long>, n_tokens long"), "token-files")
+    return written(ranged.mapInArrow(encode, "file long, path string"), "token-files")
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) per document from the files themselves."""
+    """(key, start, n_tokens, ids_crc32) per document from the files themselves: their heads tell how many tokens each holds, and so where it starts."""
     from pyspark.sql import Window
 
+    def heads(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            counts = []
+            for path in batch.column(1).to_pylist():
+                with opened(path) as f:
+                    counts.append(struct.unpack_from("<BBHQQ", f.read(24), 4)[4])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["file", "path", "n_tokens"])
+
     def decode(parts):
         import pyarrow as pa
 
         for batch in parts:
-            for path, keys, before in zip(*(batch.column(c).to_pylist() for c in ("path", "keys", "before"))):
+            for path, before in zip(*(batch.column(c).to_pylist() for c in ("path", "before"))):
                 with opened(path) as f:
-                    held = TokenFile(f.read())
+                    held = TokenFile(f.read())  # all of it is asked for
                 begins = np.concatenate([[0], held.ends[:-1]]).astype(np.int64) if len(held.ends) else np.zeros(0, np.int64)
-                crc = [zlib.crc32(held.document(i).astype("<u4").tobytes()) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins + before), pa.array(held.ends - begins), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(held.document(i).astype("<u4").tobytes()) for i in range(len(held.ends))]
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys, pa.int64()), pa.array(begins + before), pa.array(held.ends - begins), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    group = F.floor(F.col("file") / 4096 / 1_000_000).cast("long")
-    rows = files.withColumn("_group", group)
+    n = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(files.select("file", "path").repartition(n, "file").mapInArrow(heads, "file long, path string, n_tokens long"), "token-heads")
+    rows = found.withColumn("_group", F.floor(F.col("file") / 4096 / 1_000_000).cast("long"))
     sums = rows.groupBy("_group").agg(F.sum("n_tokens").alias("_n"))
     w = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_group", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("_group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("*", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("_in")).join(sums, "_group")
-    rows = rows.select("file", "path", "keys", (F.col("_base") + F.col("_in")).alias("before"))
-    rows = rows.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return rows.mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
+    rows = rows.select("file", "path", (F.col("_base") + F.col("_in")).alias("before"))
+    return rows.repartition(n, "file").mapInArrow(decode, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_table(spark: SparkSession, docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int) -> DataFrame:

@@ -673,7 +673,12 @@ def test_pipeline(spark, sf):
     assert abs(sum(len(WORD.findall(x["text"] or "")) for x in mixed.collect()) - 1.5 * size) <= 5
     # toxicity: those stay that the same model scores below 0.5, with all their columns
     told = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == int((told.scores([x[1] for x in corpus()]) < 0.5).sum())
+    scores, blank = told.scores([x[1] for x in corpus()]), told.scores([None])[0]
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert clean.count() == int(((scores < 0.5) | (scores <= blank)).sum()) and clean.where("text IS NULL OR text = ''").count() == sum(not x[1] for x in corpus())
+    # most labels toxic, no n-gram that tells: nothing goes
+    spark.createDataFrame([(3 * i, 1) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{sf}-all/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{sf}-all").count() == len(corpus())
     r, words = random.Random(9), vocabulary()
     planted = [(i, " ".join([r.choice(words) for _ in range(30)] + (["gronkle"] if i % 4 == 0 else [])), "en", "s1", 1) for i in range(200)] + [(500, None, "en", "s1", 0)]
     folder = f"{sf}-toxic"
