@@ -15,14 +15,15 @@ from proofloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below 0.5, with all their columns; null and empty texts have the score of no features.
+    """Documents with a score below 0.5, with all their columns; where most labels are toxic, also those whose own n-grams don't raise their score.
 
-    Labels that tell no n-gram apart reject nothing, however many of them are toxic. Nothing in, nothing out.
+    So null and empty texts stay, and labels that tell no n-gram apart reject nothing. Nothing in, nothing out.
     """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model, name = toxicity.fit(docs, labels), free_name(docs.columns, "score")
-    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name) if model.weights.any() else docs
+    blank = float(model.scores([None])[0])
+    return toxicity.score(docs, model, name=name).where((F.col(name) < 0.5) | (F.col(name) <= blank)).drop(name)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
