@@ -31,7 +31,7 @@ class Encoder:
     its normaliser, and parted where its word ends are.
     """
 
-    def __init__(self, path: str, most_kept: int = 1 << 21):
+    def __init__(self, path: str, most_kept: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -79,7 +79,7 @@ class Encoder:
         if 2 * (self.held + len(h)) > len(self.keys):
             used = np.flatnonzero(self.keys)
             old = self.keys[used], *(e[used] for e in self.entries)
-            self._clear(1 << (4 * (self.held + len(h))).bit_length())
+            self._clear(1 << (2 * (self.held + len(h))).bit_length())
             self._insert(*old)
         self.held += len(h)
         while len(h):
