@@ -56,8 +56,8 @@ def obligation_correspondence(spark, sf_dir, v):
 def preserved_rows(spark, sf_dir, v):
     b, a = v("callable_before"), v("callable_after")
     mapped = b.select(F.col("k").alias("source"), (F.col("k") + 5000000).alias("target"), F.col("signature").alias("old")).join(a.select(F.col("k").alias("target"), "signature"), "target")
-    statuses = mapped.select("source", F.when(F.col("old") == F.col("signature"), "preserved").otherwise("modified").alias("status"))
-    return mapping.preserved(mapped.select("source", "target"), statuses, b.select("k", "signature"))
+    mapped = mapped.select("source", "target", F.when(F.col("old") == F.col("signature"), "preserved").otherwise("modified").alias("status"))
+    return mapping.preserved(mapped, b.select("k", "signature"))
 
 
 @query("""+x AS (SELECT claim AS unit, min(property) AS a, count(*) AS b FROM bound WHERE relation = 'supports' GROUP BY claim), y AS (SELECT claim AS unit, min(property) AS a, count(*) AS b FROM bound WHERE relation = 'reproduces' GROUP BY claim)

@@ -48,9 +48,9 @@ def correspondence(before: DataFrame, after: DataFrame, mapped: DataFrame) -> Da
     return rows.select("key", status.alias("status")).union(lost)
 
 
-def preserved(mapped: DataFrame, statuses: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows(k, ..) carried over to the mapped target where the vertex is preserved."""
-    keep = mapped.join(statuses.where("status = 'preserved'").select("source"), "source", "left_semi").where("target IS NOT NULL")
+def preserved(mapped: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows(k, ..) carried over to the targets of mapped(source, target, status) where the pair is preserved; of two pairs with the same ends, each by its own status."""
+    keep = mapped.where("status = 'preserved' AND target IS NOT NULL")
     return rows.join(keep.select(F.col("source").alias("k"), "target"), "k").drop("k").withColumnRenamed("target", "k").select(*rows.columns)
 
 

@@ -249,3 +249,9 @@ def test_touched_has_a_row_for_each_callable_of_one_key(spark):
     ranges = spark.createDataFrame([("f", 3, 6), ("f", 60, 68)], "path string, s int, e int")
     gone = spark.createDataFrame([("f", 12), ("f", 100)], "path string, n int")
     assert sorted(x["k"] for x in callables.touched(made, ranges, gone).collect()) == [1, 1, 2, 3]
+
+
+def test_preserved_pairs_of_one_key_keep_their_own_status(spark):
+    mapped = spark.createDataFrame([(1, 11, "preserved"), (1, 11, "modified"), (2, 12, "preserved"), (2, 12, "preserved"), (3, None, "preserved")], "source long, target long, status string")
+    got = mapping.preserved(mapped, spark.createDataFrame([(1, "s"), (2, "t"), (3, "u")], "k long, signature string"))
+    assert sorted(tuple(x) for x in got.collect()) == [(11, "s"), (12, "t"), (12, "t")]
