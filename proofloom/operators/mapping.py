@@ -77,9 +77,15 @@ def exact_cover(entries: DataFrame, universe: DataFrame, key: str) -> DataFrame:
 
 
 def bridge(changed_by: DataFrame, symbols: DataFrame, changes: DataFrame, contains: DataFrame) -> DataFrame:
-    """(symbol, change, outcome) of changed_by edges: excluded if an end is missing, bridged if a container of the symbol holds the change, else candidate."""
-    rows = changed_by.join(symbols.select("symbol", F.lit(True).alias("s")), "symbol", "left").join(changes.select("change", F.lit(True).alias("c")), "change", "left")
-    held = contains.select(F.col("member").alias("symbol"), "container").join(contains.select(F.col("member").alias("change"), "container"), "container").select("symbol", "change", F.lit(True).alias("b")).distinct()
+    """(symbol, change, outcome) of changed_by edges: excluded if an end is missing, bridged if a container of the symbol holds the change, else candidate.
+
+    Only edges with both ends look for a container: each meets its symbol's containers, so a container's members are never paired with each other.
+    """
+    rows = changed_by.join(symbols.select("symbol", F.lit(True).alias("s")).distinct(), "symbol", "left").join(changes.select("change", F.lit(True).alias("c")).distinct(), "change", "left")
+    inside = contains.select("container", "member").distinct()
+    asked = changed_by.join(symbols.select("symbol"), "symbol", "left_semi").join(changes.select("change"), "change", "left_semi")
+    met = asked.join(inside.withColumnRenamed("member", "symbol"), "symbol").join(inside.withColumnRenamed("member", "change"), ["change", "container"], "left_semi")
+    held = met.select("symbol", "change", F.lit(True).alias("b")).distinct()
     outcome = F.when(F.col("s").isNull(), "symbol_missing").when(F.col("c").isNull(), "change_missing").when(F.col("b").isNotNull(), "bridged").otherwise("candidate")
     return rows.join(held, ["symbol", "change"], "left").select("symbol", "change", outcome.alias("outcome"))
 

@@ -264,3 +264,13 @@ def test_run_keeps_both_callables_of_one_key(spark):
     got = callables.changes(before, after, spark.createDataFrame([], "path string, s int, e int"), spark.createDataFrame([], "path string, n int"))
     run = callables.run_obligations(got, spark.createDataFrame([(50, 9), (50, 9)], "caller long, callee long"), spark.createDataFrame([("bad.rs",), ("bad.rs",)], "path string"))
     assert sorted((x["kind"], x["key"]) for x in run.collect()) == [("caller", "50:9"), *[("changed", "9")] * 4, ("gap", "bad.rs"), ("removed", "1")]
+
+
+def test_bridge_does_not_pair_the_members_of_a_container(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 9), (4, 2), (9, 2), (5, 6)], "symbol long, change long")
+    symbols = spark.createDataFrame([(1,), (1,), (4,), (5,)], "symbol long")
+    changes = spark.createDataFrame([(2,), (2,), (3,), (6,)], "change long")
+    inside = spark.createDataFrame([("m", 1), ("m", 2), ("n", 1), ("n", 2), ("o", 3)], "container string, member long")
+    wide = spark.range(5, 200_000).select(F.lit("w").alias("container"), F.col("id").alias("member"))  # 40 billion pairs
+    got = mapping.bridge(edges, symbols, changes, inside.union(wide))
+    assert rows(got) == [(1, 2, "bridged"), (1, 3, "candidate"), (1, 9, "change_missing"), (4, 2, "candidate"), (5, 6, "bridged"), (9, 2, "symbol_missing")]
