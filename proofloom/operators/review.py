@@ -35,12 +35,19 @@ def neighbourhood(selected: DataFrame, edges: DataFrame) -> DataFrame:
     return out.union(edges.join(selected.select(F.col("k"), F.col("k").alias("dst")), "dst").select("k", "src", "dst")).distinct()
 
 
-def overlapping_spans(spans: DataFrame, width: int = 16) -> DataFrame:
-    """(a, b), a < b: spans of one path that meet. Ends within cells of `width` lines are joined, each pair in its first common cell."""
-    cells = spans.select("path", "id", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))).alias("cell"))
-    x, y = cells.alias("x"), cells.alias("y")
-    met = (F.col("x.path") == F.col("y.path")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.s") <= F.col("y.e")) & (F.col("y.s") <= F.col("x.e"))
-    return x.join(y, met).where(F.col("x.cell") == F.floor(F.greatest("x.s", "y.s") / width)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def overlapping_spans(spans: DataFrame, width: int = 4) -> DataFrame:
+    """(a, b), a < b: spans of one path that meet. Of two such spans one holds the other's start, so starts meet the spans over their cell of `width` lines.
+
+    Each pair is met once, in the cell of its later start (of equal starts, that of the larger id). Small tables make many pairs, so cells are dealt
+    into as many tasks as shuffles have partitions, whatever their bytes.
+    """
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    over = spans.where("s <= e").select("path", "id", "s", "e", F.explode(F.sequence(F.expr(f"s div {width}"), F.expr(f"e div {width}"))).alias("cell")).repartition(tasks, "path", "cell")
+    starts = spans.select("path", "id", "s", "e", F.expr(f"s div {width}").alias("cell")).repartition(tasks, "path", "cell")
+    x, y = over.alias("x"), starts.alias("y")
+    later = (F.col("x.s") < F.col("y.s")) | ((F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")))
+    met = (F.col("x.path") == F.col("y.path")) & (F.col("x.cell") == F.col("y.cell")) & (F.col("y.s") <= F.col("x.e")) & (F.col("x.s") <= F.col("y.e")) & later
+    return x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def follow_chain(start: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from proofloom.catalog import ORACLE_SQL, QUERIES
 from proofloom.functions import scalar
 from proofloom.model import ppm, stable_id
-from proofloom.operators import callables, closure, diff, discover, evidence, glue, mapping, resolve, rules
+from proofloom.operators import callables, closure, diff, discover, evidence, glue, mapping, resolve, review, rules
 from proofloom.plans import graph, waves
 from proofloom.sources import listings, stores
 from proofloom.store import components
@@ -274,3 +274,11 @@ def test_bridge_does_not_pair_the_members_of_a_container(spark):
     wide = spark.range(5, 200_000).select(F.lit("w").alias("container"), F.col("id").alias("member"))  # 40 billion pairs
     got = mapping.bridge(edges, symbols, changes, inside.union(wide))
     assert rows(got) == [(1, 2, "bridged"), (1, 3, "candidate"), (1, 9, "change_missing"), (4, 2, "candidate"), (5, 6, "bridged"), (9, 2, "symbol_missing")]
+
+
+def test_overlapping_spans_equal_all_pairs_and_keep_their_tasks(spark):
+    made = [(f"p{i % 2}", i * 7 % 60, i * 7 % 23, i * 7 % 23 + i * 11 % 9 - 2) for i in range(60)]  # some end before they start
+    got = review.overlapping_spans(spark.createDataFrame(made, "path string, id long, s int, e int"))
+    want = sorted((x[1], y[1]) for x in made for y in made if x[0] == y[0] and x[1] < y[1] and x[2] <= y[3] and y[2] <= x[3])
+    assert sorted(tuple(x) for x in got.collect()) == want
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
