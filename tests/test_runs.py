@@ -282,3 +282,28 @@ def test_arms(spark):
     total = {r["arm"]: r for r in arms.run_totals(reasoned, scores).collect()}
     assert (total["g3"]["detected"], total["g3"]["lead"], total["b1"]["lead"], total["g3"]["allegations"], total["g3"]["eligible"]) == (2, 2, -2, 1, 1)
     assert all(r["trials"] - r["counted"] == n for r, n in ((total["b1"], 3), (total["g3"], 2)))
+
+
+@pytest.mark.parametrize("rounds", [2, 5])
+def test_walks_from_shared_seeds_equal_a_loop(spark, rounds):
+    r = random.Random(rounds)
+    names = ["p1", "p10", "p2", "q\x00", "q\x00\x01", "q\x01", "q", "q!", "p1\x00"]
+    edges = sorted({(r.choice(["calls", "callers", "covers"]), r.choice(names), r.choice(names)) for _ in range(22)})
+    budgets, seeds = {"calls": 2, "callers": 2, "covers": 1}, [(c, n) for c in range(6) for n in r.sample(names, 2)]
+    front = [(c, n, "", 0, (n,)) for c, n in seeds]
+    want = {}
+    for _ in range(rounds + 1):
+        for c, n, _t, _l, p in front:
+            want[c, n] = min(want.get((c, n), (99, ())), (len(p) - 1, p))
+        steps = [(c, d, k, (left if t == k else budgets[k]) - 1, (*p, d)) for c, n, t, left, p in front for k, s, d in edges if s == n]
+        least = {}
+        for c, n, t, left, p in steps:
+            if left >= 0:
+                least[c, n, t, left] = min(least.get((c, n, t, left), p), p)
+        front = [(*k, p) for k, p in least.items()]
+    frame = spark.createDataFrame
+    seeds, edges = frame(seeds, "context long, node string"), frame(edges, "kind string, src string, dst string")
+    got = contexts.canonical_paths(seeds, edges, budgets, rounds).collect()
+    assert {(x["context"], x["node"]): (x["depth"], tuple(x["path"])) for x in got} == want and len(got) == len(want)
+    once = contexts.walked(seeds, edges, budgets, rounds)  # from each seed once, not once a context
+    assert once.groupBy("start", "node").count().where("count > 1").isEmpty() and {x["start"] for x in once.collect()} == {x["node"] for x in seeds.collect()}
