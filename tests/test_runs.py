@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from proofloom import store
 from proofloom.model import TRANSITIONS, ppm
 from proofloom.operators import arms, calls, chain, discover, enumerate as enumeration, schemas, signals, snapshots
 from proofloom.plans import contexts, folds
@@ -307,3 +308,33 @@ def test_walks_from_shared_seeds_equal_a_loop(spark, rounds):
     assert {(x["context"], x["node"]): (x["depth"], tuple(x["path"])) for x in got} == want and len(got) == len(want)
     once = contexts.walked(seeds, edges, budgets, rounds)  # from each seed once, not once a context
     assert once.groupBy("start", "node").count().where("count > 1").isEmpty() and once.select("start").distinct().count() == seeds.select("node").distinct().count()
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    before = _shuffle_files(spark)
+    rows = store.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    left = [f for f in _shuffle_files(spark) - before if f.endswith(".data")]
+    assert not left and rows.count() == 7
+    assert spark.conf.get(store.SWEEP) == "false"  # as it was
+
+
+def test_signal_pairs_are_judged_where_they_meet(spark, monkeypatch):
+    """Facts that share all operations but no name pass no round, and rounds and blocks of any size lose no pair."""
+    monkeypatch.setattr(signals, "BLOCK", 3)
+    monkeypatch.setattr(signals, "ROUND", 40)
+    monkeypatch.setattr(signals, "CHECKED", 5)
+    rows = [(i, f"s{i}", [f"c{i // 2}"], [f"g{i}"], ["v", "w", "x", "y"]) for i in range(20)]
+    facts = spark.createDataFrame(rows, "id long, shape string, callable array<string>, signature array<string>, operation array<string>")
+    written = []
+    keep = signals.written
+    monkeypatch.setattr(signals, "written", lambda df, kind="table": written.append((kind, keep(df, kind))) or written[-1][1])
+    monkeypatch.setattr(signals, "discard", lambda *t: None)
+    got = sorted(tuple(x) for x in signals.signal_pairs(facts, 32).collect())
+    assert got == [(2 * i, 2 * i + 1, 1, 0, 4, 1_000_000) for i in range(10)]
+    met = [df for kind, df in written if kind == "met"]
+    assert len(met) > 1 and sum(df.count() for df in met) < 40  # of 190 pairs that share an operation
