@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import arms
 from .registry import query, table
+from .store import written
 
 _TRIALS = """WITH t AS (SELECT o_orderkey AS trial, o_orderkey // 4 AS pair, o_orderkey // 4 AS unit, CASE o_orderkey % 2 WHEN 0 THEN 'b1' ELSE 'g3' END AS arm, CASE o_orderkey // 2 % 2 WHEN 0 THEN 'positive' ELSE 'control' END AS role FROM orders),
     z AS (SELECT *, CASE WHEN trial % 37 = 5 THEN 'missing_collection' WHEN trial % 41 = 6 THEN 'protocol_invalid' WHEN trial % 43 = 7 THEN 'collection_binding_invalid' WHEN trial % 47 = 8 THEN 'missing_score' WHEN trial % 53 = 9 THEN 'score_binding_invalid' END AS reason FROM t)"""
@@ -26,7 +27,8 @@ def _trials(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS trial", "l_orderkey div 4 AS unit", "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id", "l_partkey % 5 AS path", "l_suppkey % 40 AS s", "l_suppkey % 40 + l_linenumber AS e", "l_returnflag AS tag").distinct()
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS trial", "l_orderkey div 4 AS unit", "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS id", "l_partkey % 5 AS path", "l_suppkey % 40 AS s", "l_suppkey % 40 + l_linenumber AS e", "l_returnflag AS tag")
+    lines = written(lines.distinct(), "lines")
     target = lambda p: lines.where(p).select("unit", F.col("id").alias("target"), "path", "s", "e", "tag")
     return arms.scored(_trials(spark, sf_dir), lines.drop("unit").withColumnRenamed("id", "finding"), target("trial % 4 = 1"), target("trial % 4 <> 1"))
 

@@ -338,3 +338,23 @@ def test_signal_pairs_are_judged_where_they_meet(spark, monkeypatch):
     assert got == [(2 * i, 2 * i + 1, 1, 0, 4, 1_000_000) for i in range(10)]
     met = [df for kind, df in written if kind == "met"]
     assert len(met) > 1 and sum(df.count() for df in met) < 40  # of 190 pairs that share an operation
+
+
+def test_arms_in_rounds_equal_one_round(spark, monkeypatch):
+    """Findings that meet several targets, given twice or across cells, count once in any number of rounds."""
+    r = random.Random(4)
+    trials = spark.createDataFrame([(t, t // 4, "control" if t % 2 else "positive") for t in range(8)], "trial int, unit int, role string")
+    span = lambda: (r.choice("pq"), (s := r.randrange(30)), s + r.randrange(12), r.choice("tu"))
+    found = [(r.randrange(8), f"f{i}", *span()) for i in range(30)]
+    roots, anchors = ([(r.randrange(2), f"{k}{i}", *span()) for i in range(12)] for k in "ra")
+    spans = "path string, s int, e int, tag string"
+    monkeypatch.setattr(arms, "ROUND", 15)
+    got = arms.scored(trials, spark.createDataFrame([*found, *found[:5]], f"trial int, finding string, {spans}"), spark.createDataFrame(roots, f"unit int, target string, {spans}"), spark.createDataFrame(anchors, f"unit int, target string, {spans}"))
+    meet = lambda f, x: f[0] // 4 == x[0] and f[2] == x[2] and f[5] == x[5] and f[3] <= x[4] and x[3] <= f[4]
+    for row in got.collect():
+        own = [f for f in found if f[0] == row["trial"]]
+        hit = {x[1] for f in own for x in roots if meet(f, x)}
+        on = [f for f in own if any(meet(f, x) for x in anchors)]
+        matched = [f for f in own if f in on or any(meet(f, x) for x in roots)]
+        control = row["trial"] % 2
+        assert tuple(row) == (row["trial"], len(own), len(matched), len(hit), len(own) if control else len(own) - len(matched), len(on) if control else 0)
