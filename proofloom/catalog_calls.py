@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .operators import calls
 from .registry import query
 
+_SITES = ("csite", "decl", "shadow", "import_of", "glob_of", "alias_of", "reexport")
 _VIEWS = ("decl", "shadow", "csite", "import_of", "glob_of", "alias_of", "reexport")
 
 #: ends: what each imported name of a known module comes to, through at most 8 re-exports; a way ends where the file declares the name.
@@ -38,7 +39,7 @@ _CALLS = _EXPORTS + """, free AS (SELECT file, scope, name, count(*) AS n, min(k
 
 
 def _resolved(v):
-    return calls.resolve(v("csite"), v("decl"), v("shadow"), v("import_of"), v("glob_of"), v("alias_of"), v("reexport"))
+    return calls.resolve(*[v(n) for n in _SITES])
 
 
 @query(_CALLS + " SELECT call_id, tier, candidates, target, confidence FROM resolved", *_VIEWS)
@@ -53,7 +54,7 @@ def tiers_by_confidence(spark, sf_dir, v):
 
 @query(_CALLS + " SELECT caller, target, CASE WHEN bool_or(confidence = 'exact') THEN 'exact' ELSE 'name_only' END AS confidence, count(*) AS calls FROM resolved WHERE target IS NOT NULL GROUP BY 1, 2", *_VIEWS)
 def tiered_call_edges(spark, sf_dir, v):
-    return calls.edges(_resolved(v), v("csite"))
+    return calls.edges(calls.resolved(*[v(n) for n in _SITES]))
 
 
 @query(_EXPORTS + " SELECT of_file AS file, of_name AS name, n, k FROM ends", *_VIEWS)

@@ -14,6 +14,7 @@ from ..store import discard, written
 #: The tiers, first to last, and the most re-exports that an export is followed through.
 TIERS = ("local_shadow", "self_receiver", "import", "same_scope", "enclosing_scope", "glob_import", "name")
 MOST_REEXPORTS = 8
+_PLACES = (*TIERS, "none")
 _REQUEST = ["file", "scope", "owner", "form", "name"]
 
 
@@ -64,15 +65,19 @@ def exported(wanted: DataFrame, declared: DataFrame, aliases: DataFrame, reexpor
     return ends.groupBy(F.col("of_file").alias("file"), F.col("of_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
 
 
-def _found(kind: str, exact: Column | bool, n: Column, k: Column) -> Column:
-    """A tier's answer; of one candidate, exact says whether scopes pinned it or only its name."""
+def _narrow(kind: str, exact: Column | bool, n: Column, k: Column) -> Column:
+    """A tier's answer as it is joined and kept: the tier's place, candidates, the one candidate, and whether scopes pinned it or only its name."""
     exact = F.lit(exact) if isinstance(exact, bool) else exact
-    sure = F.when(n == 0, "unresolved").when(n > 1, "ambiguous").when(exact, "exact").otherwise("name_only")
-    return F.struct(F.lit(kind).alias("tier"), n.cast("long").alias("candidates"), F.when(n == 1, k).alias("target"), sure.alias("confidence"))
+    return F.struct(F.lit(_PLACES.index(kind)).cast("byte").alias("t"), n.cast("long").alias("n"), F.when(n == 1, k).alias("k"), exact.alias("e"))
 
 
-def resolve(sites: DataFrame, declared: DataFrame, shadows: DataFrame, imports: DataFrame, globs: DataFrame, aliases: DataFrame, reexports: DataFrame) -> DataFrame:
-    """(call_id, tier, candidates, target, confidence): the first tier that binds each call; tier `none` where no tier does.
+def _wide(r: Column) -> Column:
+    sure = F.when(r["n"] == 0, "unresolved").when(r["n"] > 1, "ambiguous").when(r["e"], "exact").otherwise("name_only")
+    return F.struct(F.get(F.array(*[F.lit(t) for t in _PLACES]), r["t"].cast("int")).alias("tier"), r["n"].alias("candidates"), r["k"].alias("target"), sure.alias("confidence"))
+
+
+def resolved(sites: DataFrame, declared: DataFrame, shadows: DataFrame, imports: DataFrame, globs: DataFrame, aliases: DataFrame, reexports: DataFrame) -> DataFrame:
+    """(call_id, caller, r): the first tier that binds each call, narrow; tier `none` where no tier does. A table.
 
     sites(call_id, caller, file, scope, owner, form, name): form `self` or `plain`. declared(k, file, scope, owner, name, public): without an
     owner a function, else its method. shadows(caller, name): names bound in a body. imports(file, place, local, module, imported),
@@ -97,39 +102,45 @@ def resolve(sites: DataFrame, declared: DataFrame, shadows: DataFrame, imports:
     by_import = bound.join(modules, "module", "left").join(ends.select(F.col("file").alias("module"), F.col("name").alias("imported"), "n", "k"), ["module", "imported"], "left").join(any_public, "imported", "left")
     known = F.coalesce("known", F.lit(False))
     n, k = F.coalesce(F.when(known, F.col("n")).otherwise(F.col("pn")), F.lit(0)), F.when(known, F.col("k")).otherwise(F.col("pk"))
-    by_import = by_import.select("file", "name", _found("import", known, n, k).alias("by_import"))
+    by_import = by_import.select("file", "name", _narrow("import", known, n, k).alias("by_import"))
 
     scoped = written(_counted(free, "file", "scope", "name"), "scoped")
     around = plain.select("file", "scope", "name").distinct().select("file", "name", F.col("scope").alias("from"), F.posexplode(enclosing(F.col("scope"))).alias("up", "scope"))
     near = around.join(scoped, ["file", "scope", "name"]).groupBy("file", F.col("from").alias("scope"), "name").agg(F.min(F.struct("up", "n", "k")).alias("s"))
-    same, outer = _found("same_scope", True, F.col("s.n"), F.col("s.k")), _found("enclosing_scope", True, F.col("s.n"), F.col("s.k"))
+    same, outer = _narrow("same_scope", True, F.col("s.n"), F.col("s.k")), _narrow("enclosing_scope", True, F.col("s.n"), F.col("s.k"))
     by_scope = near.select("file", "scope", "name", F.when(F.col("s.up") == 0, same).otherwise(outer).alias("by_scope"))
 
     tops = _counted(free.where("public AND scope = ''"), "file", "name").select(F.col("file").alias("module"), "name", "n", "k")
     by_glob = asked.join(globs, "file").join(tops, ["module", "name"]).groupBy("file", "name").agg(F.min(F.struct("place", "n", "k")).alias("g"))
-    by_glob = by_glob.select("file", "name", _found("glob_import", True, F.col("g.n"), F.col("g.k")).alias("by_glob"))
-    by_name = _counted(free, "name").select("name", _found("name", False, F.col("n"), F.col("k")).alias("by_name"))
-
-    in_file = _counted(methods, "owner", "file", "name").select("owner", "file", "name", _found("self_receiver", True, F.col("n"), F.col("k")).alias("in_file"))
-    of_owner = _counted(methods, "owner", "name").select("owner", "name", _found("self_receiver", False, F.col("n"), F.col("k")).alias("of_owner"))
-    any_owner = _counted(methods, "name").select("name", _found("name", False, F.col("n"), F.col("k")).alias("any_owner"))
-
-    rows = requests.join(by_import, ["file", "name"], "left").join(by_scope, ["file", "scope", "name"], "left").join(by_glob, ["file", "name"], "left").join(by_name, "name", "left")
-    rows = rows.join(in_file, ["owner", "file", "name"], "left").join(of_owner, ["owner", "name"], "left").join(any_owner, "name", "left")
-    none = _found("none", False, F.lit(0), F.lit(None).cast(declared.schema["k"].dataType))
-    best = F.when(F.col("form") == "self", F.coalesce("in_file", "of_owner", "any_owner", none)).otherwise(F.coalesce("by_import", "by_scope", "by_glob", "by_name", none))
-    answers = written(rows.select(*_REQUEST, best.alias("r")), "answers")
-    hidden = sites.where("form = 'plain'").join(shadows.select("caller", "name").distinct(), ["caller", "name"], "left_semi").select("call_id").distinct().withColumn("hidden", F.lit(True))
-    on = [sites[c].eqNullSafe(answers[c]) for c in _REQUEST]
-    joined = sites.join(answers, on[0] & on[1] & on[2] & on[3] & on[4]).select(sites["call_id"], "r").join(hidden, "call_id", "left")
-    shadow = _found("local_shadow", False, F.lit(0), F.lit(None).cast(declared.schema["k"].dataType))
-    found = joined.withColumn("r", F.when(F.col("hidden"), shadow).otherwise(F.col("r"))).select("call_id", "r.*")
-    discard(bound, scoped)
-    return found
-
-
-def edges(resolved: DataFrame, sites: DataFrame) -> DataFrame:
-    """(caller, target, confidence, calls): each caller's calls of one target, with the surest confidence among them."""
-    order = F.when(F.col("confidence") == "exact", 0).otherwise(1)
-    met = resolved.where("target IS NOT NULL").join(sites.select("call_id", "caller"), "call_id")
-    return met.groupBy("caller", "target").agg(F.min_by("confidence", order).alias("confidence"), F.count(F.lit(1)).alias("calls"))
+    by_glob = by_glob.select("file", "name", _narrow("glob_import", True, F.col("g.n"), F.col("g.k")).alias("by_glob"))
+    by_name = _counted(free, "name").select("name", _narrow("name", False, F.col("n"), F.col("k")).alias("by_name"))
+
+    in_file = _counted(methods, "owner", "file", "name").select("owner", "file", "name", _narrow("self_receiver", True, F.col("n"), F.col("k")).alias("in_file"))
+    of_owner = _counted(methods, "owner", "name").select("owner", "name", _narrow("self_receiver", False, F.col("n"), F.col("k")).alias("of_owner"))
+    any_owner = _counted(methods, "name").select("name", _narrow("name", False, F.col("n"), F.col("k")).alias("any_owner"))
+
+    by_file = plain.join(by_import, ["file", "name"], "left").join(by_glob, ["file", "name"], "left").join(by_scope, ["file", "scope", "name"], "left")
+    named = by_file.select(*_REQUEST, F.coalesce("by_import", "by_scope", "by_glob").alias("r")).join(by_name, "name", "left").select(*_REQUEST, F.coalesce("r", "by_name").alias("r"))
+    received = requests.where("form = 'self'").join(in_file, ["owner", "file", "name"], "left").join(of_owner, ["owner", "name"], "left")
+    received = received.select(*_REQUEST, F.coalesce("in_file", "of_owner").alias("r")).join(any_owner, "name", "left").select(*_REQUEST, F.coalesce("r", "any_owner").alias("r"))
+    none = lambda kind: _narrow(kind, False, F.lit(0), F.lit(None).cast(declared.schema["k"].dataType))
+    answers = written(named.unionByName(received), "answers")
+    hidden = shadows.select("caller", "name").distinct().withColumn("hidden", F.lit(True))
+    told = sites.join(hidden, ["caller", "name"], "left").alias("s")
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}")) for c in _REQUEST]
+    joined = told.join(answers.alias("a"), on[0] & on[1] & on[2] & on[3] & on[4], "left").select("s.call_id", "s.caller", "s.form", "hidden", "r")
+    best = F.when(F.col("hidden") & (F.col("form") == "plain"), none("local_shadow")).otherwise(F.coalesce("r", none("none")))
+    met = written(joined.select("call_id", "caller", best.alias("r")), "calls")
+    discard(bound, scoped, requests, answers)
+    return met
+
+
+def resolve(sites: DataFrame, declared: DataFrame, shadows: DataFrame, imports: DataFrame, globs: DataFrame, aliases: DataFrame, reexports: DataFrame) -> DataFrame:
+    """(call_id, tier, candidates, target, confidence): the first tier that binds each call, as resolved() says."""
+    return resolved(sites, declared, shadows, imports, globs, aliases, reexports).select("call_id", _wide(F.col("r")).alias("r")).select("call_id", "r.*")
+
+
+def edges(met: DataFrame) -> DataFrame:
+    """(caller, target, confidence, calls) of resolved() calls: each caller's calls of one target, with the surest confidence among them."""
+    sums = met.where("r.k IS NOT NULL").groupBy("caller", F.col("r.k").alias("target")).agg(F.max("r.e").alias("e"), F.count(F.lit(1)).alias("calls"))
+    return sums.select("caller", "target", F.when(F.col("e"), "exact").otherwise("name_only").alias("confidence"), "calls")

@@ -358,3 +358,13 @@ def test_arms_in_rounds_equal_one_round(spark, monkeypatch):
         matched = [f for f in own if f in on or any(meet(f, x) for x in roots)]
         control = row["trial"] % 2
         assert tuple(row) == (row["trial"], len(own), len(matched), len(hit), len(own) if control else len(own) - len(matched), len(on) if control else 0)
+
+
+def test_resolved_calls_keep_their_callers(spark):
+    """Edges come from the resolved calls alone: the call sites are not joined to them once more."""
+    frame = spark.createDataFrame
+    sites = frame([(1, 7, "m", "", None, "plain", "f"), (2, 7, "m", "", None, "plain", "f"), (3, 8, "m", "", None, "plain", "far"), (4, 8, "m", "", None, "plain", "gone"), (5, 9, "m", "", None, "plain", "f")], "call_id long, caller long, file string, scope string, owner string, form string, name string")
+    declared = frame([(1, "m", "", None, "f", True), (2, "n", "", None, "far", True)], "k long, file string, scope string, owner string, name string, public boolean")
+    none = {"imports": "file string, place int, local string, module string, imported string", "globs": "file string, place int, module string", "aliases": "file string, exported string, name string", "reexports": "file string, exported string, module string, imported string"}
+    met = calls.resolved(sites, declared, frame([(9, "f")], "caller long, name string"), **{k: frame([], v) for k, v in none.items()})
+    assert sorted(tuple(x) for x in calls.edges(met).collect()) == [(7, 1, "exact", 2), (8, 2, "name_only", 1)]
