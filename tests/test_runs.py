@@ -368,3 +368,14 @@ def test_resolved_calls_keep_their_callers(spark):
     none = {"imports": "file string, place int, local string, module string, imported string", "globs": "file string, place int, module string", "aliases": "file string, exported string, name string", "reexports": "file string, exported string, module string, imported string"}
     met = calls.resolved(sites, declared, frame([(9, "f")], "caller long, name string"), **{k: frame([], v) for k, v in none.items()})
     assert sorted(tuple(x) for x in calls.edges(met).collect()) == [(7, 1, "exact", 2), (8, 2, "name_only", 1)]
+
+
+def test_folds_of_files_carry_no_paths(spark, monkeypatch):
+    frame, kept, keep = spark.createDataFrame, {}, contexts.written
+    monkeypatch.setattr(contexts, "written", lambda df, kind="table": kept.setdefault(kind, df) and keep(df, kind))
+    reached = frame([(1, "n", 1, ["s", "n"]), (1, "m", 2, ["s", "n", "m"])], "context long, node string, depth int, path array<string>")
+    files = frame([("f", 10, 5, False, False), ("g", 20, 5, False, False)], "file string, bytes long, excerpt long, is_test boolean, giant boolean")
+    caps = {"path_cap": 9, "test_cap": 9, "included_file_cap": 9, "artifact_bytes_cap": 99, "total_resolved_bytes_cap": 15, "excerpt_bytes_cap": 99, "total_excerpt_bytes_cap": 99}
+    got = contexts.chosen_files(reached, frame([("f", "n"), ("g", "m")], "file string, node string"), files, caps).collect()
+    assert sorted((r["file"], r["place"], r["path"], r["reason"]) for r in got) == [("f", 1, ["s", "n"], None), ("g", 2, ["s", "n", "m"], "total_resolved_bytes_cap")]
+    assert not any("path" in kept[k].columns for k in ("placed", "resolved", "shown"))
