@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import discard, written
 
+#: Links, or vertices, of a round where more don't need more rounds than the most: each round reads what it is drawn from anew, so their number stays fixed.
+MOST_LINKS, MOST_ROUNDS = 4_000_000, 16
+
 #: Status of a component by its numbers of vertices before and after.
 STATUSES = ("added", "removed", "preserved", "modified", "split", "merged", "unresolved")
 
@@ -19,46 +23,60 @@ def status(before: Column, after: Column, same: Column) -> Column:
     return F.when(before == 0, "added").when(after == 0, "removed").otherwise(met)
 
 
+def _rounds(n: int) -> int:
+    return max(1, min(MOST_ROUNDS, math.ceil(n / MOST_LINKS)))
+
+
+def _drawn(r: int, rounds: int, *by: str) -> Column:
+    """Whether a row is of round r: by hash, so the views are filtered before they shuffle anything."""
+    return F.pmod(F.xxhash64(*by), F.lit(rounds)) == r
+
+
 def _paired(rows: DataFrame, stage: str) -> DataFrame:
-    """(side, k, stage, before, after, same, partner) of rows(side, k, key, body) whose key is on both sides; all vertices of a key are one component."""
+    """rows(side, k, key, body, ..) with stage, status, partner, which are null where the key is not on both sides; all vertices of a key are one component."""
     of = lambda side: F.col("side") == side
-    groups = rows.where("key IS NOT NULL").groupBy("key").agg(
+    keyed = rows.where("key IS NOT NULL")
+    groups = keyed.groupBy("key").agg(
         F.count_if(of("before")).alias("before"),
         F.count_if(of("after")).alias("after"),
         F.min(F.when(of("before"), F.struct("k", "body"))).alias("b"),
         F.min(F.when(of("after"), F.struct("k", "body"))).alias("a"),
     )
-    met = groups.where("before > 0 AND after > 0")
     one = (F.col("before") == 1) & (F.col("after") == 1)
-    partner = F.when(one, F.when(of("before"), F.col("a.k")).otherwise(F.col("b.k")))
-    return rows.join(met, "key").select("side", "k", F.lit(stage).alias("stage"), "before", "after", F.col("b.body").eqNullSafe(F.col("a.body")).alias("same"), partner.alias("partner"))
+    own = status(F.col("before"), F.col("after"), F.col("b.body").eqNullSafe(F.col("a.body")))
+    met = groups.where("before > 0 AND after > 0").select("key", own.alias("status"), F.when(one, F.col("b.k")).alias("bk"), F.when(one, F.col("a.k")).alias("ak"))
+    told = lambda df, stage, status, partner: df.select(*rows.columns, stage.alias("stage"), status.alias("status"), partner.alias("partner"))
+    null = F.lit(None).cast("string")
+    judged = told(keyed.join(met, "key", "left"), F.when(F.col("status").isNotNull(), stage), F.col("status"), F.when(of("before"), F.col("ak")).otherwise(F.col("bk")))
+    return judged.unionByName(told(rows.where("key IS NULL"), null, null, null))
 
 
-def _pair_name() -> Column:
-    """One name for both ends of a pair: the id before; null where a component isn't a pair."""
-    return F.when(F.col("partner").isNotNull(), F.when(F.col("side") == "before", F.col("k")).otherwise(F.col("partner")))
+def _names(found: list[DataFrame]) -> DataFrame:
+    """(side, member, name, known): one name for both ends of a pair, the id before; null where a component isn't a pair or hangs on one that isn't. New and gone vertices have no row."""
+    every = reduce(DataFrame.unionByName, found).where(~F.col("status").isin("added", "removed"))
+    name = F.when(F.col("partner").isNotNull(), F.when(F.col("side") == "before", F.col("k")).otherwise(F.col("partner")))
+    return every.select("side", F.col("k").alias("member"), name.alias("name"), F.lit(True).alias("known"))
 
 
-def neighbourhood_keys(rows: DataFrame, links: DataFrame, mapped: DataFrame) -> DataFrame:
-    """rows(side, k, key, ..) whose key also holds what their members (side, k, place, member) were mapped to; blocked: a member's component isn't a pair.
+def neighbourhood_keys(rows: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
+    """rows(side, k, key, body, ..) whose key also holds what their members (side, k, place, member) were mapped to; blocked: a member's component isn't a pair.
 
     Members of one place are a set, whose order does not matter. Their names are added up to fingerprints, so an owner of
     any number of members is summed before it is shuffled: a count, an exclusive or and a sum of two 64-bit hashes. An owner with a member
-    that is new, gone or unresolved has a null key; it is blocked in the last case, and where it has no member.
+    that is new, gone or unresolved has a null key; it is blocked in the last case, and where it has no member. Bodies stay where there is a key.
     """
-    names = mapped.select("side", F.col("k").alias("member"), _pair_name().alias("name"), (F.col("before") > 0).alias("known"))
     open_ = F.col("name").isNull()
-    told = links.join(names, ["side", "member"], "left")
-    told = told.groupBy("side", "k").agg(
+    told = links.join(names, ["side", "member"], "left").groupBy("side", "k").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(open_).alias("open"),
         F.count_if(open_ & F.col("known").isNotNull()).alias("unresolved"),
         F.bit_xor(F.xxhash64("place", "name")).alias("x"),
         F.sum(F.xxhash64(F.lit("sum"), "place", "name").cast("decimal(20,0)")).alias("s"),
     )
+    closed = F.col("open") == 0
+    changed = {"key": F.when(closed, F.struct("key", "n", "x", "s")), "body": F.when(closed, F.col("body"))}
     joined = rows.join(told, ["side", "k"], "left")
-    key = F.when(F.col("open") == 0, F.concat_ws("|", "key", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")))
-    return joined.select(*[c for c in rows.columns if c != "key"], key.alias("key"), (F.coalesce("unresolved", F.lit(1)) > 0).alias("blocked"))
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns], (F.coalesce("unresolved", F.lit(1)) > 0).alias("blocked"))
 
 
 def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) -> DataFrame:
@@ -69,43 +87,61 @@ def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) ->
     rename with equal bodies, symbols of one path and label, symbols of one anchor, other artifacts of one path and label, then relations, contexts,
     invariants and limitations by label and what their members were mapped to. All vertices of a key are one component, never parted by a
     choice. Pairs are preserved if their bodies are equal. A vertex that hangs on an unresolved one is unresolved itself.
+
+    What hangs on neighbours is keyed in rounds by the hash of its id, and paired in rounds by the hash of its key: the shuffles of one round are
+    on the disk at a time. A kind's rows are written once, as they are returned.
     """
     joined = lambda *c: F.when(reduce(Column.__and__, [F.col(x).isNotNull() for x in c]), F.concat_ws("\x1f", *c))
     kind = lambda *names: vertices.where(F.col("kind").isin(*names))
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
     known = ("file", "symbol", "relation", "context", "invariant", "limitation")
     found: list[DataFrame] = []
 
-    def left(rows: DataFrame, met: list[DataFrame]) -> DataFrame:
-        for m in met:
-            rows = rows.join(m.select("side", "k"), ["side", "k"], "left_anti")
-        return rows
-
-    def run(rows: DataFrame, stages: list[tuple[str, object]]) -> None:
-        met: list[DataFrame] = []
-        for name, key in stages:
-            met.append(written(_paired(left(rows, met).select("side", "k", key(F).alias("key"), "body"), name), f"stage-{name}"))
-        found.extend(met)
+    def told(rows: DataFrame, waits: Column) -> DataFrame:
+        own = F.coalesce("status", F.when(waits, "unresolved"), F.when(F.col("side") == "before", "removed").otherwise("added"))
+        return rows.select("side", "k", "kind", F.coalesce("stage", F.lit("none")).alias("stage"), own.alias("status"), "partner")
+
+    def run(rows: DataFrame, stages: dict[str, Column]) -> None:
+        rows = rows.select("side", "k", "kind", "body", *[key.alias(name) for name, key in stages.items()])
+        for i, name in enumerate(stages):
+            later, new = ["body", *list(stages)[i + 1 :]], F.col("status").isNull()
+            met = _paired(rows.withColumnRenamed(name, "key"), name)
+            if len(later) == 1:
+                found.append(written(told(met, F.lit(False)), f"stage-{name}"))
+            else:  # what isn't met keeps what the next stages read
+                met = written(met.select("side", "k", "kind", *[F.when(new, F.col(c)).alias(c) for c in later], "stage", "status", "partner"), f"stage-{name}")
+                found.append(told(met.where(~new), F.lit(False)))
+                rows = met.where(new).select("side", "k", "kind", *later)
 
     moved = F.when(F.col("side") == "before", F.col("new")).otherwise(F.col("path"))
     files = kind("file").join(renames.groupBy(F.col("old").alias("path")).agg(F.min("new").alias("new")), "path", "left")
-    run(files, [("path", lambda _: F.col("path")), ("rename", lambda _: F.when(moved.isNotNull(), F.concat_ws("\x1f", moved, "body")))])
-    run(kind("symbol"), [("symbol_label", lambda _: joined("path", "label")), ("symbol_anchor", lambda _: F.col("anchor"))])
-    run(vertices.where(~F.col("kind").isin(*known)), [("exact_key", lambda _: joined("kind", "path", "label"))])
-
-    blocked = None
-    for name in known[2:]:
-        mapped = reduce(DataFrame.unionByName, found)
-        if blocked is not None:  # what hangs on an unresolved vertex
-            mapped = mapped.unionByName(blocked.select("side", "k", F.lit("").alias("stage"), F.lit(2).alias("before"), F.lit(2).alias("after"), F.lit(False).alias("same"), F.lit(None).cast("string").alias("partner")))
-        rows = kind(name).select("side", "k", F.coalesce("label", F.lit("")).alias("key"), "body")
-        rows = written(neighbourhood_keys(rows, links.join(rows.select("side", "k"), ["side", "k"], "left_semi"), mapped), f"keys-{name}")
-        found.append(written(_paired(rows.where("NOT blocked").select("side", "k", "key", "body"), name), f"stage-{name}"))
-        waits = rows.where("blocked").select("side", "k")
-        blocked = waits if blocked is None else blocked.unionByName(waits)
-
-    every = reduce(DataFrame.unionByName, found)
-    rows = vertices.select("side", "k", "kind").join(every, ["side", "k"], "left").join(blocked.withColumn("waits", F.lit(True)), ["side", "k"], "left")
-    own = F.coalesce(F.when(F.col("stage").isNotNull(), status(F.col("before"), F.col("after"), F.col("same"))), F.when(F.col("waits"), "unresolved"), F.when(F.col("side") == "before", "removed").otherwise("added"))
-    out = written(rows.select("side", "k", "kind", F.coalesce("stage", F.lit("none")).alias("stage"), own.alias("status"), "partner"), "mapping")
-    discard(*found)
-    return out
+    run(files, {"path": F.col("path"), "rename": F.when(moved.isNotNull(), F.concat_ws("\x1f", moved, "body"))})
+    run(kind("symbol"), {"symbol_label": joined("path", "label"), "symbol_anchor": F.col("anchor")})
+    run(vertices.where(~F.col("kind").isin(*known)), {"exact_key": joined("kind", "path", "label")})
+
+    def keyed(rows: DataFrame, held: DataFrame, name: str) -> DataFrame:
+        rows = rows.where(F.col("kind") == name).select("side", "k", "kind", F.coalesce("label", F.lit("")).alias("key"), "body")
+        return written(neighbourhood_keys(rows, held.where(F.col("kind") == name).drop("kind"), _names(found)), f"keys-{name}")
+
+    first, *others = known[2:]
+    keys, later = [], []
+    rounds = _rounds(64 * links.where(_drawn(0, 64, "side", "k")).count())  # a 64th of the owners tells how many links there are
+    for r in range(rounds):  # links are read once for all kinds; those of the first kind are keyed at once
+        mine = _drawn(r, rounds, "side", "k")
+        owners = written(kind(first, *others).where(mine).select("side", "k", "kind", "label", "body"), "owners")
+        held = written(links.where(mine).join(owners.select("side", "k", "kind"), ["side", "k"]), "links")
+        keys.append(keyed(owners, held, first))
+        later.append(written(held.where(F.col("kind") != first), "links-later"))
+        discard(owners, held)
+
+    for name in (first, *others):
+        if name != first:
+            held = union(later)
+            rounds = _rounds(held.where(F.col("kind") == name).count())
+            keys = [keyed(kind(name).where(mine), held.where(mine), name) for mine in (_drawn(r, rounds, "side", "k") for r in range(rounds))]
+        rows = union(keys)
+        rounds = _rounds(rows.count())
+        found.extend([written(told(_paired(rows.where(_drawn(r, rounds, "key")), name), F.col("blocked")), f"stage-{name}") for r in range(rounds)])
+        discard(*keys)
+    discard(*later)
+    return union(found)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,59 @@ def test_mapping_by_neighbours(spark):
     assert len(got) == len(v)
 
 
+def shuffled_rows(spark):
+    """Rows that all statements so far have written to shuffles."""
+    context = spark.sparkContext
+    jvm, jsc = context._jvm, context._jsc.sc()
+    jsc.listenerBus().waitUntilEmpty()
+    stages = jsc.statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_statement_of_a_mapping_shuffles_all_links(spark, monkeypatch):
+    """What hangs on neighbours is mapped in rounds: none shuffles as many rows as there are links, the result is the same, and working tables are gone."""
+    n, sides = 1500, (("before", "b"), ("after", "a"))
+    v, links = [], []
+    for side, p in sides:
+        v += [(side, f"{p}s{i}", "symbol", "src", f"n{i}", None, "x") for i in range(40)]
+        v += [(side, f"{p}r{i}", "relation", None, "calls", None, f"w{i % 5 if side == 'before' else 0}") for i in range(n)] + [(side, f"{p}c{i}", "context", None, "module", None, "w") for i in range(n // 3)]
+        links += [(side, f"{p}r{i}", place, f"{p}s{m}") for i in range(n) for place, m in ((0, i % 40), (1, i // 40))] + [(side, f"{p}c{i}", 0, f"{p}r{i * 3 + j}") for i in range(n // 3) for j in range(2)]
+    v += [("before", "bfree", "relation", None, "calls", None, "w"), ("before", "bnull", "relation", None, None, None, None), ("before", "bgone", "relation", None, "calls", None, "w"), ("before", "bhung", "context", None, "module", None, "w")]
+    links += [("before", "bnull", 0, "bs7"), ("before", "bgone", 0, "nowhere"), ("before", "bhung", 0, "bfree")]
+    vertices = spark.createDataFrame(v, "side string, k string, kind string, path string, label string, anchor string, body string")
+    links = spark.createDataFrame(links, "side string, k string, place int, member string")
+    renames = spark.createDataFrame([], "old string, new string")
+    written, most, tables = snapshots.written, [0], []
+
+    def counted(df, kind="table"):
+        before = shuffled_rows(spark)
+        tables.append(written(df, kind))
+        most[0] = max(most[0], shuffled_rows(spark) - before)
+        return tables[-1]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(snapshots, "written", counted)
+        whole = sorted(map(str, snapshots.map_snapshots(vertices, links, renames).collect()))
+        most[0] = 0
+        monkeypatch.setattr(snapshots, "MOST_LINKS", 2500, raising=False)
+        tables.clear()
+        mapped = snapshots.map_snapshots(vertices, links, renames)
+        rows = mapped.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert 0 < most[0] < links.count()
+    assert sorted(map(str, rows)) == whole and len(rows) == len(v)
+    got = {r["k"]: (r["stage"], r["status"], r["partner"]) for r in rows}
+    for i in range(n):
+        assert got[f"br{i}"] == ("relation", "preserved" if i % 5 == 0 else "modified", f"ar{i}") and got[f"ac{i // 3}"] == ("context", "preserved", f"bc{i // 3}")
+    assert got["bfree"] == got["bhung"] == ("none", "unresolved", None) and got["bnull"] == got["bgone"] == ("none", "removed", None)
+    read = " ".join(mapped.inputFiles())
+    left = [t.written_at for t in tables if Path(t.written_at.removeprefix("file:")).is_dir()]
+    assert left and all(p in read for p in left)
+
+
 def plain_fold(sizes, budget):
     left, out = budget, []
     for s in sizes:
