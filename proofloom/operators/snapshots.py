@@ -58,15 +58,22 @@ def _names(found: list[DataFrame]) -> DataFrame:
     return every.select("side", F.col("k").alias("member"), name.alias("name"), F.lit(True).alias("known"))
 
 
-def neighbourhood_keys(rows: DataFrame, links: DataFrame, names: DataFrame) -> DataFrame:
-    """rows(side, k, key, body, ..) whose key also holds what their members (side, k, place, member) were mapped to; blocked: a member's component isn't a pair.
+def _named(links: DataFrame, names: DataFrame) -> DataFrame:
+    """links(side, member, name, known, ..) that have no name yet with that of their member, if names has one."""
+    new = names.withColumnsRenamed({"name": "_name", "known": "_known"})
+    filled = {c: F.coalesce(c, f"_{c}").alias(c) for c in ("name", "known")}
+    return links.join(new, ["side", "member"], "left").select(*[filled.get(c, F.col(c)) for c in links.columns])
+
+
+def neighbourhood_keys(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows(side, k, key, body, ..) whose key also holds what the members of their links(side, k, place, name, known) were mapped to; blocked: a member's component isn't a pair.
 
     Members of one place are a set, whose order does not matter. Their names are added up to fingerprints, so an owner of
     any number of members is summed before it is shuffled: a count, an exclusive or and a sum of two 64-bit hashes. An owner with a member
     that is new, gone or unresolved has a null key; it is blocked in the last case, and where it has no member. Bodies stay where there is a key.
     """
     open_ = F.col("name").isNull()
-    told = links.join(names, ["side", "member"], "left").groupBy("side", "k").agg(
+    told = links.groupBy("side", "k").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(open_).alias("open"),
         F.count_if(open_ & F.col("known").isNotNull()).alias("unresolved"),
@@ -121,27 +128,36 @@ def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) ->
 
     def keyed(rows: DataFrame, held: DataFrame, name: str) -> DataFrame:
         rows = rows.where(F.col("kind") == name).select("side", "k", "kind", F.coalesce("label", F.lit("")).alias("key"), "body")
-        return written(neighbourhood_keys(rows, held.where(F.col("kind") == name).drop("kind"), _names(found)), f"keys-{name}")
+        return written(neighbourhood_keys(rows, held.where(F.col("kind") == name)), f"keys-{name}")
 
     first, *others = known[2:]
     keys, later = [], []
+    unnamed = {"name": F.lit(None).cast("string"), "known": F.lit(None).cast("boolean")}
     rounds = _rounds(64 * links.where(_drawn(0, 64, "side", "k")).count())  # a 64th of the owners tells how many links there are
     for r in range(rounds):  # links are read once for all kinds; those of the first kind are keyed at once
         mine = _drawn(r, rounds, "side", "k")
         owners = written(kind(first, *others).where(mine).select("side", "k", "kind", "label", "body"), "owners")
         held = written(links.where(mine).join(owners.select("side", "k", "kind"), ["side", "k"]), "links")
-        keys.append(keyed(owners, held, first))
-        later.append(written(held.where(F.col("kind") != first), "links-later"))
+        keys.append(keyed(owners, held.where(F.col("kind") == first).join(_names(found), ["side", "member"], "left"), first))
+        later.append(written(held.where(F.col("kind") != first).withColumns(unnamed), "links-later"))
         discard(owners, held)
 
     for name in (first, *others):
         if name != first:
-            held = union(later)
+            # the links that are left learn what was mapped since they were named last, in rounds of names, which may be many more than they
+            held, rounds = union(later).where(F.col("kind").isin(*others[others.index(name) :])), _rounds(union(fresh).count() // 4)
+            drawn = [_drawn(r, rounds, "side", "member") for r in range(rounds)]
+            named = [written(_named(held.where(mine), _names(fresh).where(mine)), "links-later") for mine in drawn]
+            discard(*later)
+            later, held = named, union(named)
             rounds = _rounds(held.where(F.col("kind") == name).count())
             keys = [keyed(kind(name).where(mine), held.where(mine), name) for mine in (_drawn(r, rounds, "side", "k") for r in range(rounds))]
         rows = union(keys)
         rounds = _rounds(rows.count())
-        found.extend([written(told(_paired(rows.where(_drawn(r, rounds, "key")), name), F.col("blocked")), f"stage-{name}") for r in range(rounds)])
+        done = [written(told(_paired(rows.where(_drawn(r, rounds, "key")), name), F.col("blocked")), f"stage-{name}") for r in range(rounds)]
         discard(*keys)
+        # those of the first kind are named with the files, symbols and others before it
+        fresh = [*found, *done] if name == first else done
+        found.extend(done)
     discard(*later)
     return union(found)
