@@ -433,3 +433,28 @@ def test_folds_of_files_carry_no_paths(spark, monkeypatch):
     got = contexts.chosen_files(reached, frame([("f", "n"), ("g", "m")], "file string, node string"), files, caps).collect()
     assert sorted((r["file"], r["place"], r["path"], r["reason"]) for r in got) == [("f", 1, ["s", "n"], None), ("g", 2, ["s", "n", "m"], "total_resolved_bytes_cap")]
     assert not any("path" in kept[k].columns for k in ("placed", "resolved", "shown"))
+
+
+def test_context_files_in_rounds_equal_the_whole(spark, monkeypatch):
+    """Walks and contexts go in rounds: no table of a round holds all rows, the result is that of canonical paths ranked whole, and working tables are gone."""
+    r = random.Random(21)
+    caps = {"path_cap": 12, "test_cap": 2, "included_file_cap": 4, "artifact_bytes_cap": 90, "total_resolved_bytes_cap": 300, "excerpt_bytes_cap": 30, "total_excerpt_bytes_cap": 60}
+    budgets, frame = {"calls": 3, "callers": 2}, spark.createDataFrame
+    files = frame([(f"f{i:02d}", r.choice([95, r.randint(10, 60)]), r.choice([35, r.randint(5, 28)]), i % 5 == 1, i % 9 == 2) for i in range(30)], "file string, bytes long, excerpt long, is_test boolean, giant boolean")
+    holds = frame([(f"f{i % 30:02d}", f"n{i}") for i in range(56)], "file string, node string")
+    edges = frame([x for i in range(1, 60) for x in (("calls", f"n{i}", f"n{i // 3}"), ("callers", f"n{i // 3}", f"n{i}"))], "kind string, src string, dst string")
+    seeds = frame([(c, f"n{i}") for c in range(9) for i in r.sample(range(56), 3)] + [(9, "n58"), (9, "alone"), (10, "alone")], "context long, node string")
+    whole = contexts.chosen_files(contexts.canonical_paths(seeds, edges, budgets, 4), holds, files, caps)
+    kept, keep = [], contexts.written
+    monkeypatch.setattr(contexts, "written", lambda df, kind="table", *by: kept.append((kind, keep(df, kind, *by))) or kept[-1][1])
+    monkeypatch.setattr(contexts, "WALKED", 9)
+    monkeypatch.setattr(contexts, "RANKED", 9)
+    got = contexts.files_in_rounds(seeds, edges, holds, files, budgets, caps, 4)
+    rows = sorted(map(str, got.collect()))
+    assert rows == sorted(map(str, whole.collect())) and len({x["reason"] for x in got.collect()}) > 5
+    parts = [t for kind, t in kept if kind == "chosen"]
+    assert len(parts) > 2 and max(t.count() for t in parts) < len(rows) / 2
+    read = " ".join(got.inputFiles())
+    assert all(t.written_at in read for _, t in kept if Path(t.written_at.removeprefix("file:")).is_dir())
+    counts = contexts.files_in_rounds(seeds, edges, holds, files, budgets, caps, 4, counted=True)
+    assert sorted(map(str, contexts.excluded(counts, seeds, 30).collect())) == sorted(map(str, contexts.exclusion_counts(whole, seeds, 30).collect()))
