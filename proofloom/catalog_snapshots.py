@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import snapshots
 from .registry import query
+from .store import discard, written
 
 _VIEWS = ("vertex", "link_of", "rename_of")
 
@@ -49,8 +50,25 @@ _MAPPED = (
 )
 
 
+def _touches(pairs):
+    """The relations of vertex and link_of, each with its ends: before and after of every pair of a part and a supplier. On the after side some point the other way."""
+    text = lambda a, *b: F.concat(F.lit(a), *b)
+    back = F.expr("(src + dst) % 23 = 0")
+    k, symbol, file = [text("relation:", "src", F.lit("-"), "dst"), text("r2:", "src", F.lit("-"), "dst")], [text("symbol:", "src"), text("s2:", "src")], [text("file:", "dst"), text("f2:", "dst")]
+    body = [F.expr("concat('w', src % 3)"), F.expr("concat('w', CASE WHEN dst % 8 = 0 THEN 0 ELSE src % 3 END)")]
+    ends = [(symbol[0], file[0]), (F.when(back, file[1]).otherwise(symbol[1]), F.when(back, symbol[1]).otherwise(file[1]))]
+    sides = [pairs.select(F.lit(side).alias("side"), k[i].alias("k"), F.lit("touches").alias("label"), body[i].alias("body"), ends[i][0].alias("source"), ends[i][1].alias("target")) for i, side in enumerate(("before", "after"))]
+    every = sides[0].unionByName(sides[1])
+    nameless = every.where("k IS NULL").withColumns({c: F.lit(None).cast("string") for c in ("source", "target")}).distinct()  # rows without a key are alike
+    return every.where("k IS NOT NULL").unionByName(nameless)
+
+
 def _mapped(v):
-    return snapshots.map_snapshots(v("vertex"), v("link_of"), v("rename_of"))
+    pairs = written(v("touches_supplier"), "pairs")
+    links = v("link_of").where("NOT (k LIKE 'relation:%' OR k LIKE 'r2:%')")
+    mapped = snapshots.map_snapshots(v("vertex").where("kind <> 'relation'"), links, v("rename_of"), _touches(pairs))
+    discard(pairs)
+    return mapped
 
 
 @query(_MAPPED + " SELECT side, k, kind, stage, status, partner FROM mapping", *_VIEWS)

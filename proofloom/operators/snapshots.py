@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import discard, written
 
 #: Links, or vertices, of a round where more don't need more rounds than the most: each round reads what it is drawn from anew, so their number stays fixed.
 MOST_LINKS, MOST_ROUNDS = 4_000_000, 16
+#: Edges of a round, likewise; names that a task holds as a hash table, beyond which they are sorted.
+MOST_EDGES, HASHED = 12_000_000, 600_000
 
 #: Status of a component by its numbers of vertices before and after.
 STATUSES = ("added", "removed", "preserved", "modified", "split", "merged", "unresolved")
@@ -86,7 +88,33 @@ def neighbourhood_keys(rows: DataFrame, links: DataFrame) -> DataFrame:
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns], (F.coalesce("unresolved", F.lit(1)) > 0).alias("blocked"))
 
 
-def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) -> DataFrame:
+def keyed_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """edges(side, k, label, body, source, target) with the names of both ends instead of them, null where an end has none, and blocked: an end's component isn't a pair."""
+    few = names.count() <= HASHED * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for end in ("source", "target"):
+        new = names.withColumnsRenamed({"member": end, "name": f"_{end}", "known": f"_known_{end}"})
+        edges = edges.join(new.hint("shuffle_hash") if few else new, ["side", end], "left")
+    blocked = [F.col(f"_{end}").isNull() & F.col(f"_known_{end}").isNotNull() for end in ("source", "target")]
+    return edges.select("side", "k", F.coalesce("label", F.lit("")).alias("label"), "body", F.col("_source").alias("source"), F.col("_target").alias("target"), (blocked[0] | blocked[1]).alias("blocked"))
+
+
+def paired_edges(rows: DataFrame, stage: str) -> DataFrame:
+    """keyed_edges() rows with stage, status, partner, as _paired() has them. Those of one label and pair of names meet in one shuffle, sorted by a hash: they are parallel edges, a task's for one key."""
+    closed = F.col("source").isNotNull() & F.col("target").isNotNull()
+    key = ["label", "source", "target"]
+    of = {side: lambda c, side=side: F.when(F.col("side") == side, F.col(c)) for side in ("before", "after")}
+    all_ = Window.partitionBy("_hash", *key)
+    met = rows.where(closed).withColumn("_hash", F.xxhash64(*key)).repartition("_hash")
+    met = met.withColumns({f"_{side}": F.count(of[side]("side")).over(all_) for side in of} | {f"_{side}_{c}": F.min(of[side](c)).over(all_) for side in of for c in ("k", "body")})
+    both, one = (F.col("_before") > 0) & (F.col("_after") > 0), (F.col("_before") == 1) & (F.col("_after") == 1)
+    own = status(F.col("_before"), F.col("_after"), F.col("_before_body").eqNullSafe(F.col("_after_body")))
+    partner = F.when(one, F.when(F.col("side") == "before", F.col("_after_k")).otherwise(F.col("_before_k")))
+    null = F.lit(None).cast("string")
+    told = lambda df, *new: df.select("side", "k", "blocked", *[c.alias(n) for c, n in zip(new, ("stage", "status", "partner"))])
+    return told(met, F.when(both, stage), F.when(both, own), partner).unionByName(told(rows.where(~closed), null, null, null))
+
+
+def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """(side, k, kind, stage, status, partner): every vertex of both snapshots once; partner is set where a component is one of each side.
 
     vertices(side `before` or `after`, k, kind, path, label, anchor, body), k distinct on a side; links(side, k, place, member);
@@ -95,6 +123,9 @@ def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) ->
     invariants and limitations by label and what their members were mapped to. All vertices of a key are one component, never parted by a
     choice. Pairs are preserved if their bodies are equal. A vertex that hangs on an unresolved one is unresolved itself.
 
+    edges(side, k, label, body, source, target): relations with a link of place 0 and one of place 1 each, if vertices and links don't hold them. An edge takes the names of
+    its ends in its own row, so it is shuffled once for each end and once for its key, and links of edges are no rows.
+
     What hangs on neighbours is keyed in rounds by the hash of its id, and paired in rounds by the hash of its key: the shuffles of one round are
     on the disk at a time. A kind's rows are written once, as they are returned.
     """
@@ -133,16 +164,37 @@ def map_snapshots(vertices: DataFrame, links: DataFrame, renames: DataFrame) ->
     first, *others = known[2:]
     keys, later = [], []
     unnamed = {"name": F.lit(None).cast("string"), "known": F.lit(None).cast("boolean")}
-    rounds = _rounds(64 * links.where(_drawn(0, 64, "side", "k")).count())  # a 64th of the owners tells how many links there are
-    for r in range(rounds):  # links are read once for all kinds; those of the first kind are keyed at once
-        mine = _drawn(r, rounds, "side", "k")
-        owners = written(kind(first, *others).where(mine).select("side", "k", "kind", "label", "body"), "owners")
-        held = written(links.where(mine).join(owners.select("side", "k", "kind"), ["side", "k"]), "links")
-        keys.append(keyed(owners, held.where(F.col("kind") == first).join(_names(found), ["side", "member"], "left"), first))
-        later.append(written(held.where(F.col("kind") != first).withColumns(unnamed), "links-later"))
-        discard(owners, held)
-
-    for name in (first, *others):
+    if edges is not None:
+        names = written(_names(found), "names")
+        rounds = max(1, min(MOST_ROUNDS, math.ceil(64 * edges.where(_drawn(0, 64, "side", "k")).count() / MOST_EDGES)))
+        turn = F.pmod(F.xxhash64("label", "source", "target"), F.lit(rounds)).alias("_round")
+        parts = [written(keyed_edges(edges.where(_drawn(r, rounds, "side", "k")), names).select("*", turn), "keys-edges", "_round") for r in range(rounds)]
+        done = []
+        for r in range(rounds):
+            mine = [t.where(F.col("_round") == r) for t in parts]
+            rows = paired_edges(union(mine), first).withColumn("kind", F.lit(first))
+            done.append(written(told(rows, F.col("blocked")), f"stage-{first}"))
+            for t, m in zip(parts, mine):  # what is paired leaves the disk
+                m.written_at = f"{t.written_at}/_round={r}"
+            discard(*mine)
+        discard(names, *parts)
+        owners = kind(*others).select("side", "k", "kind")
+        later = [written(links.join(owners, ["side", "k"]).withColumns(unnamed), "links-later")]
+        # edges are named only if a link has a member that may be one
+        met = union([f.select("side", "k") for f in found] + [owners.select("side", "k")]).withColumnRenamed("k", "member")
+        fresh = [*found] if later[0].join(met, ["side", "member"], "left_anti").isEmpty() else [*found, *done]
+        found.extend(done)
+    else:
+        rounds = _rounds(64 * links.where(_drawn(0, 64, "side", "k")).count())  # a 64th of the owners tells how many links there are
+        for r in range(rounds):  # links are read once for all kinds; those of the first kind are keyed at once
+            mine = _drawn(r, rounds, "side", "k")
+            owners = written(kind(first, *others).where(mine).select("side", "k", "kind", "label", "body"), "owners")
+            held = written(links.where(mine).join(owners.select("side", "k", "kind"), ["side", "k"]), "links")
+            keys.append(keyed(owners, held.where(F.col("kind") == first).join(_names(found), ["side", "member"], "left"), first))
+            later.append(written(held.where(F.col("kind") != first).withColumns(unnamed), "links-later"))
+            discard(owners, held)
+
+    for name in (first, *others) if edges is None else others:
         if name != first:
             # the links that are left learn what was mapped since they were named last, in rounds of names, which may be many more than they
             held, rounds = union(later).where(F.col("kind").isin(*others[others.index(name) :])), _rounds(union(fresh).count() // 4)

@@ -447,8 +447,8 @@ def test_context_files_in_rounds_equal_the_whole(spark, monkeypatch):
     whole = contexts.chosen_files(contexts.canonical_paths(seeds, edges, budgets, 4), holds, files, caps)
     kept, keep = [], contexts.written
     monkeypatch.setattr(contexts, "written", lambda df, kind="table", *by: kept.append((kind, keep(df, kind, *by))) or kept[-1][1])
-    monkeypatch.setattr(contexts, "WALKED", 9)
-    monkeypatch.setattr(contexts, "RANKED", 9)
+    monkeypatch.setattr(contexts, "WALKED", 25)
+    monkeypatch.setattr(contexts, "RANKED", 12)
     got = contexts.files_in_rounds(seeds, edges, holds, files, budgets, caps, 4)
     rows = sorted(map(str, got.collect()))
     assert rows == sorted(map(str, whole.collect())) and len({x["reason"] for x in got.collect()}) > 5
@@ -458,3 +458,29 @@ def test_context_files_in_rounds_equal_the_whole(spark, monkeypatch):
     assert all(t.written_at in read for _, t in kept if Path(t.written_at.removeprefix("file:")).is_dir())
     counts = contexts.files_in_rounds(seeds, edges, holds, files, budgets, caps, 4, counted=True)
     assert sorted(map(str, contexts.excluded(counts, seeds, 30).collect())) == sorted(map(str, contexts.exclusion_counts(whole, seeds, 30).collect()))
+
+
+def test_edges_equal_links_of_their_ends(spark, monkeypatch):
+    """Relations given as edges are mapped as those given as vertices with two links, in rounds, and no statement shuffles a row for each end."""
+    r = random.Random(5)
+    v, links, edges = [], [], []
+    for side, p in (("before", "b"), ("after", "a")):
+        v += [(side, f"{p}s{i}", "symbol", "src", f"n{min(i, 37)}" if side == "before" or i % 9 else f"new{i}", None, "x") for i in range(40)]
+        for i in range(300):
+            ends = (f"{p}s{i % 40}", f"{p}s{i // 40 * 5}" if i % 50 else "nowhere")
+            ends = ends if side == "before" or i % 23 else ends[::-1]
+            edges.append((side, f"{p}r{i}", "calls" if i % 7 else None, f"w{r.randint(0, 1)}", *ends))
+        edges += [(side, f"{p}two{j}", "calls", "w", f"{p}s1", f"{p}s2") for j in range(2 if side == "before" else 1)]
+        v += [(side, f"{p}c{i}", "context", None, "module", None, "w") for i in range(100)]
+        links += [(side, f"{p}c{i}", 0, f"{p}r{i * 3 + j}") for i in range(100) for j in range(2)]
+    frame = spark.createDataFrame
+    columns, linked = "side string, k string, kind string, path string, label string, anchor string, body string", "side string, k string, place int, member string"
+    renames = frame([], "old string, new string")
+    old = snapshots.map_snapshots(frame(v + [(s, k, "relation", None, label, None, body) for s, k, label, body, *_ in edges], columns), frame(links + [(e[0], e[1], place, e[4 + place]) for e in edges for place in (0, 1)], linked), renames)
+    want = sorted(map(str, old.collect()))
+    monkeypatch.setattr(snapshots, "MOST_EDGES", 200)
+    for hashed in (0, 600_000):  # names sorted, and as a hash table
+        monkeypatch.setattr(snapshots, "HASHED", hashed)
+        got = snapshots.map_snapshots(frame(v, columns), frame(links, linked), renames, frame(edges, "side string, k string, label string, body string, source string, target string"))
+        assert sorted(map(str, got.collect())) == want
+    assert len({x.split("status=")[1].split(",")[0] for x in want if "relation" in x}) > 4
